@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from checks import vector_checks  # noqa: F401
+from checks import eval_checks, table_checks, term_checks, text_checks, vector_checks  # noqa: F401
 from checks.core import QUERIES, SQL  # noqa: F401
