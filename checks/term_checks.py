@@ -135,11 +135,16 @@ def gram_counts(tokenizer):
 add("j1_char_ngrams", gram_counts(tx.char_word_grams),
     f"""SELECT conv_id, turn, CAST(len(g) AS BIGINT) AS n_grams, CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct
 FROM (SELECT conv_id, turn, {CHAR_TOKENS} AS g FROM conversations)""")
-WHOLE = GRAMS.replace("(p", "(line").replace("length(p)", "length(line)")
+WHOLE = " UNION ALL ".join(
+    "SELECT conv_id, turn, " + " || ".join(["c"] + [f"lead(c, {k}) OVER o" for k in range(1, n)])
+    + " AS gram FROM ch WINDOW o AS (PARTITION BY conv_id, turn ORDER BY i)" for n in range(1, 9))
 add("j1_char_ngrams_whole_text", gram_counts(tx.char_grams),
-    rf"""SELECT conv_id, turn, CAST(len(g) AS BIGINT) AS n_grams, CAST(len(list_distinct(g)) AS BIGINT) AS n_distinct
-FROM (SELECT conv_id, turn, flatten({WHOLE}) AS g FROM (
-  SELECT *, regexp_replace(lower(text), '[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]{{2,}}', ' ', 'g') AS line FROM conversations))""")
+    with_(rf"""ch0 AS (SELECT conv_id, turn, string_split(
+    regexp_replace(lower(text), '[\x09-\x0D\x1C-\x20\x{{85}}\p{{Z}}]{{2,}}', ' ', 'g'), '') AS cs FROM conversations)""",
+          "ch AS (SELECT conv_id, turn, unnest(cs) AS c, generate_subscripts(cs, 1) AS i FROM ch0)",
+          f"g AS ({WHOLE})",
+          select="""SELECT conv_id, turn, count(gram) AS n_grams, count(DISTINCT gram) AS n_distinct FROM g
+GROUP BY conv_id, turn"""))
 add("j2_fit_char", lambda spark, sf_dir: rounded(char_model(spark, sf_dir)[1].vocabulary.select("term", "tf", "df", "idf")),
     with_(term_ctes(TP, CHAR_TOKENS, CHAR_CAP),
           select="SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, " + r6("idf", "idf") + " FROM vocab"))

@@ -90,14 +90,20 @@ def char_word_grams(text, low: int = 1, high: int = 8) -> Column:
 
 def char_grams(text, low: int = 1, high: int = 8) -> Column:
     """Character n-grams over the whole text, runs of white space made one space."""
-    line = F.regexp_replace(F.lower(_col(text)), r"[\x09-\x0D\x1C-\x20\x85\p{Z}]{2,}", " ")
-    size = F.length(line)
-    return F.when(size >= low, F.flatten(F.transform(
-        F.sequence(F.lit(low), F.greatest(F.least(F.lit(high), size), F.lit(low))),
-        lambda n: F.transform(
-            F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))),
-            lambda i: F.substr(line, i, n)))
-    )).otherwise(F.array().cast("array<string>"))
+    line = F.regexp_replace(F.lower(_col(text)), SPACE_RUN[:-1] + "{2,}", " ")
+
+    def grams(chars):
+        top = F.least(F.lit(high), F.size(chars))
+        return F.when(top >= low, F.flatten(F.transform(
+            F.sequence(F.lit(low), F.greatest(top, F.lit(low))),
+            lambda n: F.transform(
+                F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))),
+                lambda i: F.array_join(F.slice(chars, i, n), "")))
+        )).otherwise(F.array().cast("array<string>"))
+
+    # A lambda argument is evaluated once; the same expression inside lambdas would not be.
+    split = F.filter(F.split(line, ""), lambda c: c != "")
+    return F.flatten(F.transform(F.array(split), grams))
 
 
 def count_matching(text, char_class: str) -> Column:

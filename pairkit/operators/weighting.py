@@ -84,22 +84,22 @@ class TermModel:
     rare_idf: float
     sublinear: bool = True
 
-    def lookup_table(self, *columns: str) -> DataFrame:
-        """Vocabulary for joins; broadcast only when its size is known to be small."""
-        table = self.vocabulary.select("term", *columns)
-        return F.broadcast(table) if self.size <= BROADCAST_TERMS else table
-
-    def rare_threshold(self) -> float:
-        return self.rare_idf
-
     def vectorize(self, texts: DataFrame, known_only: bool = True) -> DataFrame:
         """(text_id, terms) with terms an array of (term, idf, w) in term order.
 
         `texts` holds one row per text_id. Weights have unit length over the known
         terms; with `known_only=False` other terms are listed too, with idf and w 0.
         """
-        counts = term_counts(texts, self.tokenizer)
-        joined = counts.join(self.lookup_table("idf"), "term", "inner" if known_only else "left")
+        table = self.vocabulary.select("term", "idf")
+        if known_only and self.size <= BROADCAST_TERMS:
+            # Unknown terms, most of the character n-grams, drop out before they are counted.
+            tokens = texts.select("text_id", F.explode(self.tokenizer("text")).alias("term"))
+            joined = (tokens.join(F.broadcast(table), "term").groupBy("text_id", "term", "idf")
+                      .agg(F.count(F.lit(1)).alias("tf")))
+        else:
+            joined = term_counts(texts, self.tokenizer).join(
+                F.broadcast(table) if self.size <= BROADCAST_TERMS else table, "term",
+                "inner" if known_only else "left")
         tf = F.col("tf").cast("double")
         scale = F.lit(1.0) + F.log(tf) if self.sublinear else tf
         weighted = joined.select("text_id", "term", F.coalesce("idf", F.lit(0.0)).alias("idf"),
@@ -115,9 +115,12 @@ class TermModel:
     def attach(self, pairs: DataFrame, known_only: bool = True) -> DataFrame:
         """Pairs with the sparse vectors of both texts, as `terms1` and `terms2`.
 
-        Each distinct text is vectorised once. A text without terms gets an empty array.
+        Each distinct text is vectorised once and the vectors are written: both joins
+        read the same table, and as a plain scan it lets AQE split the join partitions
+        of texts that many pairs share. A text without terms gets an empty array.
         """
-        vectors = self.vectorize(dictionary.distinct_texts(dictionary.corpus(pairs)), known_only)
+        texts = dictionary.distinct_texts(dictionary.corpus(pairs))
+        vectors = materialize(self.vectorize(texts, known_only), "term-vectors")
         out = pairs
         for i in (1, 2):
             side = vectors.select(F.col("text_id").alias("__id"), F.col("terms").alias(f"terms{i}"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairkit", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
     """Session with the settings the library relies on.
 
     AQE coalesces small shuffle partitions and splits skewed join partitions, so
@@ -28,6 +28,8 @@ def build_session(app: str = "pairkit", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return tune(builder.getOrCreate())
