@@ -9,7 +9,7 @@ from checks.core import SCORED, TP, VP, VV, add, r6, rounded, split_ctes, with_
 from checks.text_checks import full
 from checks.vector_checks import DIM, DIMS, joined
 from pairkit.functions import vectors as vx
-from pairkit.operators import (dictionary, ensemble, joins, models, ranking, search, splits, topics)
+from pairkit.operators import (dictionary, enrich, ensemble, joins, models, ranking, search, splits, topics)
 from pairkit.plans import jobs, samples
 from pairkit.session import materialize, scratch_path
 
@@ -77,11 +77,11 @@ add("k7_fit_diagnostics", diagnostics)
 
 
 # ---- classifiers -------------------------------------------------------------
-def evaluated(model):
+def evaluated(model, source=full, keys=samples.vector_pairs):
     """Held-out probabilities of a model trained on the training split."""
     def query(spark, sf_dir):
-        pairs = full(spark, sf_dir)
-        split = splits.stratified_split(samples.vector_pairs(spark, sf_dir)).drop("label")
+        pairs = source(spark, sf_dir)
+        split = splits.stratified_split(keys(spark, sf_dir)).drop("label")
         made = model()
         train = pairs.join(split.filter("split = 'train'"), ["qid1", "qid2"], "left_semi")
         matrix = materialize(made.build_features(pairs, train if made.needs_training_corpus else None)
@@ -92,13 +92,21 @@ def evaluated(model):
     return query
 
 
+def embedded_turns(spark, sf_dir):
+    """Conversation pairs with vectors made by the offline encoder, looked up by text."""
+    pairs = samples.turn_pairs(spark, sf_dir)
+    encoded = enrich.embed_texts(texts(spark, sf_dir).select("text"), enrich.hashing_encoder(DIM), key="text")
+    return joins.attach_vectors_by_text(pairs, enrich.add_norm(encoded))
+
+
 SMALL_A = dict(models.SMALL)
 SMALL_B = {"iterations": 10, "depth": 4}
 add("n2_logistic_regression", evaluated(lambda: models.logistic_regression(DIM, max_iter=50)))
 add("n3_boosted_trees_a", evaluated(lambda: models.boosted_trees_a(DIM, DIMS, **SMALL_A)))
 add("n4_boosted_trees_b", evaluated(lambda: models.boosted_trees_b(DIM, DIMS, **SMALL_B)))
 add("n5_boosted_trees_classical", evaluated(
-    lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, TOPIC_TERMS, **SMALL_A)))
+    lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, TOPIC_TERMS, **SMALL_A),
+    embedded_turns, samples.turn_pairs))
 add("n6_random_forest", evaluated(lambda: models.random_forest(DIM, DIMS, **SMALL_A)))
 add("n7_random_forest_topk", evaluated(lambda: models.TopKForest(models.random_forest(DIM, DIMS, **SMALL_A), k=10)))
 add("n8_siamese", evaluated(lambda: models.Siamese(hidden=8, max_iter=20)))
@@ -140,7 +148,7 @@ add("n10_apply_tuned_params", tuned)
 
 
 def full_classical(spark, sf_dir):
-    pairs = full(spark, sf_dir)
+    pairs = embedded_turns(spark, sf_dir)
     chosen = models.full_classical_features(pairs, DIM, DIMS, TOPICS, TOPIC_TERMS)
     return rounded(chosen.apply(pairs).select("qid1", "qid2", *chosen.names))
 
@@ -152,7 +160,7 @@ add("h7_full_classical", full_classical)
 def stack_parts(spark, sf_dir):
     """A linear and a network member over the vectors, with their feature tables."""
     pairs = joined(spark, sf_dir)
-    members = [models.CosineThreshold(), models.Siamese(hidden=4, max_iter=10)]
+    members = [models.CosineThreshold(), models.Siamese(hidden=4, max_iter=5)]
     made = ensemble.Ensemble(members, "stacking", meta_folds=3, name="stack")
     return made, made.build_features(pairs)
 
@@ -198,8 +206,8 @@ def vector_logistic():
     """Logistic regression on the prefix statistics of the vectors alone."""
     from pairkit.operators import features as fx
 
-    return models.PairModel("LogisticRegression", lambda _: fx.prefix_features(DIM, DIMS), models._linear,
-                            models.LINEAR_NAMES, {"max_iter": 20}, weights="balanced",
+    return models.PairModel("LogisticRegression", lambda _: fx.prefix_features(DIM, (DIM,)), models._linear,
+                            models.LINEAR_NAMES, {"max_iter": 5}, weights="balanced",
                             param_space=models.LINEAR_SPACE)
 
 

@@ -54,20 +54,35 @@ def safe_div(a, b) -> Column:
     return F.coalesce(F.try_divide(_col(a).cast("double"), _col(b).cast("double")), F.lit(0.0))
 
 
-def extend_ngrams(grams, tokens, n: int) -> Column:
-    """Runs of n tokens from the runs of n - 1; empty when there are fewer tokens."""
-    grams, tokens = _col(grams), _col(tokens)
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    return F.zip_with(F.slice(grams, F.lit(1), count), F.slice(tokens, F.lit(n), count),
-                      lambda run, token: F.concat(run, F.lit(" "), token))
+def _all_groups(line: Column, pattern: str) -> Column:
+    """Every capture of a pattern: one compiled pass, without a lambda per element."""
+    return F.regexp_extract_all(line, F.lit(pattern), F.lit(1))
+
+
+def _grams_of_line(line: Column, patterns: list[str], empty: str) -> Column:
+    """All captures of all patterns; none for a line equal to `empty`.
+
+    The line is a lambda argument, so it is made once and not once per pattern.
+    """
+    filled = F.filter(F.array(line), lambda x: x != empty)
+    return F.flatten(F.transform(filled, lambda x: F.flatten(F.array(*[_all_groups(x, p) for p in patterns]))))
+
+
+def joined_tokens(tokens) -> Column:
+    """Tokens in one line, the form `line_ngrams` reads."""
+    return F.array_join(_col(tokens), " ")
+
+
+def line_ngrams(line, n: int) -> Column:
+    """All runs of n space-separated tokens of a line; empty when there are fewer."""
+    run = r"[^ ]+" + r" [^ ]+" * (n - 1)
+    # From each token start, look ahead over n tokens, then step over one.
+    return _all_groups(_col(line), rf"(?<![^ ])(?=({run})(?![^ ]))[^ ]+")
 
 
 def word_ngrams(tokens, n: int) -> Column:
     """All runs of n tokens, each joined by one space; empty when there are fewer."""
-    grams = _col(tokens)
-    for size in range(2, n + 1):
-        grams = extend_ngrams(grams, tokens, size)
-    return grams
+    return _col(tokens) if n == 1 else line_ngrams(joined_tokens(tokens), n)
 
 
 def char_word_grams(text, low: int = 1, high: int = 8) -> Column:
@@ -75,35 +90,27 @@ def char_word_grams(text, low: int = 1, high: int = 8) -> Column:
 
     A padded word no longer than n is taken whole, once, and larger n are skipped.
     """
-    words = F.transform(whitespace_tokens(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    words = whitespace_tokens(text)
+    # Each word keeps its own two spaces, so a gram inside one word never has two in a row.
+    line = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
 
-    def grams(word):
-        top = F.greatest(F.lit(low), F.least(F.lit(high), F.length(word)))
-        return F.flatten(F.transform(
-            F.sequence(F.lit(low), top),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(word) - n + 1, F.lit(1))),
-                lambda i: F.substr(word, i, n))))
+    def pattern(n):
+        if n == 1:
+            return r"(?s)(.)"
+        forms = [rf"[^ ]{{{n}}}", rf" [^ ]{{{n - 1}}}", rf"[^ ]{{{n - 1}}} "]
+        if n > 2:
+            forms.append(rf" [^ ]{{{n - 2}}} ")
+        if n == low and low > 3:
+            forms.append(rf" [^ ]{{1,{low - 3}}} ")
+        return rf"(?=({'|'.join(forms)}))."
 
-    return F.flatten(F.transform(words, grams))
+    return _grams_of_line(line, [pattern(n) for n in range(low, high + 1)], empty="  ")
 
 
 def char_grams(text, low: int = 1, high: int = 8) -> Column:
     """Character n-grams over the whole text, runs of white space made one space."""
     line = F.regexp_replace(F.lower(_col(text)), SPACE_RUN[:-1] + "{2,}", " ")
-
-    def grams(chars):
-        top = F.least(F.lit(high), F.size(chars))
-        return F.when(top >= low, F.flatten(F.transform(
-            F.sequence(F.lit(low), F.greatest(top, F.lit(low))),
-            lambda n: F.transform(
-                F.sequence(F.lit(1), F.greatest(F.size(chars) - n + 1, F.lit(1))),
-                lambda i: F.array_join(F.slice(chars, i, n), "")))
-        )).otherwise(F.array().cast("array<string>"))
-
-    # A lambda argument is evaluated once; the same expression inside lambdas would not be.
-    split = F.filter(F.split(line, ""), lambda c: c != "")
-    return F.flatten(F.transform(F.array(split), grams))
+    return _grams_of_line(line, [rf"(?s)(?=(.{{{n}}}))." for n in range(low, high + 1)], empty="")
 
 
 def count_matching(text, char_class: str) -> Column:

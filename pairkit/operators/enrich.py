@@ -83,8 +83,10 @@ def score_pairs(df: DataFrame, scorer: Scorer, batch: int = 256) -> DataFrame:
                 else list(np.asarray(feats, dtype=np.float32)))
 
     columns = df.select("index", "qid1", "qid2", "question1", "question2")
-    return columns.mapInPandas(
+    scored = columns.mapInPandas(
         run, "index bigint, qid1 bigint, qid2 bigint, score float, features array<float>")
+    # Arrow turns NaN into NULL on the way.
+    return scored.withColumn("score", F.coalesce("score", F.lit(float("nan")).cast("float")))
 
 
 def add_norm(vectors: DataFrame) -> DataFrame:

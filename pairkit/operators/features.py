@@ -107,13 +107,10 @@ def overlap_columns() -> dict[str, Column]:
 
 
 def with_ngrams(df: DataFrame) -> DataFrame:
-    """Stage the sets of word n-grams of both texts, each size made from the one before."""
-    for n in range(2, tx.MAX_NGRAM + 1):
-        df = df.withColumns({
-            f"__r{n}_{i}": tx.extend_ngrams(f"__t{i}" if n == 2 else f"__r{n - 1}_{i}", f"__t{i}", n)
-            for i in (1, 2)})
-    return df.withColumns({f"__g{n}_{i}": F.array_distinct(f"__r{n}_{i}")
-                           for n in range(2, tx.MAX_NGRAM + 1) for i in (1, 2)})
+    """Stage the sets of word n-grams of both texts."""
+    lines = df.withColumns({f"__line{i}": tx.joined_tokens(f"__t{i}") for i in (1, 2)})
+    return lines.withColumns({f"__g{n}_{i}": F.array_distinct(tx.line_ngrams(f"__line{i}", n))
+                              for n in range(2, tx.MAX_NGRAM + 1) for i in (1, 2)})
 
 
 def ngram_columns() -> dict[str, Column]:
