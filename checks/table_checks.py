@@ -61,6 +61,9 @@ CAST(qid2 AS BIGINT) AS qid2, CAST(length(question1) AS INTEGER) AS n1,
 CAST(length(coalesce(question2, '')) AS INTEGER) AS n2, CAST(is_duplicate AS INTEGER) AS label
 FROM csv WHERE qid1 <> 'n/a'"""))
 
+add("a3_count_bad", lambda spark, sf_dir: src.count_bad(src.read_pairs(spark, csv_folder(spark, sf_dir))),
+    with_(DP, LABELLED_SQL, select="SELECT count(*) AS n_rows, count(*) FILTER (WHERE qid1 = 'n/a') AS n_bad FROM csv"))
+
 
 def unlabelled(spark, sf_dir):
     """Conversation turns as unlabelled CSV rows with blanks around the texts."""
@@ -226,12 +229,10 @@ CAST(inter AS DOUBLE) AS shared FROM i"""))
 
 
 def counters(spark, sf_dir):
-    """Counts gathered while the pairs are written, without another pass."""
+    """Pairs, and those whose left document has no vector."""
     known = samples.vectors(spark, sf_dir).select(F.col("qid").alias("qid1"), F.lit(True).alias("known"))
     pairs = samples.document_links(spark, sf_dir).join(known, "qid1", "left")
-    counted, seen = enrich.count_rows(pairs, "pairs", missing=F.col("known").isNull())
-    counted.write.parquet(scratch_path(spark, "counted"))
-    return spark.createDataFrame([(seen.get["done"], seen.get["missing"])], "done bigint, missing bigint")
+    return enrich.count_rows(pairs, missing=F.col("known").isNull())
 
 
 add("c4_job_counters", counters,

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pairkit.functions import vectors as vx
 
@@ -94,9 +94,11 @@ def add_norm(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("norm", vx.norm("embedding"))
 
 
-def count_rows(df: DataFrame, name: str, **conditions) -> tuple[DataFrame, Observation]:
-    """Frame that counts its rows, and those meeting each condition, as it is computed."""
-    seen = Observation(name)
-    metrics = [F.count(F.lit(1)).alias("done")]
-    metrics += [F.count_if(cond).alias(key) for key, cond in conditions.items()]
-    return df.observe(seen, *metrics), seen
+def count_rows(df: DataFrame, **conditions: Column) -> DataFrame:
+    """One row: how many rows there are, and how many meet each condition.
+
+    Only the columns the conditions need are read. (An Observation would count during
+    another job, but one in a session keeps Spark from shipping some ML models.)
+    """
+    return df.agg(F.count(F.lit(1)).alias("done"),
+                  *[F.count_if(cond).alias(key) for key, cond in conditions.items()])

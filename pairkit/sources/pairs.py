@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairkit.functions import text as tx
 
 LABELLED = ("qid1", "qid2", "question1", "question2", "is_duplicate")
+LABELLED_NUMBERS = ("qid1", "qid2", "label")
 UNLABELLED = ("test_id", "question1", "question2")
 PREFERRED_LABELLED = "questions.csv"
 PREFERRED_UNLABELLED = "test.csv"
@@ -72,34 +73,35 @@ def _int(name: str, kind: str = "bigint") -> Column:
     return tx.strip(F.col(name)).try_cast(kind)
 
 
-def parse_labelled(raw: DataFrame, strip: bool = False,
-                   counts: Observation | None = None) -> DataFrame:
-    """Typed labelled rows; rows whose ids or label are not integers are dropped.
+def _typed_labelled(raw: DataFrame, strip: bool) -> DataFrame:
+    row_no = _int("id") if "id" in raw.columns else F.lit(None).cast("bigint")
+    return raw.select(row_no.alias("row_no"), _int("qid1").alias("qid1"), _int("qid2").alias("qid2"),
+                      _text("question1", strip), _text("question2", strip),
+                      _int("is_duplicate", "int").alias("label"))
+
+
+def _complete(names: Sequence[str]) -> Column:
+    good = F.lit(True)
+    for name in names:
+        good = good & F.col(name).isNotNull()
+    return good
 
-    `counts` receives `rows` and `bad` when the result is computed.
-    """
-    typed = raw.select(
-        _int("id").alias("row_no") if "id" in raw.columns else F.lit(None).cast("bigint").alias("row_no"),
-        _int("qid1").alias("qid1"), _int("qid2").alias("qid2"),
-        _text("question1", strip), _text("question2", strip),
-        _int("is_duplicate", "int").alias("label"))
-    return _drop_bad(typed, ("qid1", "qid2", "label"), counts)
 
+def parse_labelled(raw: DataFrame, strip: bool = False) -> DataFrame:
+    """Typed labelled rows; rows whose ids or label are not integers are dropped."""
+    return _typed_labelled(raw, strip).filter(_complete(LABELLED_NUMBERS))
 
-def parse_unlabelled(raw: DataFrame, strip: bool = True,
-                     counts: Observation | None = None) -> DataFrame:
+
+def count_bad(raw: DataFrame) -> DataFrame:
+    """One row: labelled rows read, and those `parse_labelled` drops."""
+    good = _complete(LABELLED_NUMBERS)
+    return _typed_labelled(raw, False).agg(F.count(F.lit(1)).alias("n_rows"),
+                                           F.count_if(~good).alias("n_bad"))
+
+
+def parse_unlabelled(raw: DataFrame, strip: bool = True) -> DataFrame:
     """Typed unlabelled rows; the label stays NULL."""
     typed = raw.select(
         _int("test_id").alias("test_id"), _text("question1", strip), _text("question2", strip),
         F.lit(None).cast("int").alias("label"))
-    return _drop_bad(typed, ("test_id",), counts)
-
-
-def _drop_bad(typed: DataFrame, needed: tuple[str, ...], counts: Observation | None) -> DataFrame:
-    good = F.lit(True)
-    for name in needed:
-        good = good & F.col(name).isNotNull()
-    if counts is not None:
-        typed = typed.observe(counts, F.count(F.lit(1)).alias("rows"),
-                              F.count_if(~good).alias("bad"))
-    return typed.filter(good)
+    return typed.filter(_complete(["test_id"]))
