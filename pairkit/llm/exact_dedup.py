@@ -63,7 +63,7 @@ def deduplicate(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", tex
     the batch that brought it), kept.
     """
     keys = materialize(docs.select(F.col(id_col).cast("bigint").alias("id"), digest(text_col).alias("digest")), "digests")
-    known = materialize(index.rows().select("digest").join(keys.select("digest").distinct(), "digest", "left_semi"),
+    known = materialize(index.table().select("digest").join(keys.select("digest").distinct(), "digest", "left_semi"),
                         "digests-known").withColumn("known", F.lit(True))
     groups = keys.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
     index.append(groups)

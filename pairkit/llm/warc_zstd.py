@@ -153,7 +153,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
             data, used = write_archive(records, level, dictionary_size, sample_bytes)
             name = f"{stem}-{done:05d}.warc.zst"
             attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with system.open_output_stream(attempt) as out:
+            with system.open_output_stream(attempt, compression=None) as out:
                 out.write(data)
             system.move(attempt, f"{root}/{name}")
             return pa.RecordBatch.from_pylist([{"file": f"{folder.rstrip('/')}/{name}", "records": len(records), "bytes": len(data), "dictionary_bytes": used}])
@@ -182,7 +182,7 @@ def read_warc(files: DataFrame) -> DataFrame:
                             ("payload_digest", pa.string()), ("payload", pa.binary())])
         for name in names:
             system, path = filesystem(name)
-            with system.open_input_stream(path) as source:
+            with system.open_input_stream(path, compression=None) as source:
                 data = source.read()
             rows, size = [], 0
             for offset, record in read_archive(data):
