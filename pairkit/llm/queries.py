@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairkit.llm import exact_dedup, mixing, url_rules, warc_zstd
+from pairkit.llm import exact_dedup, mixing, piece_bpe, token_counts, url_rules, warc_zstd
 from pairkit.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,7 @@ def _tuned(query: Query) -> Query:
 
 
 QUERIES: dict[str, Query] = {f.__name__: _tuned(f) for f in (
-    url_rules.op4_url_filters, warc_zstd.op8_warc, mixing.op9_mixing, exact_dedup.op10_exact_dedup)}
+    token_counts.op2_token_counts, url_rules.op4_url_filters, piece_bpe.op6_sentencepiece, warc_zstd.op8_warc, mixing.op9_mixing, exact_dedup.op10_exact_dedup)}
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
