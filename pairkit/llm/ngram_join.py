@@ -23,8 +23,8 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. The steps:
 
 Words are what stands between white space ([\\x20\\x09-\\x0D]), A-Z lower-cased. A text with fewer
 than `words` words is one shingle, a NULL text or one without words has the empty set and links
-with nothing. Rows without an id have no component. Rows that repeat an id are one document: it
-links by each of its texts. Shingles are compared by 64-bit hashes.
+with nothing. Rows without an id have no component. Rows that repeat an id each have the component
+of their own text. An empty table gives no rows. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -109,7 +109,7 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     if n >= SMALL:
         lows, groups = levels(percent)
         home = int(np.searchsorted(lows, n, side="right")) - 1
-        for level in [home] + [home - 1] * (home > 0 and n * percent < lows[home] * 100):
+        for level in [home, home - 1] if home > 0 and n * percent < lows[home] * 100 else [home]:
             group = ((h >> np.uint64(32)) * np.uint64(groups[level])) >> np.uint64(32)
             start = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1])
             end = start[differ + 1] if len(start) > differ + 1 else n
@@ -347,6 +347,21 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component_id, w.doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component at 5 words and 80 percent the smallest id stays; columns of docs.
 

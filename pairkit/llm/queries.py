@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairkit.llm import (exact_dedup, language_id, mixing, piece_bpe, token_counts, topk_search, toxicity, url_rules,
-                         warc_zstd)
+import corpus_pipeline
+from pairkit.llm import (exact_dedup, language_id, mixing, ngram_join, piece_bpe, token_counts, topk_search, toxicity,
+                         url_rules, warc_zstd)
 from pairkit.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,7 +20,9 @@ def _tuned(query: Query) -> Query:
 
 QUERIES: dict[str, Query] = {f.__name__: _tuned(f) for f in (
     topk_search.op1_topk_search, token_counts.op2_token_counts, toxicity.op3_toxicity, url_rules.op4_url_filters,
-    language_id.op5_language_id, piece_bpe.op6_sentencepiece, warc_zstd.op8_warc, mixing.op9_mixing, exact_dedup.op10_exact_dedup)}
+    language_id.op5_language_id, piece_bpe.op6_sentencepiece, ngram_join.op7_ngram_join, warc_zstd.op8_warc,
+    mixing.op9_mixing, exact_dedup.op10_exact_dedup)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -37,4 +40,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first THEN 'response' E
        CASE WHEN first THEN NULL ELSE keep END AS refers_to FROM b
 """
 
-SQL: dict[str, str] = {"op1_topk_search": topk_search.OP1_SQL, "op4_url_filters": url_rules.OP4_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
+SQL: dict[str, str] = {"op1_topk_search": topk_search.OP1_SQL, "op4_url_filters": url_rules.OP4_SQL, "op7_ngram_join": ngram_join.OP7_SQL, "op8_warc": OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL}
