@@ -94,11 +94,9 @@ FROM t JOIN g ON t.text_sha256 = g.text_sha256
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row stays of each text; columns of docs."""
-    rows = deduplicate(docs, fresh_index(spark))
-    kept = rows.filter("kept").select(F.col("id").alias("kept_id"), F.col("digest").alias("kept_digest")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
-    named = F.col("doc_id").isNotNull()
-    with_id = docs.filter(named).join(kept.filter("kept_id IS NOT NULL"), F.col("doc_id") == F.col("kept_id"), "left_semi")
-    without = docs.filter(~named).join(kept.filter("kept_id IS NULL"), same & (digest("text") == F.col("kept_digest")),
-                                       "left_semi")
-    return with_id.unionByName(without).dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    kept = deduplicate(docs, fresh_index(spark)).filter("kept").select(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    kept = materialize(kept.distinct(), "digests-kept")
+    own = docs.withColumn("__own", digest("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__digest"))
+    # an id may repeat with its text
+    return own.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__own"]).select(*docs.columns)

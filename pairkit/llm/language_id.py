@@ -237,7 +237,8 @@ class Scorer:
         """Meets the words of many texts at once."""
         if len(self.rows) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.clear()
-        self._lookup([w for t in texts if len(t) <= LONG_TEXT for w in WORD.findall(t.lower())])
+        if self.models.languages:
+            self._lookup([w for t in texts if len(t) <= LONG_TEXT for w in WORD.findall(t.lower())])
 
     def entropies(self, text: str) -> tuple[np.ndarray, int]:
         """Bits per character under each language, and the characters: letters and ends of words."""
@@ -282,8 +283,11 @@ def train(docs: DataFrame, learnable: Column, rows_per_language: int = 1000, tex
     return models
 
 
-def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float = 12.0) -> DataFrame:
-    """Append lang_pred, score, bits_per_char and lang_rejected; of the row only the text is read."""
+JUDGED = ("lang_pred", "score", "bits_per_char", "lang_rejected")
+
+
+def judged(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float = 12.0) -> DataFrame:
+    """Append the struct `__language` of lang_pred, score, bits_per_char and lang_rejected; of the row only the text is read."""
     spread = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
     @F.pandas_udf("lang_pred string, score double, bits_per_char double, lang_rejected boolean")
@@ -295,11 +299,15 @@ def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", re
                 part = list(batch.iloc[k:k + 256])
                 scorer.prepare([t for t in part if t is not None])
                 rows += [scorer.judge(t, reject_at) for t in part]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "bits_per_char", "lang_rejected"])
+            yield pd.DataFrame(rows, columns=list(JUDGED))
 
-    judged = docs.withColumn("__judged", judge(F.col(text_col)))
-    return judged.withColumns({c: F.col(f"__judged.{c}") for c in (
-        "lang_pred", "score", "bits_per_char", "lang_rejected")}).drop("__judged")
+    return docs.withColumn("__language", judge(F.col(text_col)))
+
+
+def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float = 12.0) -> DataFrame:
+    """Append lang_pred, score, bits_per_char and lang_rejected; columns of docs with these names are replaced."""
+    rows = judged(docs, models, text_col, reject_at)
+    return rows.withColumns({c: F.col(f"__language.{c}") for c in JUDGED}).drop("__language")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -317,5 +325,4 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents whose language is rejected go; columns of docs."""
-    judged = identify(docs, train(docs, ~held_out()))
-    return judged.filter(~F.col("lang_rejected")).select(*docs.columns)
+    return judged(docs, train(docs, ~held_out())).filter(~F.col("__language.lang_rejected")).select(*docs.columns)

@@ -208,17 +208,18 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one row for each pass over a document that takes words of it, with those words.
 
     A pass that takes the whole document keeps its text as it is, one that takes parts joins their
-    words by single spaces. n_chars follows the new text. Documents without words go.
+    words by single spaces. n_chars follows the new text. Documents without words go. Rows are told
+    apart by id and text, which the dedup before this stage made distinct.
     """
     keyed = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
     pieces = Mix(keyed.select("doc_id", "__row", "source", "text"), ["doc_id", "__row"]).pieces()
-    spans = pieces.groupBy("doc_id", "__row", "start", "pass").agg(
-        F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("spans"), F.sum("words").alias("taken"))
-    spans = materialize(spans.withColumnRenamed("doc_id", "__id"), "mix-spans")
+    spans = pieces.groupBy("doc_id", "__row", "pass").agg(
+        F.sort_array(F.collect_list(F.struct("first_word", "words"))).alias("__spans"), F.sum("words").alias("__taken"))
+    spans = materialize(spans.select(F.col("doc_id").alias("__id"), "__row", "__spans", "__taken"), "mix-spans")
     words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    part = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(
+    part = F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(
         words, s["first_word"].cast("int") + 1, s["words"].cast("int")))), " ")
     mixed = keyed.join(spans, "__row").filter(F.col("doc_id").eqNullSafe(F.col("__id")))
-    whole = F.col("taken") == word_count(F.col("text"))
+    whole = F.col("__taken") == word_count(F.col("text"))
     mixed = mixed.withColumn("text", F.when(whole, F.col("text")).otherwise(part))
     return mixed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
