@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "pairkit", master: str | None = None,
-                  shuffle_partitions: int | None = None, driver_memory: str | None = None) -> SparkSession:
+                  shuffle_partitions: int | None = None, driver_memory: str | None = None,
+                  scratch: str | None = None) -> SparkSession:
     """Session with the settings the library relies on.
 
     AQE coalesces small shuffle partitions and splits skewed join partitions, so
-    `shuffle_partitions` may be set for the largest shuffle. Spark reserves
-    `spark.checkpoint.dir` for the cluster's shared folder; it is not set here.
+    `shuffle_partitions` may be set for the largest shuffle. `scratch` is for sessions whose
+    cluster names no shared folder in `spark.checkpoint.dir`, as in tests.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -32,6 +33,8 @@ def build_session(app: str = "pairkit", master: str | None = None,
         builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
     return tune(builder.getOrCreate())
 
 

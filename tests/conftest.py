@@ -13,10 +13,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", 4, "4g")
+    session = build_session("tests", "local[4]", 4, "4g", scratch=tempfile.mkdtemp(prefix="pairkit-"))
     session.sparkContext.setLogLevel("ERROR")
-    if not session.conf.get("spark.checkpoint.dir", session.sparkContext.getConf().get("spark.checkpoint.dir")):
-        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="pairkit-"))
     return session
 
 
