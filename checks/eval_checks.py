@@ -173,10 +173,10 @@ add("e5_rank_trials", lambda spark, sf_dir: rounded(ranking.rank_trials(trials(s
     with_(FOLDS, select=f"""SELECT trial_number, {r6('value', 'value')}, state,
 CAST(rank() OVER (ORDER BY value DESC NULLS LAST) AS INTEGER) AS rank FROM tr"""))
 add("e8_best_trial", lambda spark, sf_dir: rounded(ranking.best_trial(trials(spark, sf_dir))),
-    with_(FOLDS, select=f"SELECT trial_number, {r6('value', 'value')}, {PARAMS} AS params FROM tr WHERE value IS NOT NULL ORDER BY value DESC, trial_number LIMIT 1"))
+    with_(FOLDS, select=f"SELECT trial_number, {r6('value', 'value')}, {PARAMS} AS params FROM tr WHERE value IS NOT NULL AND state = 'COMPLETE' ORDER BY value DESC, trial_number LIMIT 1"))
 add("p5_trials_summary", lambda spark, sf_dir: rounded(search.summarize(trials(spark, sf_dir))),
     with_(FOLDS, select=f"""SELECT count(*) AS n_trials, count(*) FILTER (WHERE state = 'COMPLETE') AS n_complete,
-count(*) FILTER (WHERE state = 'PRUNED') AS n_pruned, {r6('max(value)', 'best_value')}, {r6('avg(value)', 'mean_value')},
+count(*) FILTER (WHERE state = 'PRUNED') AS n_pruned, {r6("max(value) FILTER (WHERE state = 'COMPLETE')", 'best_value')}, {r6('avg(value)', 'mean_value')},
 {r6('stddev_pop(value)', 'std_value')} FROM tr"""))
 
 
@@ -200,4 +200,4 @@ def best_params(spark, sf_dir):
 
 
 add("a7_read_params", best_params,
-    with_(FOLDS, select=f"SELECT 'cosine' AS model, true AS matches, {r6('value', 'best_score')}, t AS threshold FROM tr WHERE value IS NOT NULL ORDER BY value DESC, trial_number LIMIT 1"))
+    with_(FOLDS, select=f"SELECT 'cosine' AS model, true AS matches, {r6('value', 'best_score')}, t AS threshold FROM tr WHERE value IS NOT NULL AND state = 'COMPLETE' ORDER BY value DESC, trial_number LIMIT 1"))

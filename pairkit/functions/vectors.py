@@ -3,6 +3,10 @@
 Two kernels give the same columns. The native one uses higher-order functions and
 stays in the JVM; it visits every element once, whatever the number of prefixes.
 The Arrow one hands whole batches to numpy and pays off for long vectors.
+
+Both compare the first min(size, length of u, length of v) elements, so rows may differ in
+length. No elements give zeros. A NULL vector, or a NULL among the elements compared, gives
+NULLs for that prefix size.
 """
 
 from __future__ import annotations
@@ -63,8 +67,10 @@ def cosine(u, v, norm_u=None, norm_v=None) -> Column:
     return dot(u, v) / (F.greatest(nu, floor) * F.greatest(nv, floor))
 
 
-def _population_std(sum_sq: Column, mean: Column, n) -> Column:
-    return F.sqrt(F.greatest(sum_sq / n - mean * mean, F.lit(0.0)))
+def _population_std(shifted: Column, shifted_sq: Column, n) -> Column:
+    """From sums of differences to a value of the same row, so that large means do not cancel digits."""
+    mean = shifted / n
+    return F.sqrt(F.greatest(shifted_sq / n - mean * mean, F.lit(0.0)))
 
 
 def hellinger_similarity(p, q) -> Column:
@@ -88,38 +94,48 @@ def resolve_dims(length: int, dims: Sequence[int] | None = None) -> list[int]:
 _MOMENTS = "__moments"
 
 
+_SUMS = ("uu", "vv", "uv", "l1", "sq", "top", "g1", "g2", "p1", "p2", "missing")
+
+
 def _segment_moments(u: Column, v: Column, start: int, size: int) -> Column:
     """Sums over one stretch of both vectors that every statistic is made of."""
+    gap0 = F.coalesce(F.abs(F.get(u, F.lit(0)).cast("double") - F.get(v, F.lit(0)).cast("double")), F.lit(0.0))
+    prod0 = F.coalesce(F.get(u, F.lit(0)).cast("double") * F.get(v, F.lit(0)).cast("double"), F.lit(0.0))
+
     def step(acc, x):
         gap = F.abs(x.a - x.b)
         prod = x.a * x.b
+        g, p = gap - gap0, prod - prod0
         return F.struct(
             (acc.uu + x.a * x.a).alias("uu"), (acc.vv + x.b * x.b).alias("vv"),
             (acc.uv + prod).alias("uv"), (acc.l1 + gap).alias("l1"),
             (acc.sq + gap * gap).alias("sq"), F.greatest(acc.top, gap).alias("top"),
-            (acc.pp + prod * prod).alias("pp"))
+            (acc.g1 + g).alias("g1"), (acc.g2 + g * g).alias("g2"),
+            (acc.p1 + p).alias("p1"), (acc.p2 + p * p).alias("p2"), (acc.missing + x.missing).alias("missing"))
 
+    length = F.greatest(F.least(F.lit(size), F.size(u) - start, F.size(v) - start), F.lit(0))
     both = F.zip_with(
-        F.slice(u, start + 1, size), F.slice(v, start + 1, size),
-        lambda x, y: F.struct(x.cast("double").alias("a"), y.cast("double").alias("b")))
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("uu", "vv", "uv", "l1", "sq", "top", "pp")])
+        F.slice(u, F.lit(start + 1), length), F.slice(v, F.lit(start + 1), length),
+        # the accumulator's fields cannot turn NULL, so missing elements are counted
+        lambda x, y: F.struct(F.coalesce(x.cast("double"), F.lit(0.0)).alias("a"), F.coalesce(y.cast("double"), F.lit(0.0)).alias("b"),
+                              F.when(x.isNull() | y.isNull(), 1.0).otherwise(0.0).alias("missing")))
+    zero = F.struct(*[F.lit(0.0).alias(n) for n in _SUMS])
     return F.aggregate(both, zero, step)
 
 
-def _stats_from_moments(prefix: str, n: int, m: dict[str, Column]) -> dict[str, Column]:
-    mean_gap, mean_prod = m["l1"] / n, m["uv"] / n
+def _stats_from_moments(prefix: str, n: Column, m: dict[str, Column]) -> dict[str, Column]:
     values = {
         "cos_sim": m["uv"] / F.greatest(F.sqrt(m["uu"]) * F.sqrt(m["vv"]), F.lit(EPS)),
         "dot_raw": m["uv"],
         "euclidean": F.sqrt(m["sq"]),
         "manhattan": m["l1"],
-        "abs_diff_mean": mean_gap,
+        "abs_diff_mean": m["l1"] / n,
         "abs_diff_max": m["top"],
-        "abs_diff_std": _population_std(m["sq"], mean_gap, n),
-        "prod_mean": mean_prod,
-        "prod_std": _population_std(m["pp"], mean_prod, n),
+        "abs_diff_std": _population_std(m["g1"], m["g2"], n),
+        "prod_mean": m["uv"] / n,
+        "prod_std": _population_std(m["p1"], m["p2"], n),
     }
-    return {prefix + k: c for k, c in values.items()}
+    return {prefix + k: F.when(m["missing"] == 0, c) for k, c in values.items()}
 
 
 def _native_stats(df: DataFrame, u: str, v: str, sizes: list[int], prefixes: list[str]) -> DataFrame:
@@ -128,16 +144,35 @@ def _native_stats(df: DataFrame, u: str, v: str, sizes: list[int], prefixes: lis
     staged = df.withColumn(_MOMENTS, parts)
     moments, running = {}, None
     for i, size in enumerate(sorted(sizes)):
-        part = {n: F.col(_MOMENTS)[i][n] for n in ("uu", "vv", "uv", "l1", "sq", "top", "pp")}
+        part = {n: F.col(_MOMENTS)[i][n] for n in _SUMS}
         running = part if running is None else {
             n: F.greatest(running[n], c) if n == "top" else running[n] + c for n, c in part.items()}
         moments[size] = running
     cols = {}
     for size, prefix in zip(sizes, prefixes):
-        cols.update(_stats_from_moments(prefix, size, moments[size]))
+        n = F.greatest(F.least(F.lit(size), F.size(u), F.size(v)), F.lit(1))
+        cols.update(_stats_from_moments(prefix, n, moments[size]))
     return staged.withColumns(cols).drop(_MOMENTS)
 
 
+def _padded(a: pa.Array, width: int):
+    """Rows filled up with zeros to `width`, their lengths (-1: NULL), and where NULL elements stand."""
+    import numpy as np
+
+    offsets = a.offsets.to_numpy()
+    lengths = np.diff(offsets)
+    kept = np.minimum(lengths, width)
+    row = np.repeat(np.arange(len(a)), kept)
+    column = np.arange(kept.sum()) - np.repeat(np.cumsum(kept) - kept, kept)
+    at = np.repeat(offsets[:-1], kept) + column
+    values = a.values.cast(pa.float64())
+    missing = np.zeros((len(a), width), dtype=bool)
+    missing[row, column] = values.is_null().to_numpy(zero_copy_only=False)[at]
+    full = np.zeros((len(a), width))
+    full[row, column] = values.fill_null(0.0).to_numpy(zero_copy_only=False)[at]
+    return full, np.where(a.is_valid().to_numpy(zero_copy_only=False), lengths, -1), missing
+
+
 def _arrow_kernel(sizes: list[int], prefixes: list[str]):
     """Vectorised UDF: two array columns in, one struct of all statistics out."""
     names = [p + s for p in prefixes for s in STATS]
@@ -146,26 +181,29 @@ def _arrow_kernel(sizes: list[int], prefixes: list[str]):
     def kernel(u: pa.Array, v: pa.Array) -> pa.Array:
         import numpy as np
 
-        n = len(u)
         width = max(sizes)
-
-        def matrix(a):
-            flat = a.flatten().to_numpy(zero_copy_only=False)
-            full = flat.reshape(n, -1) if n else flat.reshape(0, width)
-            return full[:, :width].astype(np.float64)
-
-        a, b = matrix(u), matrix(v)
+        a, len_a, null_a = _padded(u, width)
+        b, len_b, null_b = _padded(v, width)
+        shorter = np.minimum(len_a, len_b)
+        inside = np.arange(width) < shorter[:, None]
+        a, b, missing = np.where(inside, a, 0.0), np.where(inside, b, 0.0), (null_a | null_b) & inside
         gap = np.abs(a - b)
         prod = a * b
         out = {}
         for size, prefix in zip(sizes, prefixes):
-            g, p = gap[:, :size], prod[:, :size]
+            n = np.clip(shorter, 1, size)
+            g, p, here = gap[:, :size], prod[:, :size], inside[:, :size]
             lengths = np.linalg.norm(a[:, :size], axis=1) * np.linalg.norm(b[:, :size], axis=1)
-            d = p.sum(axis=1)
+            d, mean = p.sum(axis=1), g.sum(axis=1) / n
+
+            def spread(x, center):
+                return np.sqrt((np.where(here, x - center[:, None], 0.0) ** 2).sum(axis=1) / n)
+
             values = (d / np.maximum(lengths, EPS), d, np.sqrt((g * g).sum(axis=1)), g.sum(axis=1),
-                      g.mean(axis=1), g.max(axis=1), g.std(axis=1), p.mean(axis=1), p.std(axis=1))
-            out.update({prefix + s: x for s, x in zip(STATS, values)})
-        return pa.StructArray.from_arrays([pa.array(out[m], pa.float64()) for m in names], names)
+                      mean, g.max(axis=1, initial=0.0), spread(g, mean), d / n, spread(p, d / n))
+            unknown = (shorter < 0) | missing[:, :size].any(axis=1)
+            out.update({prefix + s: pa.array(x, pa.float64(), mask=unknown) for s, x in zip(STATS, values)})
+        return pa.StructArray.from_arrays([out[m] for m in names], names)
 
     return kernel
 

@@ -38,7 +38,7 @@ def out_of_fold(members: Sequence, matrices: Sequence[DataFrame], folds: DataFra
     for f in range(k):
         scored = []
         for member, matrix in zip(members, matrices):
-            rows = matrix.join(folds.select(*KEY, "fold"), list(KEY))
+            rows = matrix.join(joins.one_per_key(folds, "fold"), list(KEY))
             fitted = member.fit(rows.filter(F.col("fold") != f).drop("fold"))
             scored.append(fitted.predict_proba(rows.filter(F.col("fold") == f).drop("fold")))
         parts.append(joins.align_members(scored).withColumn("fold", F.lit(f)))

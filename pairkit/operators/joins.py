@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pairkit.operators import dictionary
 
@@ -115,23 +115,33 @@ def union_train_score(labelled: DataFrame, unlabelled: DataFrame) -> DataFrame:
                               allowMissingColumns=True)
 
 
+def one_per_key(table: DataFrame, value: str, key: Sequence[str] = ("qid1", "qid2")) -> DataFrame:
+    """(key, value): the smallest value of each key, so that a pair given more than once has one split or fold."""
+    return table.groupBy(*key).agg(F.min(value).alias(value))
+
+
 def assign_split(pairs: DataFrame, split: DataFrame, key: Sequence[str] = ("qid1", "qid2")) -> DataFrame:
-    """Pairs with the split recorded for their key."""
-    return pairs.join(split.select(*key, "split"), list(key))
+    """Pairs with the split recorded for their key; repeats of a pair all go where one of them is a test row."""
+    return pairs.join(one_per_key(split, "split", key), list(key))
 
 
 def align_members(members: Sequence[DataFrame], key: Sequence[str] = ("qid1", "qid2")) -> DataFrame:
     """Member score tables side by side: key, label, p0, p1, ... and `agree`, which
-    is false where the members' labels differ."""
+    is false where the members' labels differ.
+
+    Rows that repeat a key are matched by their order of label and probability.
+    """
     key = list(key)
-    base = members[0].select(*key, "label", F.col("proba").alias("p0"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("label", "proba"))
+    numbered = [m.select(*key, "label", "proba", nth.alias("__nth")) for m in members]
+    base = numbered[0].withColumnRenamed("proba", "p0")
     agree: Column = F.lit(True)
-    for i, member in enumerate(members[1:], start=1):
-        base = base.join(member.select(*key, F.col("label").alias(f"__l{i}"),
-                                       F.col("proba").alias(f"p{i}")), key)
+    for i, member in enumerate(numbered[1:], start=1):
+        base = base.join(member.select(*key, "__nth", F.col("label").alias(f"__l{i}"),
+                                       F.col("proba").alias(f"p{i}")), [*key, "__nth"])
         agree = agree & F.col("label").eqNullSafe(F.col(f"__l{i}"))
     return (base.withColumn("agree", agree)
-            .drop(*[f"__l{i}" for i in range(1, len(members))]))
+            .drop("__nth", *[f"__l{i}" for i in range(1, len(members))]))
 
 
 def label_conflicts(aligned: DataFrame) -> DataFrame:

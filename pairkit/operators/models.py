@@ -154,13 +154,21 @@ def _linear(known: Params, size: int) -> Estimator:
 
 # ---- presets -----------------------------------------------------------------
 
+# Search spaces of the presets.
 BOOSTED_SPACE = {
     "max_depth": {"type": "int", "low": 3, "high": 12},
     "min_child_weight": {"type": "int", "low": 1, "high": 10},
     "learning_rate": {"type": "float", "low": 0.01, "high": 0.3, "log": True},
     "n_estimators": {"type": "int", "low": 100, "high": 1000},
     "subsample": {"type": "float", "low": 0.5, "high": 1.0},
-    "colsample_bytree": {"type": "float", "low": 0.4, "high": 1.0},
+    "colsample_bytree": {"type": "float", "low": 0.5, "high": 1.0},
+    "reg_alpha": {"type": "float", "low": 0.01, "high": 100.0, "log": True},
+}
+BOOSTED_B_SPACE = {
+    "iterations": {"type": "int", "low": 100, "high": 1000},
+    "depth": {"type": "int", "low": 4, "high": 10},
+    "learning_rate": {"type": "float", "low": 0.01, "high": 0.3, "log": True},
+    "l2_leaf_reg": {"type": "float", "low": 1.0, "high": 20.0, "log": True},
 }
 LINEAR_SPACE = {"C": {"type": "float", "low": 0.001, "high": 100.0, "log": True}}
 
@@ -178,7 +186,7 @@ def boosted_trees_a(dim: int, dims=None, **params) -> PairModel:
 
 def boosted_trees_b(dim: int, dims=None, **params) -> PairModel:
     return PairModel("BoostedTreesB", lambda _: fx.prefix_all_features(dim, dims), _boosted, BOOSTED_NAMES,
-                     {**BOOSTED_B, **params}, param_space=BOOSTED_SPACE)
+                     {**BOOSTED_B, **params}, param_space=BOOSTED_B_SPACE)
 
 
 def full_classical_features(train: DataFrame, dim: int, dims=None, n_topics: int = 100,

@@ -52,9 +52,12 @@ def rank_trials(trials: DataFrame, score: str = "value") -> DataFrame:
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
-    """One row: the highest-scoring trial and its parameters; the earliest on a tie."""
+    """One row: the highest-scoring complete trial and its parameters; the earliest on a tie.
+
+    What an eliminated trial reached on some of the folds is no score of a trial.
+    """
     order = F.struct(F.col("value"), -F.col("trial_number"))
-    scored = trials.filter(F.col("value").isNotNull())
+    scored = trials.filter((F.col("state") == "COMPLETE") & F.col("value").isNotNull())
     return scored.agg(F.max_by("trial_number", order).alias("trial_number"),
                       F.max("value").alias("value"),
                       F.max_by("params", order).alias("params"))

@@ -125,12 +125,12 @@ def run_study(spark: SparkSession, path: str, rows: DataFrame, candidates: Seque
 # ---- reporting ---------------------------------------------------------------
 
 def summarize(trials: DataFrame) -> DataFrame:
-    """One row: counts by state, best, mean and spread of the scores."""
+    """One row: counts by state, best score of a complete trial, mean and spread of all scores."""
     return trials.agg(
         F.count(F.lit(1)).alias("n_trials"),
         F.count_if(F.col("state") == "COMPLETE").alias("n_complete"),
         F.count_if(F.col("state") == "PRUNED").alias("n_pruned"),
-        F.max("value").alias("best_value"), F.avg("value").alias("mean_value"),
+        F.max(F.when(F.col("state") == "COMPLETE", F.col("value"))).alias("best_value"), F.avg("value").alias("mean_value"),
         F.stddev_pop("value").alias("std_value"))
 
 

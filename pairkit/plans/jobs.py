@@ -65,7 +65,7 @@ def score_all(labelled: DataFrame, unlabelled: DataFrame, model, ids: DataFrame
     Both frames need the columns the model reads; `unlabelled` also test_id. Test ids
     of `ids` (by default those of `unlabelled`) without a score get `default`.
     """
-    # The id of an unlabelled pair stands in for its key.
+    # The id of an unlabelled pair stands in for its key; that it has no label tells it apart.
     keyed = unlabelled.withColumns({"qid1": F.lit(-1).cast("bigint"), "qid2": F.col("test_id"),
                                     "label": F.lit(None).cast("int")}).drop("test_id")
     shared = [c for c in labelled.columns if c in keyed.columns]
@@ -75,7 +75,7 @@ def score_all(labelled: DataFrame, unlabelled: DataFrame, model, ids: DataFrame
     def part(x, scoring: bool):
         if isinstance(x, list):
             return [part(m, scoring) for m in x]
-        return x.filter((F.col("qid1") == -1) == F.lit(scoring))
+        return x.filter(F.col("label").isNull() == F.lit(scoring))
 
     scored = model.fit(part(matrix, False)).predict_proba(part(matrix, True))
     by_id = scored.select(F.col("qid2").alias("test_id"), "proba")
@@ -91,7 +91,7 @@ def tune(spark: SparkSession, pairs: DataFrame, model, name: str, split_path: st
     train = pairs.join(split.filter("split = 'train'").select(*KEY), list(KEY), "left_semi")
     folds = splits.stratified_kfold(train.select(*KEY, "label"), k).drop("label")
     matrix = model.build_features(train, train if model.needs_training_corpus else None)
-    rows = materialize(matrix.join(folds, list(KEY)), "tuning")
+    rows = materialize(matrix.join(joins.one_per_key(folds, "fold"), list(KEY)), "tuning")
     if candidates is None:
         candidates = search.sample_params(model.get_tuning_spec()["param_space"], n_trials, seed)
 

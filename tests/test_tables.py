@@ -135,3 +135,19 @@ def test_study_resumes_and_drops_weak_candidates(spark):
         search.run_study(spark, path, rows, [], fit_score, fresh=True)
     assert ranking.best_trial(again).first().trial_number == 0
     assert search.best_document(again, "m", "s")["best_params"] == {"keep": 0.9}
+
+
+def test_an_eliminated_trial_is_never_the_best(spark):
+    trials = spark.createDataFrame([(0, 0.8, "PRUNED", "{}"), (1, 0.4, "COMPLETE", "{}"), (2, 0.3, "COMPLETE", "{}")],
+                                   "trial_number int, value double, state string, params string")
+    assert ranking.best_trial(trials).first().trial_number == 1
+    assert search.summarize(trials).first().best_value == 0.4
+
+
+def test_repeated_pairs_stay_as_many_as_they_are(spark):
+    pairs = spark.createDataFrame([(1, 2, 0), (1, 2, 0), (3, 4, 1), (5, 6, 1)], "qid1 long, qid2 long, label int")
+    split = pairs.withColumn("split", F.when(F.rand(3) < 0.5, "test").otherwise("train"))
+    assert joins.assign_split(pairs, split).count() == 4
+    members = [pairs.withColumn("proba", F.lit(p) + F.col("label")) for p in (0.1, 0.2, 0.3)]
+    aligned = joins.align_members(members)
+    assert aligned.count() == 4 and aligned.filter("agree").count() == 4

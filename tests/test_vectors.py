@@ -65,3 +65,36 @@ def test_pair_concat_names_follow_values(spark, rows):
     assert len(names) == len(row.x) == 30
     assert row.x[:12] == pytest.approx(row.emb1) and row.x[names.index("scalar_cos_sim")] == pytest.approx(
         brute(row.emb1, row.emb2, 12)[0], abs=1e-6)
+
+
+RAGGED = [(0, [1.0, 2.0, 3.0, 4.0], [2.0, 2.0, 2.0, 2.0]), (1, [1.0, 2.0], [1.0, 2.0, 9.0]), (2, None, [1.0]), (3, [1.0, None, 3.0], [1.0, 1.0, 1.0]),
+          (4, [], [1.0]), (5, [1e4, 1e4 + 1e-3, 1e4 + 3e-3], [0.0, 0.0, 0.0]), (6, [0.0] * 300, [1.0] * 300)]
+
+
+def expected_stats(u, v, size):
+    if u is None or v is None:
+        return [None] * 9
+    u, v = u[:size], v[:size]
+    n = min(len(u), len(v))
+    if any(x is None for x in u[:n] + v[:n]):
+        return [None] * 9
+    a, b = np.array(u[:n], dtype=float), np.array(v[:n], dtype=float)
+    g, p = np.abs(a - b), a * b
+    d = max(n, 1)
+    mean = lambda x: x.sum() / d
+    std = lambda x: np.sqrt(((x - mean(x)) ** 2).sum() / d)
+    return [p.sum() / max(np.linalg.norm(a) * np.linalg.norm(b), 1e-12), p.sum(), np.sqrt((g * g).sum()), g.sum(), mean(g),
+            g.max(initial=0), std(g), mean(p), std(p)]
+
+
+@pytest.mark.parametrize("kernel", ["native", "arrow", "auto"])
+def test_kernels_agree_on_unequal_and_missing_vectors(spark, kernel):
+    df = spark.createDataFrame(RAGGED, "i int, emb1 array<double>, emb2 array<double>").coalesce(1)
+    sizes = [2, 1, 256]
+    got = vx.add_vector_stats(df, "emb1", "emb2", sizes, [f"d{s}_" for s in sizes], kernel).collect()
+    for row, (_, u, v) in zip(sorted(got, key=lambda r: r.i), RAGGED):
+        for s in sizes:
+            want = expected_stats(u, v, s)
+            for name, x in zip(vx.STATS, want):
+                y = row[f"d{s}_{name}"]
+                assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-6 * max(1, abs(x))), (row.i, s, name, x, y)
