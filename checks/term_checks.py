@@ -9,7 +9,7 @@ from pairkit.functions import text as tx, vectors as vx
 from pairkit.operators import dictionary, sparse_pairs, weighting
 from pairkit.plans import samples
 
-WORD_CAP, CHAR_CAP = weighting.WORD_CAP, weighting.CHAR_CAP
+WORD_CAP = CHAR_CAP = None  # all terms
 
 
 def word_model(spark, sf_dir):
@@ -32,7 +32,7 @@ occ AS (SELECT text_id, n, unnest({tokens}) AS term FROM txt),
 cnt AS (SELECT text_id, n, term, count(*) AS tf FROM occ GROUP BY text_id, n, term),
 st AS (SELECT term, sum(tf * n) AS tf, sum(n) AS df FROM cnt GROUP BY term),
 vocab AS (SELECT *, ln((1.0 + (SELECT sum(n) FROM txt)) / (1.0 + df)) + 1.0 AS idf
-  FROM (SELECT * FROM st ORDER BY tf DESC, term LIMIT {cap})),
+  FROM (SELECT * FROM st {f'ORDER BY tf DESC, term LIMIT {cap}' if cap else ''})),
 raw AS (SELECT text_id, cnt.term, idf, (1.0 + ln(CAST(cnt.tf AS DOUBLE))) * idf AS w FROM cnt JOIN vocab ON vocab.term = cnt.term),
 nrm AS (SELECT text_id, sqrt(sum(w * w)) AS len_ FROM raw GROUP BY text_id),
 vec AS (SELECT raw.text_id, term, idf, w / len_ AS w FROM raw JOIN nrm ON nrm.text_id = raw.text_id)"""
@@ -56,6 +56,10 @@ RARE = "rt AS (SELECT quantile_cont(idf, 0.75) AS cut FROM vocab)"
 add("i1_fit_tfidf", lambda spark, sf_dir: rounded(word_model(spark, sf_dir)[1].vocabulary.select("term", "tf", "df", "idf")),
     with_(term_ctes(DP, word_tokens("text"), WORD_CAP),
           select="SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, " + r6("idf", "idf") + " FROM vocab"))
+add("i1_fit_tfidf_capped", lambda spark, sf_dir: rounded(weighting.fit_tfidf(
+    dictionary.corpus(samples.document_pairs(spark, sf_dir)), 1000).vocabulary.select("term", "tf", "df", "idf")),
+    with_(term_ctes(DP, word_tokens("text"), 1000),
+          select="SELECT term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df, " + r6("idf", "idf") + " FROM vocab"))
 add("i2_rare_threshold", lambda spark, sf_dir: rounded(word_model(spark, sf_dir)[1].vocabulary.agg(
     F.percentile("idf", F.lit(0.75)).alias("rare_idf"))),
     with_(term_ctes(DP, word_tokens("text"), WORD_CAP), RARE, select="SELECT " + r6("cut", "rare_idf") + " FROM rt"))

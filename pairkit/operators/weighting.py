@@ -145,13 +145,13 @@ def fit_terms(corpus: DataFrame, tokenizer: Tokenizer, max_features: int | None,
     return TermModel(vocabulary, tokenizer, n_docs, facts["size"], facts["rare"] or 0.0, sublinear)
 
 
-def fit_tfidf(corpus: DataFrame, max_features: int | None = WORD_CAP, sublinear: bool = True,
+def fit_tfidf(corpus: DataFrame, max_features: int | None = None, sublinear: bool = True,
               percentile: float = RARE_PERCENTILE) -> TermModel:
     """Word weights."""
     return fit_terms(corpus, tx.word_tokens, max_features, sublinear, percentile)
 
 
-def fit_char(corpus: DataFrame, max_features: int | None = CHAR_CAP, ngram_range: tuple[int, int] = (1, 8),
+def fit_char(corpus: DataFrame, max_features: int | None = None, ngram_range: tuple[int, int] = (1, 8),
              analyzer: str = "char_wb", sublinear: bool = True) -> TermModel:
     """Character n-gram weights."""
     return fit_terms(corpus, char_tokenizer(*ngram_range, analyzer), max_features, sublinear)
