@@ -135,10 +135,10 @@ class TermModel:
 def fit_terms(corpus: DataFrame, tokenizer: Tokenizer, max_features: int | None,
               sublinear: bool = True, percentile: float = RARE_PERCENTILE) -> TermModel:
     """Fit on every text of `corpus`, repeats included; pass training rows only."""
-    texts = dictionary.distinct_texts(corpus)
+    texts = materialize(dictionary.distinct_texts(corpus), "texts")
+    n_docs = texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     stats = term_statistics(texts, tokenizer)
     terms = cap_vocabulary(stats, max_features) if max_features else stats
-    n_docs = corpus.count()
     vocabulary = materialize(terms.withColumn("idf", idf(F.lit(float(n_docs)), F.col("df"))), "vocabulary")
     facts = vocabulary.agg(F.count(F.lit(1)).alias("size"),
                            F.percentile("idf", F.lit(percentile)).alias("rare")).first()
