@@ -60,13 +60,17 @@ def cut(text: str, chunk: int, overlap: int) -> list[tuple[int, str]]:
 
 def boundaries(encoding, start: int, low: int, high: int) -> tuple[list[int], list[int]]:
     """Starts of pre-tokens at low <= position < high, and the tokens before each; positions in the document."""
-    words, offsets, at, before = encoding.word_ids, encoding.offsets, [], []
-    last = None
-    for i, (word, (begin, _)) in enumerate(zip(words, offsets)):
-        if (word is None or word != last) and low <= start + begin < high:
+    at, before, n = [], [], len(encoding)
+    i = encoding.char_to_token(low - start) or 0
+    last = encoding.token_to_word(i - 1) if 0 < i else None
+    while i < n:
+        word, (begin, _) = encoding.token_to_word(i), encoding.token_to_chars(i)
+        if start + begin >= high:
+            break
+        if (word is None or word != last) and start + begin >= low:
             at.append(start + begin)
             before.append(i)
-        last = word
+        last, i = word, i + 1
     return at, before
 
 
@@ -119,7 +123,7 @@ def encode_chunks(chunks: DataFrame, tokenizer_json: str, overlap: int, margin:
                 if row["i"] < row["n_chunks"] - 1:
                     tail = boundaries(encoding, start, end - overlap, end - margin)
                 yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("id", "text_hash", "n_bytes", "n_chunks", "i")} | {
-                    "tokens": len(encoding.ids), "tail_at": tail[0], "tail_before": tail[1],
+                    "tokens": len(encoding), "tail_at": tail[0], "tail_before": tail[1],
                     "head_at": head[0], "head_before": head[1]}], schema)
 
     return chunks.mapInArrow(run, SEAMS)
