@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairkit.functions.text import safe_div
 from pairkit.operators import ranking
+from pairkit.session import materialize
 
 COUNTS = ("tp", "fp", "tn", "fn")
 
@@ -98,18 +99,17 @@ def fold_means(fold_scores: DataFrame) -> DataFrame:
         F.avg("score").alias("value"), F.count(F.lit(1)).alias("n_folds"))
 
 
-def threshold_sweep(scored: DataFrame, buckets: int = ranking.DEFAULT_BUCKETS) -> DataFrame:
+def threshold_sweep(scored: DataFrame) -> DataFrame:
     """Counts and metrics at every distinct probability used as the threshold.
 
-    Equal probabilities collapse first; running counts then come from bucket offsets,
-    so a frequent value or a dense range does not load one task.
+    Equal probabilities collapse first. The rest is dealt to partitions by ranges of about
+    equal size, wherever the probabilities lie; running counts come from offsets of these.
     """
     levels = scored.groupBy(F.col("proba").alias("threshold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("label").cast("bigint").alias("pos"))
-    # Falling order: probability 1 is in bucket 0. Values outside [0, 1] fall in the end buckets.
-    slot = F.floor((F.lit(1.0) - F.col("threshold")) * F.lit(buckets))
-    bucket = F.greatest(F.lit(0), F.least(F.lit(buckets), slot))
-    summed = ranking.running_sums(levels, bucket, [F.col("threshold").desc()],
+    levels = materialize(levels.repartitionByRange(F.col("threshold").desc())
+                         .withColumn("__range", F.spark_partition_id()), "thresholds")
+    summed = ranking.running_sums(levels, F.col("__range"), [F.col("threshold").desc()],
                                   {"called": F.col("n"), "tp": F.col("pos")})
     whole = levels.agg(F.struct(F.sum("n").alias("n"), F.sum("pos").alias("pos"))).scalar()
     return (summed.withColumn("fp", F.col("called") - F.col("tp"))

@@ -170,6 +170,15 @@ BOOSTED_B_SPACE = {
     "learning_rate": {"type": "float", "low": 0.01, "high": 0.3, "log": True},
     "l2_leaf_reg": {"type": "float", "low": 1.0, "high": 20.0, "log": True},
 }
+FOREST_SPACE = {
+    "n_estimators": {"type": "int", "low": 100, "high": 500},
+    "max_depth": {"type": "int", "low": 4, "high": 20},
+    "min_samples_leaf": {"type": "int", "low": 1, "high": 10},
+}
+SIAMESE_SPACE = {
+    "hidden": {"type": "int", "low": 16, "high": 512, "log": True},
+    "max_iter": {"type": "int", "low": 50, "high": 200},
+}
 LINEAR_SPACE = {"C": {"type": "float", "low": 0.001, "high": 100.0, "log": True}}
 
 
@@ -211,7 +220,7 @@ def boosted_trees_classical(dim: int, dims=None, n_topics: int = 100,
 
 def random_forest(dim: int, dims=None, **params) -> PairModel:
     return PairModel("RandomForest", lambda _: fx.prefix_all_features(dim, dims), _forest, FOREST_NAMES,
-                     {**FOREST, **params})
+                     {**FOREST, **params}, param_space=FOREST_SPACE)
 
 
 @dataclass
@@ -239,6 +248,12 @@ class TopKForest:
         forest = _forest(known, 0).setFeaturesCol("chosen")
         return Fitted(Pipeline(stages=[slicer, forest]).fit(matrix), self.selected)
 
+    def with_params(self, params: Params) -> TopKForest:
+        return replace(self, base=self.base.with_params(params))
+
+    def get_tuning_spec(self) -> dict[str, Any]:
+        return self.base.get_tuning_spec()
+
     def get_config(self) -> dict[str, Any]:
         return {**self.base.get_config(), "model_class": self.name, "top_k": self.k,
                 "selected_feature_names": list(self.selected)}
@@ -262,6 +277,13 @@ class CosineThreshold:
     def predict_proba(self, matrix: DataFrame) -> DataFrame:
         return matrix.select(*KEY, "label", F.col("cos_sim").alias("proba"))
 
+    def with_params(self, params: Params) -> CosineThreshold:
+        """The threshold is all there is to set."""
+        return replace(self, **params)
+
+    def get_tuning_spec(self) -> dict[str, Any]:
+        return {"param_space": {}, "scoring": "f1"}
+
     def get_config(self) -> dict[str, Any]:
         return {"model_class": self.name, "threshold": self.threshold}
 
@@ -302,6 +324,12 @@ class Siamese:
         scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
         return Fitted(Pipeline(stages=[scaler, network]).fit(rows), self.feature_names)
 
+    def with_params(self, params: Params) -> Siamese:
+        return replace(self, **params)
+
+    def get_tuning_spec(self) -> dict[str, Any]:
+        return {"param_space": SIAMESE_SPACE, "scoring": "f1"}
+
     def get_config(self) -> dict[str, Any]:
         return {"model_class": self.name, "hidden": self.hidden, "max_iter": self.max_iter,
                 "threshold": self.threshold}

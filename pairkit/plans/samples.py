@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pairkit.session import materialize
+
 VECTOR_SPAN = 5
 TURNS = 100000
 
@@ -53,9 +55,10 @@ def document_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     has the same opening line."""
     docs = documents(spark, sf_dir)
     opening = F.lower(F.trim(F.split_part("text", F.lit("\n"), F.lit(1))))
-    lines = docs.select("qid", F.md5(opening).alias("line"))
-    # Combined per line before the shuffle; the join has one right row per line.
-    firsts = lines.groupBy("line").agg(F.min("qid").alias("qid1"))
+    lines = materialize(docs.select("qid", F.md5(opening).alias("line")), "lines")
+    # Combined per line before the shuffle. Both sides of the join are written tables, so AQE can
+    # split the partition of a line that very many documents open with.
+    firsts = materialize(lines.groupBy("line").agg(F.min("qid").alias("qid1")), "first-lines")
     star = lines.join(firsts, "line").filter("qid1 < qid").select("qid1", F.col("qid").alias("qid2"))
     after = docs.select(F.col("qid").alias("qid1"), (F.col("qid") + 1).alias("qid2"))
     chain = after.join(docs.select(F.col("qid").alias("qid2")), "qid2").select("qid1", "qid2")

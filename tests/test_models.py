@@ -148,3 +148,10 @@ def test_encoder_batches(spark):
     assert sizes == []
     weights = splits.class_weights(spark.createDataFrame([(0,)] * 6 + [(1,)] * 2, "label int"))
     assert {r.label: r.positive_weight for r in weights.collect()} == {0: 1.0, 1: 2.0}
+
+
+def test_every_model_can_be_tuned():
+    for model, params in ((models.Siamese(), {"hidden": 8}), (models.CosineThreshold(), {"threshold": 0.5}),
+                          (models.TopKForest(models.random_forest(4)), {"n_estimators": 3})):
+        tuned = model.with_params(params)
+        assert type(tuned) is type(model) and tuned != model and "param_space" in model.get_tuning_spec()
