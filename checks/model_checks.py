@@ -305,7 +305,7 @@ add("s2_user_model", user_model,
 def scored_unlabelled(spark, sf_dir):
     """Vector pairs train the cosine detector, document pairs are scored by it."""
     labelled = joined(spark, sf_dir)
-    links = samples.document_links(spark, sf_dir).withColumn("test_id", F.expr("qid1 * 1000000 + qid2"))
+    links = samples.document_links(spark, sf_dir).withColumn("test_id", F.expr("qid1 * 2147483648 + qid2"))
     unlabelled = joins.attach_vectors(links, samples.vectors(spark, sf_dir)).select("test_id", "emb1", "emb2")
     return jobs.score_all(labelled.select("qid1", "qid2", "label", "emb1", "emb2"), unlabelled,
                           models.CosineThreshold(), ids=links, default=0.5)

@@ -10,11 +10,11 @@ from checks.core import DOCS, DP, SCORED, TP, VP, add, r6, rounded, split_ctes,
 from checks.vector_checks import BY_TEXT, cosine_scores, joined, totals, vectors_by_text
 from pairkit.functions import text as tx, vectors as vx
 from pairkit.operators import dictionary, enrich, evaluate, joins, ranking, splits
-from pairkit.plans import samples
+from pairkit.plans import jobs, samples
 from pairkit.session import scratch_path
 from pairkit.sources import pairs as src, stores
 
-ROW_NO = "qid1 * 1000000 + qid2"
+ROW_NO = "qid1 * 2147483648 + qid2"
 
 
 # ---- CSV sources -------------------------------------------------------------
@@ -65,6 +65,26 @@ add("a3_count_bad", lambda spark, sf_dir: src.count_bad(src.read_pairs(spark, cs
     with_(DP, LABELLED_SQL, select="SELECT count(*) AS n_rows, count(*) FILTER (WHERE qid1 = 'n/a') AS n_bad FROM csv"))
 
 
+def load(part):
+    def query(spark, sf_dir):
+        vectors = enrich.add_norm(samples.vectors(spark, sf_dir))
+        rows, counts = jobs.load_pairs(spark, csv_folder(spark, sf_dir), vectors, limit=50)
+        return counts if part == "counts" else rows.select("row_no", "qid1", "qid2", "label", F.size("emb1").alias("dim"))
+
+    return query
+
+
+LOADED = (DP, LABELLED_SQL, """good AS (SELECT CAST(id AS BIGINT) AS row_no, CAST(qid1 AS BIGINT) AS qid1, CAST(qid2 AS BIGINT) AS qid2,
+  CAST(is_duplicate AS INTEGER) AS label FROM csv WHERE qid1 <> 'n/a'),
+kept AS (SELECT good.* FROM good JOIN embeddings a ON a.vec_id = qid1 JOIN embeddings b ON b.vec_id = qid2)""")
+# The limit is the job's own feature.
+add("jobs_load_rows", load("rows"), with_(*LOADED, select="""SELECT row_no, qid1, qid2, label, 64 AS dim FROM kept
+ORDER BY row_no LIMIT 50"""))
+add("jobs_load_counts", load("counts"), with_(*LOADED, select="""SELECT (SELECT count(*) FROM csv) AS n_rows,
+(SELECT count(*) FROM csv WHERE qid1 = 'n/a') AS n_bad, (SELECT count(*) FROM good) - (SELECT count(*) FROM kept) AS n_missing,
+least(50, (SELECT count(*) FROM kept)) AS n_kept"""))
+
+
 def unlabelled(spark, sf_dir):
     """Conversation turns as unlabelled CSV rows with blanks around the texts."""
     folder = scratch_path(spark, "csv")
@@ -312,7 +332,7 @@ add("r3_submission", submitted,
     with_(DOCS, f"""cs AS (SELECT l.qid1, l.qid2, {DOUBLES.format('a.embedding')} AS u, {DOUBLES.format('b.embedding')} AS v
   FROM links l JOIN embeddings a ON a.vec_id = l.qid1 JOIN embeddings b ON b.vec_id = l.qid2),
 pr AS (SELECT qid1, qid2, round({COS}, 6) AS proba FROM cs)""",
-          select=f"""SELECT links.qid1 * 1000000 + links.qid2 AS test_id, printf('%.6f', coalesce(proba, 0.5)) AS is_duplicate
+          select=f"""SELECT links.qid1 * 2147483648 + links.qid2 AS test_id, printf('%.6f', coalesce(proba, 0.5)) AS is_duplicate
 FROM links LEFT JOIN pr ON pr.qid1 = links.qid1 AND pr.qid2 = links.qid2"""))
 
 

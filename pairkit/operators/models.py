@@ -333,3 +333,23 @@ class Siamese:
     def get_config(self) -> dict[str, Any]:
         return {"model_class": self.name, "hidden": self.hidden, "max_iter": self.max_iter,
                 "threshold": self.threshold}
+
+
+# Every model by the name it reports.
+MODELS = {
+    "LogisticRegression": lambda dim, dims, **p: logistic_regression(dim, **p),
+    "BoostedTreesA": lambda dim, dims, **p: boosted_trees_a(dim, dims, **p),
+    "BoostedTreesB": lambda dim, dims, **p: boosted_trees_b(dim, dims, **p),
+    "BoostedTreesClassical": lambda dim, dims, **p: boosted_trees_classical(dim, dims, **p),
+    "RandomForest": lambda dim, dims, **p: random_forest(dim, dims, **p),
+    "RandomForestTopK": lambda dim, dims, **p: TopKForest(random_forest(dim, dims, **p)),
+    "CosineThreshold": lambda dim, dims, **p: CosineThreshold(**p),
+    "Siamese": lambda dim, dims, **p: Siamese(**p),
+}
+
+
+def by_name(name: str, dim: int, dims=None, **params):
+    """The model of a name; `params` are its own parameters."""
+    if name not in MODELS:
+        raise KeyError(f"no model {name}; there are {sorted(MODELS)}")
+    return MODELS[name](dim, dims, **params)

@@ -1,4 +1,4 @@
-"""The three jobs a user runs: evaluate a model, score unlabelled pairs, tune a model."""
+"""The jobs a user runs: load pairs, evaluate a model, score unlabelled pairs, tune a model."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pairkit.operators import evaluate, joins, ranking, search, splits
+from pairkit.operators import evaluate, joins, models, ranking, search, splits
 from pairkit.session import materialize
-from pairkit.sources import stores
+from pairkit.sources import pairs as src, stores
 
 KEY = ("qid1", "qid2")
 
@@ -26,6 +26,38 @@ def _written(matrix, name: str):
     return matrix if isinstance(matrix, list) else materialize(matrix, name)
 
 
+def load_pairs(spark: SparkSession, folder: str, vectors: DataFrame, limit: int | None = None,
+               hot_share: float | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Labelled pairs of a folder joined to both vectors, and one row that says what became of the rows read.
+
+    The counts come from the two tables the job writes, not from reading its input again:
+    n_rows read, n_bad (ids or label not numbers), n_missing (no vector), n_kept. The limit
+    takes the first rows, by row_no, of those that have both vectors.
+    """
+    typed = materialize(src.typed_labelled(src.read_pairs(spark, folder, multi_line)), "typed")
+    joined = materialize(joins.attach_vectors(typed.filter("is_good").drop("is_good"), vectors, hot_share), "loaded")
+    rows = joined if limit is None else ranking.head_limit(joined, limit)
+    read = typed.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("is_good")).alias("n_bad")).first()
+    kept = joined.agg(F.count(F.lit(1))).first()[0]
+    counts = {"n_rows": read["n_rows"], "n_bad": read["n_bad"], "n_missing": read["n_rows"] - read["n_bad"] - kept,
+              "n_kept": kept if limit is None else min(kept, limit)}
+    return rows, spark.createDataFrame([tuple(counts.values())], ", ".join(f"{n} bigint" for n in counts))
+
+
+def configured_model(spark: SparkSession, name: str, dim: int, dims: Sequence[int] | None = None,
+                     params_path: str | None = None, **options):
+    """The model of a name, with the parameters of a best-parameters document that was written for it."""
+    model = models.by_name(name, dim, dims, **options)
+    if params_path is None:
+        return model
+    doc = stores.read_params(spark, params_path, model.name)
+    if not doc["matches"]:
+        raise ValueError(f"{params_path} was tuned for {doc.get('model')}, not for {model.name}")
+    if hasattr(model, "apply_tuned_params"):
+        return model.apply_tuned_params(doc["best_params"], params_path, doc.get("best_score"), doc.get("method", "external"))
+    return model.with_params(doc["best_params"])
+
+
 def run_experiment(spark: SparkSession, pairs: DataFrame, model, name: str, split_path: str,
                    results: str, test_size: float = 0.2, threshold: float | None = None,
                    arguments: dict[str, Any] | None = None) -> DataFrame:

@@ -92,6 +92,11 @@ def parse_labelled(raw: DataFrame, strip: bool = False) -> DataFrame:
     return _typed_labelled(raw, strip).filter(_complete(LABELLED_NUMBERS))
 
 
+def typed_labelled(raw: DataFrame, strip: bool = False) -> DataFrame:
+    """All typed rows; `is_good` is false where an id or the label is not a number."""
+    return _typed_labelled(raw, strip).withColumn("is_good", _complete(LABELLED_NUMBERS))
+
+
 def count_bad(raw: DataFrame) -> DataFrame:
     """One row: labelled rows read, and those `parse_labelled` drops."""
     good = _complete(LABELLED_NUMBERS)

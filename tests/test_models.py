@@ -155,3 +155,14 @@ def test_every_model_can_be_tuned():
                           (models.TopKForest(models.random_forest(4)), {"n_estimators": 3})):
         tuned = model.with_params(params)
         assert type(tuned) is type(model) and tuned != model and "param_space" in model.get_tuning_spec()
+
+
+def test_models_by_name_take_only_their_own_parameters(spark):
+    path = scratch_path(spark, "params")
+    stores.write_document(spark, {"model": "RandomForest", "best_score": 0.8, "best_params": {"max_depth": 3}}, path, "overwrite")
+    assert jobs.configured_model(spark, "RandomForest", DIM, params_path=path).params["max_depth"] == 3
+    with pytest.raises(ValueError):
+        jobs.configured_model(spark, "BoostedTreesA", DIM, params_path=path)
+    assert {models.by_name(n, DIM).name for n in models.MODELS} == set(models.MODELS)
+    with pytest.raises(KeyError):
+        models.by_name("none", DIM)
