@@ -12,13 +12,15 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. The steps:
     a level's edge give signatures for both. Sets of less than `SMALL` shingles have one shingle
     in each group. (A set of 64 shingles or more that fills fewer than d + 1 groups, which has a
     chance under 1e-15, gives what it has.)
-3.  Classes that share signatures, directly or through others, form a neighbourhood. In each a
-    count-vector R-tree finds the links: the 64 coordinates of a set count its shingles by hash,
-    a node's box bounds what a set in it can share with a query by the sum of coordinate minima,
-    and only pairs that pass are compared. Pairs that links connect already are skipped, so the
-    links found are a spanning forest of all links, not all pairs.
-4.  A neighbourhood of over `block` classes is first compared with a few of its members; what
-    these leave apart meets the whole neighbourhood in blocks, each pair of blocks a group.
+3.  The classes of a signature are searched by a count-vector R-tree: the coordinates of a set, 64
+    or more for large sets, count its shingles by groups of their hashes, a node's box bounds what a set in it can share with a query by
+    the sum of coordinate minima, and pairs pass whose bound allows a link. Passing pairs make
+    neighbourhoods, which hold all links. A signature of very many classes is searched in pairs
+    of blocks.
+4.  The sets of a neighbourhood's classes are read, and passing pairs are compared, again by an
+    R-tree. Pairs that links connect already are skipped, so the links found are a spanning
+    forest of all links, not all pairs. A neighbourhood of over `block` classes is first compared
+    with a few of its members; what these leave apart meets all of it in pairs of blocks.
 5.  Components over the found links go back to all members of the classes.
 
 Words are what stands between white space ([\\x20\\x09-\\x0D]), A-Z lower-cased. A text with fewer
@@ -30,8 +32,9 @@ of their own text. An empty table gives no rows. Shingles are compared by 64-bit
 from __future__ import annotations
 
 import re
+import sys
+import types
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,20 +43,28 @@ from pyspark.sql.window import Window
 
 from pairkit.llm.components import Forest, connected_components
 from pairkit.llm.language_id import mix
-from pairkit.session import materialize
+from pairkit.session import dropped, materialize
 
+LINKS = "a bigint, b bigint"
 SMALL = 64
-GROUPS = 64
 LEAF = 8
 LEADERS = 4
-PART_BYTES = 1 << 22
+BUCKET = 4096
+PART_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 LETTER = np.random.default_rng(2024).integers(1, 2 ** 63, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
+def kept(name, make):
+    """What the worker process has made before; functions travel by value and so lose their globals."""
+    state = sys.modules.setdefault("_ngram_join", types.ModuleType("_ngram_join")).__dict__
+    if name not in state:
+        state[name] = make()
+    return state[name]
+
+
 def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(size, BASE, np.uint64), np.full(size, pow(BASE, -1, 2 ** 64), np.uint64)
     up[0] = down[0] = 1
@@ -71,7 +82,8 @@ def word_hashes(text: bytes) -> np.ndarray:
         blank = (b == 32) | ((b >= 9) & (b <= 13))
         edge = np.diff(np.concatenate([[1], blank.view(np.int8), [1]]))
         start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        up, down = _powers(1 << max(16, len(b).bit_length()))
+        size = 1 << max(16, len(b).bit_length())
+        up, down = kept(f"powers of {size}", lambda: _powers(size))
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(LETTER[b] * up[:len(b)])])
         parts.append(mix((total[stop] - total[start]) * down[start] + (stop - start).astype(np.uint64)))
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -88,7 +100,6 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(mix(h + np.uint64(words - k)))
 
 
-@lru_cache(maxsize=8)
 def levels(percent: int, largest: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
     """Lowest size of each level, and its number of groups."""
     lows = [SMALL]
@@ -107,7 +118,7 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
     if n * percent < SMALL * 100:
         out.append(mix(h[:differ + 1] ^ FACTOR))
     if n >= SMALL:
-        lows, groups = levels(percent)
+        lows, groups = kept(f"levels at {percent}", lambda: levels(percent))
         home = int(np.searchsorted(lows, n, side="right")) - 1
         for level in [home, home - 1] if home > 0 and n * percent < lows[home] * 100 else [home]:
             group = ((h >> np.uint64(32)) * np.uint64(groups[level])) >> np.uint64(32)
@@ -127,7 +138,7 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 
 def sets_and_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """id, n, key1, key2, signatures; of rows of one task with equal sets, one has the signatures. docs: id, text."""
+    """id, n, key1, key2, point, signatures; of rows of one task with equal sets, one has the last two. docs: id, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
@@ -136,15 +147,15 @@ def sets_and_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 rows = []
                 for id_, text in zip(part.column(0).to_pylist(), part.column(1)):
                     h = shingle_set(text.as_py(), words)
-                    key, marks = (set_key(h) if len(h) else (None, None)), None
+                    key, marks, point = (set_key(h) if len(h) else (None, None)), None, None
                     if len(h) and id_ is not None and key not in seen:
                         seen.add(key)
-                        marks = signatures(h, percent).view(np.int64)
-                    rows.append((id_, len(h), *key, marks))
-                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.list_(pa.int64()),))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key1", "key2", "signatures"])
+                        marks, point = signatures(h, percent).view(np.int64), packed(counts(h, bits_for(len(h))))
+                    rows.append((id_, len(h), *key, point, marks))
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key1", "key2", "point", "signatures"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, key1 bigint, key2 bigint, signatures array<bigint>")
+    return docs.mapInArrow(run, "id bigint, n bigint, key1 bigint, key2 bigint, point binary, signatures array<bigint>")
 
 
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -169,13 +180,37 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def bits_for(size: int) -> int:
+    """Bits of the hash that choose a shingle's coordinate: 64 coordinates, or as many as leave about 12 shingles in each.
+
+    Unlike sets of n shingles differ by about sqrt(n * coordinates / pi) in their sums of minima, which must stand
+    out against n.
+    """
+    return max(6, int(size // 12).bit_length())
+
+
+def counts(h: np.ndarray, bits: int) -> np.ndarray:
+    """The set as a point: its shingles in each of the groups of the hash's first bits."""
+    return np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+
+
+def packed(point: np.ndarray) -> bytes:
+    kind = 1 if point.max() < 256 else 4
+    return bytes([kind]) + point.astype(f"<u{kind}").tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    """Points as rows, all in the coordinates of the coarsest: finer ones are sums of neighbours."""
+    found = [np.frombuffer(p, f"<u{p[0]}", offset=1).astype(np.int64) for p in points]
+    width = min(map(len, found))
+    return np.stack([p if len(p) == width else p.reshape(width, -1).sum(axis=1) for p in found])
+
+
 class CountTree:
-    """R-tree over count vectors, packed bottom up: by size, then in tiles by the first coordinates."""
+    """R-tree over points, packed bottom up: by size, then in tiles by the first coordinates."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent = percent
-        self.points = np.stack([counts(s) for s in sets])
-        self.sizes = np.array([len(s) for s in sets])
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
+        self.percent, self.points, self.sizes = percent, points, sizes
         order = np.lexsort((self.points[:, 0], self.sizes))
         tile = LEAF * LEAF
         for lo in range(0, len(order), tile):  # within a run of like sizes by another coordinate
@@ -206,8 +241,60 @@ class CountTree:
         return rows[self._passes(point, size, self.points[rows], self.sizes[rows])]
 
 
-def counts(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+def passing_pairs(keys: list[int], points: np.ndarray, sizes: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs that the bound lets pass, as a forest that connects what all of them connect."""
+    forest = Forest()
+    tree = CountTree(points, sizes, percent)
+    for q, key in enumerate(keys):
+        for i in tree.near(points[q], sizes[q]):
+            if forest.join(key, keys[i]):
+                yield min(key, keys[i]), max(key, keys[i])
+
+
+def neighbours(buckets: DataFrame, percent: int) -> DataFrame:
+    """a, b: passing pairs of classes in each group. buckets: signature, i, j, key1, n, point."""
+    group = ["signature", "i", "j"]
+    rows = buckets.select(*group, "key1", "n", "point").repartition(*group).sortWithinPartitions(*group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, known, out = None, {}, {}, []
+
+        def close():
+            keys = sorted(held)
+            if len(keys) == 2:  # most groups: two classes, which meet in many
+                pair = tuple(keys)
+                if pair not in known:
+                    if len(known) >= 1 << 20:
+                        known.clear()
+                    (m, a), (n, b) = held[keys[0]], held[keys[1]]
+                    known[pair] = (100 + percent) * unpacked([a, b]).min(axis=0).sum() >= percent * (m + n)
+                    if known[pair]:
+                        out.append(pair)
+            elif len(keys) > 2:
+                sizes = np.array([held[k][0] for k in keys])
+                points = unpacked([held[k][1] for k in keys])
+                for pair in passing_pairs(keys, points, sizes, percent):
+                    if known.get(pair) is not True:
+                        known[pair] = True
+                        out.append(pair)
+
+        def found():
+            columns = list(zip(*out)) or [[], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in range(6)]
+            for *key, key1, n, point in zip(*columns):
+                if key != current:
+                    close()
+                    current, held = key, {}
+                held[key1] = (n, point)
+            yield found()
+        close()
+        yield found()
+
+    return rows.mapInArrow(run, LINKS)
 
 
 def block_links(rows: list[tuple[int, int, bool, bool, np.ndarray]], percent: int) -> Iterator[tuple[int, int]]:
@@ -216,20 +303,18 @@ def block_links(rows: list[tuple[int, int, bool, bool, np.ndarray]], percent: in
     points = [r for r in rows if r[3]]
     if not points:
         return
-    tree = CountTree([r[4] for r in points], percent)
+    bits = bits_for(min(len(r[4]) for r in rows))
+    tree = CountTree(np.stack([counts(r[4], bits) for r in points]), np.array([len(r[4]) for r in points]), percent)
     for id_, name, query, _, h in rows:
         if not query:
             continue
-        for i in tree.near(counts(h), len(h)):
+        for i in tree.near(counts(h, bits), len(h)):
             other = points[i]
             if other[0] != id_ and forest.find(name) != forest.find(other[1]) and alike(h, other[4], percent):
                 forest.join(name, other[1])
                 yield id_, other[0]
 
 
-LINKS = "a bigint, b bigint"
-
-
 def join_groups(groups: DataFrame, percent: int) -> DataFrame:
     """Links of each group. groups: neighbourhood, i, j, id, name, query, point, shingles."""
     key = ["neighbourhood", "i", "j"]
@@ -271,39 +356,43 @@ def compare_pairs(pairs: DataFrame, percent: int) -> DataFrame:
 
 def links_of(sets: DataFrame, percent: int, block: int) -> DataFrame:
     """A spanning forest of the links within each neighbourhood. sets: neighbourhood, id, shingles, written."""
-    sizes = materialize(sets.groupBy("neighbourhood").agg(F.count("*").alias("members")), "join-sizes")
+    ids = sets.select("neighbourhood", "id")
+    sizes = materialize(ids.groupBy("neighbourhood").agg(F.count("*").alias("members")), "join-sizes")
     large = sizes.filter(F.col("members") > block)
     whole = sets.join(sizes.filter(F.col("members") <= block), "neighbourhood").select(
         "neighbourhood", F.lit(0).alias("i"), F.lit(0).alias("j"), "id", F.col("id").alias("name"), F.lit(True).alias("query"),
         F.lit(True).alias("point"), "shingles")
+    found = materialize(join_groups(whole, percent), "join-links")
     if large.isEmpty():
-        return materialize(join_groups(whole, percent), "join-links")
+        return found
     # a few members, the smallest id and some by hash, are compared with all
-    many = materialize(sets.join(large, "neighbourhood"), "join-large")
+    many = ids.join(large, "neighbourhood")
     least = many.groupBy("neighbourhood").agg(
         F.array_distinct(F.array(F.min("id"), *[F.min_by("id", F.xxhash64("id", F.lit(k))) for k in range(1, LEADERS)])).alias("ids"))
-    leaders = materialize(many.select("id", "shingles").join(least.select("neighbourhood", F.explode("ids").alias("id")), "id")
-                          .select("neighbourhood", F.col("id").alias("a"), F.col("shingles").alias("other")), "join-leaders")
-    pairs = many.join(leaders, "neighbourhood").filter("a <> id").withColumnRenamed("id", "b")
+    least = least.select("neighbourhood", F.explode("ids").alias("id"))
+    leaders = materialize(sets.join(least, ["neighbourhood", "id"]).select(
+        "neighbourhood", F.col("id").alias("a"), F.col("shingles").alias("other")), "join-leaders")
+    pairs = sets.join(leaders, "neighbourhood").filter("a <> id").withColumnRenamed("id", "b")
     star = materialize(compare_pairs(pairs, percent), "join-stars")
     names = connected_components(star)
     named = materialize(many.join(names, F.col("id") == F.col("node"), "left").select(
-        "neighbourhood", "members", "id", F.coalesce("component", "id").alias("name"), "shingles"), "join-named")
+        "neighbourhood", "members", "id", F.coalesce("component", "id").alias("name")), "join-named")
     # the component with the most members needs no comparison within itself
     count = named.groupBy("neighbourhood", "name").agg(F.count("*").alias("size"))
     main = materialize(count.groupBy("neighbourhood").agg(F.max_by("name", F.struct("size", "name")).alias("main"),
                                                           (F.sum("size") - F.max("size")).alias("apart")), "join-main").filter("apart > 0")
     rest = named.join(main, "neighbourhood")
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    rest = rest.withColumns({"at": F.pmod(F.xxhash64("id"), F.col("members")) % blocks("members"),
-                             "own": F.pmod(F.xxhash64("id", F.lit(9)), F.col("apart")) % blocks("apart")})
+    at = F.pmod(F.xxhash64("id"), blocks("members")).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(9)), blocks("apart")).cast("int")
     queries = rest.filter("name <> main").select(
-        "neighbourhood", F.col("own").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("j"), "id",
-        "name", F.lit(True).alias("query"), F.lit(False).alias("point"), "shingles")
+        "neighbourhood", own.alias("i"), F.explode(F.sequence(F.lit(0), blocks("members") - 1)).alias("j"), "id", "name",
+        F.lit(True).alias("query"), F.lit(False).alias("point"))
     points = rest.select(
-        "neighbourhood", F.explode(F.sequence(F.lit(0), blocks("apart") - 1)).alias("i"), F.col("at").cast("int").alias("j"), "id",
-        "name", F.lit(False).alias("query"), F.lit(True).alias("point"), "shingles")
-    return materialize(join_groups(whole.unionByName(queries).unionByName(points), percent).unionByName(star), "join-links")
+        "neighbourhood", F.explode(F.sequence(F.lit(0), blocks("apart") - 1)).alias("i"), at.alias("j"), "id", "name",
+        F.lit(False).alias("query"), F.lit(True).alias("point"))
+    groups = queries.unionByName(points).join(sets.select("id", "shingles"), "id")
+    return found.unionByName(star).unionByName(materialize(join_groups(groups, percent), "join-block-links"))
 
 
 class JaccardJoin:
@@ -317,14 +406,12 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                  block: int = 128):
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-        marked = materialize(sets_and_signatures(texts, words, percent), "join-sets")
-        self.rows = marked.select("id", "n", "key1", "key2")
+        marked = materialize(sets_and_signatures(texts, words, percent), "join-signatures")
+        self.rows = materialize(marked.select("id", "n", "key1", "key2"), "join-sets")
         self.classes = materialize(self.rows.filter("id IS NOT NULL AND n > 0").groupBy("key1", "key2").agg(
             F.min("id").alias("representative")), "join-classes")
-        each = marked.select("key1", F.explode("signatures").alias("signature"))
-        shared = each.withColumn("least", F.min("key1").over(Window.partitionBy("signature"))).filter("key1 <> least")
-        edges = materialize(shared.select(F.col("least").alias("a"), F.col("key1").alias("b")).distinct(), "join-neighbours")
-        near = connected_components(edges)
+        near = connected_components(self._passing(marked, percent))
+        dropped(marked)
         roots = near.select(F.col("component").alias("node"), "component").distinct()
         near = near.unionByName(roots).withColumnsRenamed({"node": "key1", "component": "neighbourhood"})
         chosen = materialize(self.classes.join(near, "key1"), "join-chosen")
@@ -332,6 +419,21 @@ class JaccardJoin:
         sets = materialize(with_sets(found.select("id", "text", "neighbourhood", "key1", "key2"), words), "join-shingles")
         self.links = links_of(sets, percent, block)
 
+    def _passing(self, marked: DataFrame, percent: int) -> DataFrame:
+        """Pairs of classes, by the first of their keys, that share a signature and pass the bound."""
+        each = marked.select("key1", F.explode("signatures").alias("signature"))
+        same = Window.partitionBy("signature")
+        shared = materialize(each.withColumns({"least": F.min("key1").over(same), "most": F.max("key1").over(same),
+                                               "members": F.count("*").over(same)}).filter("least < most")
+                             .select("signature", "key1", "members"), "join-shared")
+        points = marked.filter("point IS NOT NULL").groupBy("key1").agg(F.max("n").alias("n"), F.max("point").alias("point"))
+        blocks = F.ceil(F.col("members") / BUCKET).cast("int")
+        own = F.pmod(F.xxhash64("key1"), blocks).cast("int")
+        other = F.explode(F.sequence(F.lit(0), blocks - 1))
+        pairs = shared.withColumn("own", own).withColumn("other", other).select(
+            "signature", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key1")
+        return materialize(neighbours(pairs.join(materialize(points, "join-points"), "key1"), percent), "join-neighbours")
+
     def members(self) -> DataFrame:
         names = connected_components(self.links).withColumnRenamed("node", "representative")
         named = materialize(self.classes.join(names, "representative", "left").select(

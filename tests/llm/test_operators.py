@@ -274,6 +274,30 @@ def test_join_equals_brute_force(spark, words, percent, block):
     assert sorted(tuple(r) for r in got.select("id", "n", "component").collect()) == brute_components(rows, words, percent)
 
 
+def test_signatures_and_bound_lose_no_link():
+    """Around the sizes at which levels, and the number of coordinates, change."""
+    rng = np.random.default_rng(8)
+    lows = set(ngram_join.levels(85)[0][:8].tolist())
+    for n in sorted({6, 20, 63, 64, 65, 74, 75, 76, 767, 768, 1535, 1536, 3000} | lows):
+        base = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64) * np.uint64(2))
+        for share in (1.0, 0.99, 0.95, 0.9, 0.86):
+            keep = rng.permutation(base)[: int(np.ceil(n * share))]
+            other = np.unique(np.concatenate([keep, rng.integers(0, 2 ** 63, max(0, int(n * (1 - share) / 8)), dtype=np.uint64)]))
+            if not ngram_join.alike(base, other, 85) or np.array_equal(base, other):
+                continue
+            assert np.intersect1d(ngram_join.signatures(base, 85), ngram_join.signatures(other, 85)).size, (n, share)
+            points = ngram_join.unpacked([ngram_join.packed(ngram_join.counts(h, ngram_join.bits_for(len(h)))) for h in (base, other)])
+            assert list(ngram_join.passing_pairs([1, 2], points, np.array([len(base), len(other)]), 85)) == [(1, 2)]
+
+
+def test_bound_parts_unlike_sets_of_any_size():
+    rng = np.random.default_rng(9)
+    for n in (300, 1000, 5000, 20000):
+        sets = [np.unique(rng.integers(0, 2 ** 64, n, dtype=np.uint64)) for _ in range(20)]
+        points = np.stack([ngram_join.counts(h, ngram_join.bits_for(n)) for h in sets])
+        assert not list(ngram_join.passing_pairs(list(range(20)), points, np.array(list(map(len, sets))), 85)), n
+
+
 def test_join_of_odd_rows(spark, odd):
     got = sorted((str(r.id), r.n, r.component) for r in ngram_join.JaccardJoin(odd, 4, 85).members().collect())
     assert len(got) == 13 and ("5", 1, 4) in got and ("2", 0, 2) in got and ("None", 1, None) in got
