@@ -85,7 +85,7 @@ def test_threshold_sweep_matches_brute_force(spark):
     rng = random.Random(5)
     data = [(int(rng.random() < 0.3), 0.5 if rng.random() < 0.4 else round(rng.random(), 2)) for _ in range(800)]
     df = spark.createDataFrame(data, "label int, proba double")
-    rows = evaluate.threshold_sweep(df, 16).collect()
+    rows = evaluate.threshold_sweep(df).collect()
     assert len(rows) == len({p for _, p in data})
     for r in rows:
         assert r.tp == sum(y == 1 and p >= r.threshold for y, p in data)
