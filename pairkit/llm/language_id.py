@@ -33,8 +33,8 @@ from pairkit.llm.sampling import bounded_sample
 
 ORDER = 5
 WORD = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 400_000
-MEMO_CHARS = 8_000_000
+MEMO_WORDS = 200_000
+MEMO_CHARS = 4_000_000
 LONG_TEXT = 1 << 20
 PIECE_CHARS = 1 << 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)

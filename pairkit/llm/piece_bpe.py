@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SPACE = "▁"
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 64
 LONG_TEXT = 1 << 22
 

@@ -31,8 +31,8 @@ from pairkit.llm.sampling import bounded_sample
 
 WORD = re.compile(r"[^\W_]+")
 SHORTEST = 3
-MEMO_WORDS = 400_000
-MEMO_CHARS = 8_000_000
+MEMO_WORDS = 200_000
+MEMO_CHARS = 4_000_000
 PART_CHARS = 1 << 16
 LONG_TEXT = 1 << 20
 
