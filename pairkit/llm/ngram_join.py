@@ -415,7 +415,8 @@ class JaccardJoin:
         roots = near.select(F.col("component").alias("node"), "component").distinct()
         near = near.unionByName(roots).withColumnsRenamed({"node": "key1", "component": "neighbourhood"})
         chosen = materialize(self.classes.join(near, "key1"), "join-chosen")
-        found = texts.join(chosen.withColumnRenamed("representative", "id"), "id")
+        # merged at every size: the candidates grow with the data, and a broadcast of few would only do for little data
+        found = texts.join(chosen.withColumnRenamed("representative", "id").hint("merge"), "id")
         sets = materialize(with_sets(found.select("id", "text", "neighbourhood", "key1", "key2"), words), "join-shingles")
         self.links = links_of(sets, percent, block)
 
