@@ -8,13 +8,20 @@ batches of words at a time. A text goes to the language with the lowest cross-en
 character, over the whole text; ties go to the smaller name.
 
 Training is fitted on a sample: from the training rows of each language those with the smallest
-hashes of id and text, about `rows_per_language` of them, whole texts. Every fifth sampled row is held back
-to calibrate rejection: a text is rejected when its cross-entropy under its best language lies
-above the mean of held-back texts by more than `reject_at` standard deviations, with the
-deviation widened for short texts, as the mean over n characters varies with 1/sqrt(n).
+hashes of id and text, about `rows_per_language` of them, whole texts. Every fifth distinct text of a
+language's sample is held back to calibrate rejection: a text is rejected when its cross-entropy
+under its best language lies above the mean of held-back texts by more than a number of standard
+deviations, with the deviation widened for short texts, as the mean over n characters varies with
+1/sqrt(n). The number of deviations follows from `FALSE_REJECTIONS`, the share of the languages' own
+texts that may be rejected: it is the distance that only this share of all held-back texts exceeds,
+and never more than the one-sided Vysochanskij-Petunin bound gives for any distribution of one peak.
+A model of little text is nearly uniform, so noise goes to it and it must not set its own bound: a
+language with fewer than `ENOUGH_HELD` held-back texts has the figures of the language that varies
+least, or those of all held-back texts where every language has so few.
 
 Defined results: a NULL text, or one without a letter, is `und` with score 0 and is rejected;
-without any training row every text is; rows may repeat; an empty table gives no rows.
+without any training row every text is; where no text at all is held back (no language has five),
+those are that no model tells better than drawing letters evenly; rows may repeat; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +46,11 @@ LONG_TEXT = 1 << 20
 PIECE_CHARS = 1 << 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 UNDETERMINED = "und"
+HELD_EVERY = 5
+ENOUGH_HELD = 10
+FALSE_REJECTIONS = 0.002
+# no text is taken to vary less than one of so many characters
+STEADY_CHARS = 1000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,6 +84,17 @@ def gram_hashes(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndar
     return [h[keep] for h in hashes], seen[keep], owner[keep]
 
 
+def one_peak(share: float) -> float:
+    """Deviations above the mean that at most this share, up to a sixth, of any distribution of one peak exceeds."""
+    return float(np.sqrt(4 / (9 * share) - 1))
+
+
+def figures(bits: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Mean over characters, and the deviation of a text's mean times the root of its length."""
+    mean = np.average(bits, weights=n)
+    return float(mean), float(np.sqrt(np.mean((bits - mean) ** 2 * np.minimum(n, STEADY_CHARS))))
+
+
 @dataclass
 class SortedTable:
     """Values by hash, in arrays sorted by the hash."""
@@ -163,18 +186,36 @@ class LanguageModels:
         if models:
             self.first_total = column([m.totals[0] for m in models], empty)
             self.first_rest = column([m.kinds[0] for m in models], empty) * [m.discounts[0] for m in models]
-        self.mean = np.full(len(self.languages), np.inf)
+        # until calibrated, and without any held-back text: as good as drawing letters evenly
+        self.mean = np.full(len(self.languages), np.log2(max(self.alphabet, 2)))
         self.deviation = np.zeros(len(self.languages))
+        self.reject_at = one_peak(FALSE_REJECTIONS)
 
     def calibrate(self, texts: dict[str, list[str]]) -> None:
-        """Mean over characters of held-back texts, and the deviation of a text's mean times the root of its length."""
+        """Mean over characters of held-back texts, the deviation of a text's mean times the root of its
+        length, and the deviations above the mean from which on a text is rejected."""
         scorer = Scorer(self)
+        found = {}
         for i, lang in enumerate(self.languages):
-            found = [(e[i], n) for e, n in map(scorer.entropies, texts.get(lang, [])) if n]
-            if found:
-                bits, n = np.array([f[0] for f in found]), np.array([f[1] for f in found], dtype=np.float64)
-                self.mean[i] = np.average(bits, weights=n)
-                self.deviation[i] = np.sqrt(np.mean((bits - self.mean[i]) ** 2 * n))
+            scored = [(e[i], n) for e, n in map(scorer.entropies, texts.get(lang, [])) if n]
+            if scored:
+                found[i] = np.array([s[0] for s in scored]), np.array([s[1] for s in scored], dtype=np.float64)
+        if not found:
+            return
+        own = {i: figures(*f) for i, f in found.items() if len(f[0]) >= ENOUGH_HELD}
+        used = {i: found[i] for i in own} or found
+        if own:
+            self.mean[:], self.deviation[:] = min(own.values(), key=lambda f: f[::-1])
+        else:
+            self.mean[:], self.deviation[:] = figures(*(np.concatenate(part) for part in zip(*used.values())))
+        for i, f in own.items():
+            self.mean[i], self.deviation[i] = f
+        away = np.sort(np.concatenate([(bits - self.mean[i]) * np.sqrt(np.minimum(n, STEADY_CHARS)) / max(self.deviation[i], 1e-9)
+                                       for i, (bits, n) in used.items()]))
+        # the next text exceeds the k-th smallest of m with chance 1 - k / (m + 1)
+        k = int(np.ceil((len(away) + 1) * (1 - FALSE_REJECTIONS)))
+        if k <= len(away):
+            self.reject_at = min(self.reject_at, max(float(away[k - 1]), 0.0))
 
     def position_bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits of each position under each language, and each position's word."""
@@ -254,16 +295,18 @@ class Scorer:
                 break
         return (total / n if n else total), n
 
-    def judge(self, text: str | None, reject_at: float = 12.0) -> tuple[str, float, float | None, bool]:
-        """Language, score (its share among all languages, bits per character as exponents), bits per character, rejected."""
+    def judge(self, text: str | None, reject_at: float | None = None) -> tuple[str, float, float | None, bool]:
+        """Language, score (its share among all languages, bits per character as exponents), bits per character, rejected.
+
+        `reject_at` deviations in place of those the calibration found.
+        """
         models = self.models
         if text is None or not models.languages or not WORD.search(text):
             return UNDETERMINED, 0.0, None, True
         bits, n = self.entropies(text)
         best = int(np.argmin(bits))
         share = np.exp2(-4.0 * (bits - bits[best]))
-        # no text is taken to vary less than one of a thousand characters
-        slack = reject_at * models.deviation[best] / np.sqrt(min(n, 1000)) + 0.5
+        slack = (models.reject_at if reject_at is None else reject_at) * models.deviation[best] / np.sqrt(min(n, STEADY_CHARS))
         return models.languages[best], float(1.0 / share.sum()), float(bits[best]), bool(bits[best] > models.mean[best] + slack)
 
 
@@ -275,8 +318,10 @@ def train(docs: DataFrame, learnable: Column, rows_per_language: int = 1000, tex
     sample.sort(key=lambda r: (r["place"], r[text_col]))
     fit: dict[str, list[str]] = {}
     held: dict[str, list[str]] = {}
+    sides: dict[str, dict[str, dict]] = {}  # copies of a text are on one side, else they would calibrate on what was learned
     for r in sample:
-        part = held if r["place"] % 5 == 0 else fit
+        side = sides.setdefault(r[lang_col], {})
+        part = side.setdefault(r[text_col], held if len(side) % HELD_EVERY == HELD_EVERY - 1 else fit)
         part.setdefault(r[lang_col], []).append(r[text_col])
     models = LanguageModels(fit)
     models.calibrate(held)
@@ -286,7 +331,7 @@ def train(docs: DataFrame, learnable: Column, rows_per_language: int = 1000, tex
 JUDGED = ("lang_pred", "score", "bits_per_char", "lang_rejected")
 
 
-def judged(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float = 12.0) -> DataFrame:
+def judged(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float | None = None) -> DataFrame:
     """Append the struct `__language` of lang_pred, score, bits_per_char and lang_rejected; of the row only the text is read."""
     spread = docs.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
 
@@ -304,7 +349,7 @@ def judged(docs: DataFrame, models: LanguageModels, text_col: str = "text", reje
     return docs.withColumn("__language", judge(F.col(text_col)))
 
 
-def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float = 12.0) -> DataFrame:
+def identify(docs: DataFrame, models: LanguageModels, text_col: str = "text", reject_at: float | None = None) -> DataFrame:
     """Append lang_pred, score, bits_per_char and lang_rejected; columns of docs with these names are replaced."""
     rows = judged(docs, models, text_col, reject_at)
     return rows.withColumns({c: F.col(f"__language.{c}") for c in JUDGED}).drop("__language")

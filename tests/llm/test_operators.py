@@ -189,6 +189,32 @@ def test_language_models_sum_to_one_and_reject_noise(spark, odd):
     assert {r.lang_pred for r in language_id.identify(odd, empty).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("rare", [0, 1, 6])
+def test_noise_and_unlearned_languages_are_rejected_beside_a_rare_label(spark, rare):
+    """A label of one row, or of six short ones, must not take the noise in."""
+    rng = random.Random(6)
+    noise = lambda words: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(words))
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    more = [(-1 - k, noise(300 if rare == 1 else 60)[:300], "xx") for k in range(rare)]
+    known = docs.filter("lang <> 'es'").union(spark.createDataFrame(more, docs.schema))
+    models = language_id.train(known, ~language_id.held_out() | (F.col("lang") == "xx"))
+    assert ("xx" in models.languages) == (rare > 0)
+    scorer = language_id.Scorer(models)
+    for words in (20, 50, 200):
+        assert sum(scorer.judge(noise(words))[3] for _ in range(100)) >= 98, words
+    unlearned = [r.text for r in docs.filter("lang = 'es' and length(text) > 400").select("text").collect()]
+    assert sum(scorer.judge(t)[3] for t in unlearned) > 0.95 * len(unlearned)
+    own = [r.text for r in known.filter(language_id.held_out() & (F.col("lang") != "xx")).select("text").collect() if language_id.WORD.search(r.text or "")]
+    assert sum(scorer.judge(t)[3] for t in own) < 0.005 * len(own)
+
+
+def test_tables_too_small_to_hold_back_are_judged_by_chance():
+    models = language_id.LanguageModels({"aa": ["bane mine sone bami mina " * 9], "bb": ["traulk ethox uletra oxulk " * 9]})
+    models.calibrate({})
+    scorer = language_id.Scorer(models)
+    assert not scorer.judge("mine bane")[3] and not scorer.judge("ethox traulk")[3] and scorer.judge("zqwy jqv " * 9)[3]
+
+
 # ---- 6 SentencePiece ----------------------------------------------------------
 @pytest.fixture(scope="module")
 def piece():
