@@ -13,7 +13,7 @@ from pairkit.operators import (dictionary, enrich, ensemble, joins, models, rank
 from pairkit.plans import jobs, samples
 from pairkit.session import materialize, scratch_path
 
-TOPICS, TOPIC_TERMS = 5, 2000
+TOPICS = 5
 
 
 # ---- topics ------------------------------------------------------------------
@@ -22,11 +22,11 @@ def corpus(spark, sf_dir):
 
 
 def lsi(spark, sf_dir):
-    return topics.fit_lsi(corpus(spark, sf_dir), TOPICS, TOPIC_TERMS)
+    return topics.fit_lsi(corpus(spark, sf_dir), TOPICS)
 
 
 def lda(spark, sf_dir):
-    return topics.fit_lda(corpus(spark, sf_dir), TOPICS, 5, max_features=TOPIC_TERMS)
+    return topics.fit_lda(corpus(spark, sf_dir), TOPICS, 5)
 
 
 def texts(spark, sf_dir):
@@ -105,7 +105,7 @@ add("n2_logistic_regression", evaluated(lambda: models.logistic_regression(DIM,
 add("n3_boosted_trees_a", evaluated(lambda: models.boosted_trees_a(DIM, DIMS, **SMALL_A)))
 add("n4_boosted_trees_b", evaluated(lambda: models.boosted_trees_b(DIM, DIMS, **SMALL_B)))
 add("n5_boosted_trees_classical", evaluated(
-    lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, TOPIC_TERMS, **SMALL_A),
+    lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, **SMALL_A),
     embedded_turns, samples.turn_pairs))
 add("n6_random_forest", evaluated(lambda: models.random_forest(DIM, DIMS, **SMALL_A)))
 add("n7_random_forest_topk", evaluated(lambda: models.TopKForest(models.random_forest(DIM, DIMS, **SMALL_A), k=10)))
@@ -149,7 +149,7 @@ add("n10_apply_tuned_params", tuned)
 
 def full_classical(spark, sf_dir):
     pairs = embedded_turns(spark, sf_dir)
-    chosen = models.full_classical_features(pairs, DIM, DIMS, TOPICS, TOPIC_TERMS)
+    chosen = models.full_classical_features(pairs, DIM, DIMS, TOPICS)
     return rounded(chosen.apply(pairs).select("qid1", "qid2", *chosen.names))
 
 

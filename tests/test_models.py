@@ -5,6 +5,7 @@ import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
+from checks import model_checks
 from pairkit.operators import dictionary, enrich, ensemble, models, splits, topics
 from pairkit.plans import jobs
 from pairkit.session import scratch_path
@@ -120,6 +121,21 @@ def test_lsi_spans_the_leading_singular_space(spark):
     assert model.singular_values == pytest.approx(np.linalg.svd(matrix)[1][:2], abs=1e-6)
 
 
+def test_registered_topic_queries_take_more_than_the_commonest_terms(spark, tmp_path):
+    """2,600 words, the last 300 of them in one conversation each."""
+    rows = []
+    for c in range(260):
+        words = [f"w{10 * c + k}" for k in range(10)]
+        for turn, role in enumerate(("user", "assistant")):
+            rows.append((c, turn, role, " ".join(words * (1 if c >= 230 else 3))))
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    lsi, lda = model_checks.lsi(spark, str(tmp_path)), model_checks.lda(spark, str(tmp_path))
+    assert lsi.terms.size == len(lsi.index) == 2600
+    assert len(lda.pipeline.stages[0].vocabulary) == 2600
+    texts = dictionary.distinct_texts(model_checks.corpus(spark, str(tmp_path)))
+    assert lsi.terms.vectorize(texts).count() == texts.count() == 260
+
+
 def test_run_experiment_tune_and_score(spark, pairs):
     folder = scratch_path(spark, "jobs")
     result = jobs.run_experiment(spark, pairs, models.CosineThreshold(), "cosine", f"{folder}/split", folder).first()
