@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from pairkit.llm import (exact_dedup, language_id, mixing, ngram_join, piece_bpe, repeated_windows, token_counts, topk_search,
-                         toxicity, turn_repair, url_rules, warc_zstd)
+from pairkit.llm import (exact_dedup, language_id, mixing, ngram_join, piece_bpe, repeated_windows, spelling_variants, token_counts,
+                         topk_search, toxicity, turn_repair, url_rules, warc_zstd)
 from pairkit.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,8 @@ def _tuned(query: Query) -> Query:
 QUERIES: dict[str, Query] = {f.__name__: _tuned(f) for f in (
     topk_search.op1_topk_search, token_counts.op2_token_counts, toxicity.op3_toxicity, url_rules.op4_url_filters,
     language_id.op5_language_id, piece_bpe.op6_sentencepiece, ngram_join.op7_ngram_join, warc_zstd.op8_warc,
-    mixing.op9_mixing, exact_dedup.op10_exact_dedup, turn_repair.op11_turn_repair, repeated_windows.op12_repeated_windows)}
+    mixing.op9_mixing, exact_dedup.op10_exact_dedup, turn_repair.op11_turn_repair, repeated_windows.op12_repeated_windows,
+    spelling_variants.op13_spelling_variants)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 OP8_SQL = """
@@ -42,4 +43,5 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first THEN 'response' E
 
 SQL: dict[str, str] = {
     "op1_topk_search": topk_search.OP1_SQL, "op4_url_filters": url_rules.OP4_SQL, "op7_ngram_join": ngram_join.OP7_SQL,
-    "op8_warc": OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op12_repeated_windows": repeated_windows.OP12_SQL}
+    "op8_warc": OP8_SQL, "op10_exact_dedup": exact_dedup.OP10_SQL, "op12_repeated_windows": repeated_windows.OP12_SQL,
+    "op13_spelling_variants": spelling_variants.OP13_SQL}
