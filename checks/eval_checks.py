@@ -176,8 +176,8 @@ add("e8_best_trial", lambda spark, sf_dir: rounded(ranking.best_trial(trials(spa
     with_(FOLDS, select=f"SELECT trial_number, {r6('value', 'value')}, {PARAMS} AS params FROM tr WHERE value IS NOT NULL AND state = 'COMPLETE' ORDER BY value DESC, trial_number LIMIT 1"))
 add("p5_trials_summary", lambda spark, sf_dir: rounded(search.summarize(trials(spark, sf_dir))),
     with_(FOLDS, select=f"""SELECT count(*) AS n_trials, count(*) FILTER (WHERE state = 'COMPLETE') AS n_complete,
-count(*) FILTER (WHERE state = 'PRUNED') AS n_pruned, {r6("max(value) FILTER (WHERE state = 'COMPLETE')", 'best_value')}, {r6('avg(value)', 'mean_value')},
-{r6('stddev_pop(value)', 'std_value')} FROM tr"""))
+count(*) FILTER (WHERE state = 'PRUNED') AS n_pruned, {r6("max(value) FILTER (WHERE state = 'COMPLETE')", 'best_value')}, {r6("avg(value) FILTER (WHERE state = 'COMPLETE')", 'mean_value')},
+{r6("stddev_pop(value) FILTER (WHERE state = 'COMPLETE')", 'std_value')} FROM tr"""))
 
 
 def stored_trials(spark, sf_dir):

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.core import SCORED, TP, VP, VV, add, r6, rounded, split_ctes, with_
+from checks.core import DP, SCORED, TP, VP, VV, add, r6, rounded, split_ctes, with_, word_tokens
+from checks.term_checks import term_ctes
 from checks.text_checks import full
 from checks.vector_checks import DIM, DIMS, joined
 from pairkit.functions import vectors as vx
@@ -43,15 +44,101 @@ add("k2_fit_lda", lambda spark, sf_dir: lda(spark, sf_dir).transform(texts(spark
 FROM (SELECT question1 AS t FROM tp UNION ALL SELECT question2 FROM tp)"""))
 
 
+def part_pairs(spark, sf_dir):
+    """Neighbouring parts by their descriptions, whose few words span few dimensions."""
+    parts = samples.table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    other = parts.select((F.col("qid") - 1).alias("qid"), F.col("text").alias("question2"))
+    return parts.withColumnRenamed("text", "question1").join(other, "qid").select(
+        F.col("qid").alias("qid1"), (F.col("qid") + 1).alias("qid2"), "question1", "question2")
+
+
+def full_rank(spark, sf_dir):
+    """Cosine of topic vectors with a topic for every dimension, which is the cosine of the term weights."""
+    pairs = part_pairs(spark, sf_dir)
+    model = topics.fit_lsi(dictionary.corpus(pairs), 128)
+    vectors = materialize(model.transform(dictionary.distinct_texts(dictionary.corpus(pairs))), "part-topics")
+    for i in (1, 2):
+        side = vectors.select(F.col("text_id").alias("__id"), F.col("lsi").alias(f"lsi{i}"))
+        pairs = pairs.withColumn("__id", dictionary.text_key(f"question{i}")).join(side, "__id").drop("__id")
+    return rounded(pairs.select("qid1", "qid2", topics.lsi_columns()["lsi_cosine_sim"].alias("lsi_cosine_sim")))
+
+
+PART_TOKENS = f"list_filter({word_tokens('text')}, lambda w: length(w) >= 2)"
+PARTS = """pa AS (SELECT p_partkey AS qid, concat_ws(' ', p_name, p_brand, p_type) AS t FROM part),
+tp AS (SELECT a.qid AS qid1, b.qid AS qid2, a.t AS question1, b.t AS question2 FROM pa a JOIN pa b ON b.qid = a.qid + 1)"""
+add("k4_lsi_full_rank", full_rank,
+    with_(term_ctes(PARTS, PART_TOKENS, None), select="SELECT qid1, qid2, " + r6(
+        "coalesce(sum(a.w * b.w), 0.0)", "lsi_cosine_sim") + """
+FROM tp LEFT JOIN vec a ON a.text_id = md5(question1) LEFT JOIN vec b ON b.text_id = md5(question2) AND b.term = a.term GROUP BY qid1, qid2"""))
+
+
+def rising(spark, sf_dir):
+    """Whether the likelihood of the topic mixture rises, round by round."""
+    fits = topics.fit_lda(corpus(spark, sf_dir), TOPICS, 5, tolerance=-1.0).log_likelihoods
+    rows = [(i, bool(i == 0 or fits[i] >= fits[i - 1])) for i in range(len(fits))]
+    return spark.createDataFrame(rows, "round int, rises boolean")
+
+
+add("k2_lda_likelihood", rising, "SELECT CAST(i AS INTEGER) AS round, true AS rises FROM range(5) r(i)")
+
+
 def topic_vectors(spark, sf_dir):
     return topics.attach_topics(samples.turn_pairs(spark, sf_dir), lsi(spark, sf_dir), lda(spark, sf_dir))
 
 
-add("k3_topic_vectors", lambda spark, sf_dir: topic_vectors(spark, sf_dir).select("qid1", "qid2", "lsi1", "lsi2", "lda1", "lda2"))
-add("k4_lsi_pair_features", lambda spark, sf_dir: rounded(topic_vectors(spark, sf_dir).select(
-    "qid1", "qid2", *[c.alias(n) for n, c in topics.lsi_columns().items()])))
-add("k5_lda_pair_features", lambda spark, sf_dir: rounded(topic_vectors(spark, sf_dir).select(
-    "qid1", "qid2", *[c.alias(n) for n, c in topics.lda_columns().items()])))
+def sound_vectors(spark, sf_dir):
+    """Sizes, lengths and ranges of the vectors of both texts of every pair."""
+    fine = lambda c: F.forall(c, lambda x: (x >= 0) & (x <= 1))
+    return topic_vectors(spark, sf_dir).select(
+        "qid1", "qid2", *[F.size(f"lsi{i}").alias(f"k_lsi{i}") for i in (1, 2)],
+        *[F.round(vx.norm(f"lsi{i}"), 6).alias(f"length{i}") for i in (1, 2)],
+        *[F.round(vx.total(f"lda{i}"), 6).alias(f"total{i}") for i in (1, 2)], (fine("lda1") & fine("lda2")).alias("shares"))
+
+
+add("k3_topic_vectors", sound_vectors,
+    with_(TP, select="""SELECT qid1, qid2, CAST(5 AS INTEGER) AS k_lsi1, CAST(5 AS INTEGER) AS k_lsi2, CAST(1.0 AS DOUBLE) AS length1,
+CAST(1.0 AS DOUBLE) AS length2, CAST(1.0 AS DOUBLE) AS total1, CAST(1.0 AS DOUBLE) AS total2, true AS shares FROM tp"""))
+
+
+def within(columns, low, high):
+    """Whether all columns lie in a range, give or take rounding."""
+    inside = F.lit(True)
+    for c in columns:
+        inside = inside & c.between(low - 1e-6, high + 1e-6)
+    return inside
+
+
+def lsi_ranges(spark, sf_dir):
+    """Cosine in [-1, 1], distances in their ranges, and what equal texts give."""
+    c = topics.lsi_columns()
+    same = F.col("question1") == F.col("question2")
+    alike = within([c["lsi_cosine_sim"]], 1.0, 1.0) & within([c["lsi_l1_diff"], c["lsi_l2_diff"]], 0.0, 0.0)
+    # of unit vectors the squared distance is 2 - 2 cos
+    law = F.abs(c["lsi_l2_diff"] * c["lsi_l2_diff"] - (2.0 - 2.0 * c["lsi_cosine_sim"])) < 1e-6
+    return topic_vectors(spark, sf_dir).select(
+        "qid1", "qid2", within([c["lsi_cosine_sim"]], -1.0, 1.0).alias("cosine_fits"), within([c["lsi_l2_diff"]], 0.0, 2.0).alias("distance_fits"),
+        law.alias("law_holds"), F.when(same, alike).alias("same_text"))
+
+
+add("k4_lsi_pair_features", lsi_ranges,
+    with_(TP, select="""SELECT qid1, qid2, true AS cosine_fits, true AS distance_fits, true AS law_holds,
+CASE WHEN question1 = question2 THEN true END AS same_text FROM tp"""))
+
+
+def lda_ranges(spark, sf_dir):
+    """Similarities in [0, 1], distances in [0, 2], and what equal texts give."""
+    c = topics.lda_columns()
+    same = F.col("question1") == F.col("question2")
+    alike = within([c["lda_cosine_sim"], c["lda_hellinger_sim"]], 1.0, 1.0) & within([c["lda_l1_diff"]], 0.0, 0.0)
+    return topic_vectors(spark, sf_dir).select(
+        "qid1", "qid2", within([c["lda_cosine_sim"], c["lda_hellinger_sim"]], 0.0, 1.0).alias("similarities_fit"),
+        within([c["lda_l1_diff"]], 0.0, 2.0).alias("distance_fits"), F.when(same, alike).alias("same_text"))
+
+
+add("k5_lda_pair_features", lda_ranges,
+    with_(TP, select="""SELECT qid1, qid2, true AS similarities_fit, true AS distance_fits,
+CASE WHEN question1 = question2 THEN true END AS same_text FROM tp"""))
 
 
 def hellinger(spark, sf_dir):
@@ -70,10 +157,10 @@ rt AS (SELECT qid1, qid2, list_transform(p, lambda x: sqrt(x / sp)) AS p, list_t
 def diagnostics(spark, sf_dir):
     perplexity = lda(spark, sf_dir).log_perplexity(corpus(spark, sf_dir))
     kept = lsi(spark, sf_dir).explained_variance(texts(spark, sf_dir))
-    return rounded(kept.withColumn("log_perplexity", F.lit(perplexity)))
+    return kept.select(F.col("explained_variance").between(0.0, 1.0).alias("share_fits"), (F.lit(perplexity) > 0).alias("perplexity_fits"))
 
 
-add("k7_fit_diagnostics", diagnostics)
+add("k7_fit_diagnostics", diagnostics, "SELECT true AS share_fits, true AS perplexity_fits")
 
 
 # ---- classifiers -------------------------------------------------------------
@@ -329,4 +416,22 @@ def fitted_featurizer(spark, sf_dir):
         "qid1", "qid2", "tfidf_cosine_sim", "weighted_word_overlap"))
 
 
-add("s3_fitted_featurizer", fitted_featurizer)
+TRAINED = ",\n".join([DP, split_ctes("dp"), "ro AS (SELECT dp.*, split FROM dp JOIN sp USING (qid1, qid2))"])
+add("s3_fitted_featurizer", fitted_featurizer, "WITH " + TRAINED + f""",
+txt AS (SELECT md5(text) AS text_id, text, count(*) FILTER (WHERE split = 'train') AS n, bool_or(split = 'test') AS asked
+  FROM (SELECT question1 AS text, split FROM ro UNION ALL SELECT question2, split FROM ro) GROUP BY text),
+occ AS (SELECT text_id, n, asked, unnest({word_tokens('text')}) AS term FROM txt),
+cnt AS (SELECT text_id, n, asked, term, count(*) AS tf FROM occ GROUP BY ALL),
+vocab AS (SELECT term, ln((1.0 + (SELECT sum(n) FROM txt)) / (1.0 + sum(n))) + 1.0 AS idf FROM cnt WHERE n > 0 GROUP BY term),
+raw AS (SELECT text_id, cnt.term, coalesce(idf, 0.0) AS idf, coalesce((1.0 + ln(CAST(tf AS DOUBLE))) * idf, 0.0) AS w
+  FROM cnt LEFT JOIN vocab USING (term) WHERE asked),
+nrm AS (SELECT text_id, sqrt(sum(w * w)) AS len_ FROM raw GROUP BY text_id),
+al AS (SELECT text_id, term, idf, CASE WHEN len_ > 0 THEN w / len_ ELSE 0.0 END AS w FROM raw JOIN nrm USING (text_id)),
+keys AS (SELECT qid1, qid2, md5(question1) AS k1, md5(question2) AS k2 FROM ro WHERE split = 'test'),
+sd AS (SELECT qid1, qid2, 1 AS side, term, idf, w FROM keys JOIN al ON text_id = k1
+  UNION ALL SELECT qid1, qid2, 2, term, idf, w FROM keys JOIN al ON text_id = k2),
+pt AS (SELECT qid1, qid2, term, max(idf) AS idf, count(*) AS sides, coalesce(max(CASE WHEN side = 1 THEN w END), 0.0) AS w1,
+  coalesce(max(CASE WHEN side = 2 THEN w END), 0.0) AS w2 FROM sd GROUP BY qid1, qid2, term)
+SELECT qid1, qid2, {r6('coalesce(sum(w1 * w2), 0)', 'tfidf_cosine_sim')}, {r6(
+    'CASE WHEN sum(idf) > 0 THEN coalesce(sum(idf) FILTER (WHERE sides = 2), 0) / sum(idf) ELSE 0 END', 'weighted_word_overlap')}
+FROM keys LEFT JOIN pt USING (qid1, qid2) GROUP BY qid1, qid2""")

@@ -75,10 +75,8 @@ for key, names in {"g6_token_sets": ["token_intersection", "token_union"], "g7_j
 
 # Matching blocks have no SQL form; tests compare them with a brute-force run.
 add("g9_sequence_ratio",
-    lambda spark, sf_dir: rounded(
-        samples.document_pairs(spark, sf_dir)
-        .withColumn("s", sequence.sequence_struct("question1", "question2"))
-        .select("qid1", "qid2", "s.*")))
+    lambda spark, sf_dir: rounded(features.matching_block_features().apply(samples.document_pairs(spark, sf_dir))
+                                  .select("qid1", "qid2", *sequence.NAMES)))
 
 
 # Word runs by position: token i joined with its followers.
@@ -114,7 +112,8 @@ add("g11_ngram_jaccard", staged_query(features.ngram_columns, ngrams=True),
         r6(f"max(CASE WHEN n = {n} THEN {div('inter', 'either')} END)", f"ngram_{n}_jaccard")
         for n in range(1, 7)) + " FROM gj GROUP BY qid1, qid2"))
 add("g12_common_word_pct",
-    staged_query(lambda: {"common_word_pct": features.overlap_columns()["jaccard"]}),
+    lambda spark, sf_dir: rounded(features.classical_text_features.apply(
+        samples.document_pairs(spark, sf_dir)).select("qid1", "qid2", "common_word_pct")),
     staged_sql({"common_word_pct": OVERLAP_SQL["jaccard"]}))
 
 BOUNDARY_SQL = {
@@ -179,9 +178,20 @@ add("h2_lexical_features",
     lambda spark, sf_dir: rounded(features.lexical_features.apply(
         samples.document_pairs(spark, sf_dir)).select("qid1", "qid2", *features.LEXICAL)),
     staged_sql({**LENGTH_SQL, **OVERLAP_SQL}))
+NGRAM_NAMES = [f"ngram_{n}_jaccard" for n in range(1, 7)]
+NGRAM_TABLE = "ng AS (SELECT qid1, qid2, " + ", ".join(
+    f"max(CASE WHEN n = {n} THEN {div('inter', 'either')} END) AS {name}" for n, name in enumerate(NGRAM_NAMES, 1)) + " FROM gj GROUP BY qid1, qid2)"
+CLASSICAL_SQL = {**{n: n for n in NGRAM_NAMES}, "common_word_pct": OVERLAP_SQL["jaccard"], **BOUNDARY_SQL, **CONDITIONAL_SQL, **LENGTH_SQL,
+                 **SHAPE_SQL, **SURFACE_SQL, **STARTER_SQL, **SAME_STARTER_SQL, **QUESTION_SQL}
+CLASSICAL_EXPRS = [r6(CLASSICAL_SQL[n], n) for n in features.CLASSICAL]
+# the runs of words again, with conversation turns in place of documents
+TURN_RUNS = """turns AS (SELECT conv_id * 100000 + turn AS qid, text FROM conversations),
+docs AS (SELECT qid, text FROM turns),
+links AS (SELECT a.qid AS qid1, b.qid AS qid2 FROM turns a JOIN turns b ON b.qid = a.qid + 1)""" + RUNS.removeprefix(DP)
 add("h3_classical_text_features",
     lambda spark, sf_dir: rounded(features.classical_text_features.apply(
-        samples.turn_pairs(spark, sf_dir)).select("qid1", "qid2", *features.CLASSICAL)))
+        samples.turn_pairs(spark, sf_dir)).select("qid1", "qid2", *features.CLASSICAL)),
+    with_(TURN_RUNS, *NGRAM_CTES, NGRAM_TABLE, select="SELECT qid1, qid2, " + ", ".join(CLASSICAL_EXPRS) + " FROM sz JOIN ng USING (qid1, qid2)"))
 
 
 def full(spark, sf_dir):
@@ -220,7 +230,10 @@ def prefix_classical(spark, sf_dir):
     return rounded(chosen.apply(pairs).select("qid1", "qid2", *chosen.names))
 
 
-add("h6_prefix_classical_features", prefix_classical)
+add("h6_prefix_classical_features", prefix_classical,
+    with_(RUNS, *NGRAM_CTES, NGRAM_TABLE, "vp AS (SELECT qid1, qid2, label FROM dp)", VV, GAPS, select="SELECT qid1, qid2, " + ", ".join(
+        prefix_exprs(DIMS) + LEXICAL_EXPRS + [r6(CLASSICAL_SQL[n], n) for n in features.CLASSICAL if n not in features.LEXICAL])
+          + " FROM sz JOIN ng USING (qid1, qid2) JOIN gp USING (qid1, qid2)"))
 
 
 def matrix(spark, sf_dir):

@@ -137,7 +137,7 @@ PRESETS = {
 def preset(name: str, dim: int, dims: Sequence[int] | None = None, small: bool = False, **options) -> Ensemble:
     """A named ensemble; `small` shrinks its members for trials on little data."""
     trees = models.SMALL if small else {}
-    classical = {"n_topics": 5, "max_features": 2000} if small else {}
+    classical = {"n_topics": 5} if small else {}
     makers = {
         "boosted_a": lambda: models.boosted_trees_a(dim, dims, **trees),
         "boosted_b": lambda: models.boosted_trees_b(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pairkit.functions import sequence, text as tx, vectors as vx
 
+# Names of the features, in their order.
 LEXICAL = ("len_q1_chars", "len_q2_chars", "char_len_diff", "len_q1_words", "len_q2_words",
            "word_len_diff", "token_intersection", "token_union", "jaccard", "overlap_min")
 EMBEDDING = (*vx.STATS, "norm1", "norm2", "norm_diff")
@@ -195,10 +196,8 @@ def _lexical(df: DataFrame) -> DataFrame:
 
 
 def _classical(df: DataFrame) -> DataFrame:
-    staged = with_ngrams(with_tokens(df)).withColumn(
-        "__seq", sequence.sequence_struct("question1", "question2"))
-    first = {**{n: F.col("__seq")[n] for n in sequence.NAMES}, **ngram_columns(),
-             **boundary_columns(), **length_columns(), **word_shape_columns(),
+    staged = with_ngrams(with_tokens(df))
+    first = {**ngram_columns(), **boundary_columns(), **length_columns(), **word_shape_columns(),
              **surface_columns(), **starter_columns(), **question_columns()}
     done = staged.withColumns(_doubles(first)).withColumn("common_word_pct", F.col("ngram_1_jaccard"))
     return drop_staged(done.withColumns(conditional_columns()))
@@ -206,8 +205,9 @@ def _classical(df: DataFrame) -> DataFrame:
 
 _SURFACE = ("n_caps_q1", "n_caps_q2", "caps_diff", *(
     f"n_{kind}_q{i}" for kind in ("qmarks", "excl", "digits", "math") for i in (1, 2)))
+# Names of the features, in their order.
 CLASSICAL = (
-    *sequence.NAMES, *(f"ngram_{n}_jaccard" for n in range(1, tx.MAX_NGRAM + 1)),
+    *(f"ngram_{n}_jaccard" for n in range(1, tx.MAX_NGRAM + 1)),
     "common_word_pct", "same_start_word", "same_end_word", "same_start_2gram",
     "common_pct_when_same_start", "common_pct_when_same_end", *LEXICAL[:6],
     "len_q1_unique_words", "len_q2_unique_words", "avg_word_len_q1", "avg_word_len_q2",
@@ -219,6 +219,11 @@ CLASSICAL = (
 lexical_features = register("lexical", FeatureSet(LEXICAL, _lexical))
 classical_text_features = register("classical_text", FeatureSet(CLASSICAL, _classical))
 
+def matching_block_features() -> FeatureSet:
+    """Similarity by matching blocks, for those who add it: per-row Python whose cost grows faster
+    than the texts, so no built-in set has it."""
+    return from_struct(sequence.NAMES, sequence.sequence_struct("question1", "question2"))
+
 
 # ---- combinations ----------------------------------------------------------
 

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairkit.functions import vectors as vx
 from pairkit.operators import dictionary, features as fx, ranking, sparse_pairs, splits, topics, weighting
+from pairkit.session import materialize
+from pairkit.sources import stores
 
 KEY = ("qid1", "qid2")
 Params = dict[str, Any]
@@ -63,6 +65,21 @@ def translate(params: Params, names: dict[str, str]) -> tuple[Params, list[str]]
     return out, unknown
 
 
+@dataclass(frozen=True)
+class EarlyStopping:
+    """When to stop boosting: `share` of the training pairs is held out, and trees are added until
+    the loss on these falls by less than `tolerance` of itself. The best number of trees is kept."""
+
+    share: float = 0.05
+    tolerance: float = 0.0
+    seed: int = splits.DEFAULT_SEED
+
+    def mark(self, rows: DataFrame) -> DataFrame:
+        """Rows with `is_validation`; all rows of a pair are on one side. Written, as each tree reads them."""
+        held = splits.validation_holdout(splits.one_per_pair(rows), self.share, self.seed)
+        return materialize(rows.join(held, list(KEY)), "validation")
+
+
 @dataclass
 class Fitted:
     """A fitted pipeline and the names of the features it reads."""
@@ -75,12 +92,27 @@ class Fitted:
         scored = self.pipeline.transform(matrix)
         return scored.select(*KEY, "label", vector_to_array("probability")[1].alias("proba"))
 
+    @property
+    def n_trees(self) -> int | None:
+        """Trees of the model, after early stopping if there was any; None for models without."""
+        return getattr(self.pipeline.stages[-1], "getNumTrees", None)
+
     def feature_importances(self) -> DataFrame:
         """(feature, importance), for models that have importances."""
         values = [float(x) for x in self.pipeline.stages[-1].featureImportances.toArray()]
         spark = SparkSession.getActiveSession()
         return spark.createDataFrame(list(zip(self.names, values)), "feature string, importance double")
 
+    def save(self, path: str, config: dict[str, Any] | None = None) -> None:
+        """The fitted stages, the names of their features and the model's configuration."""
+        self.pipeline.write().save(f"{path}/pipeline")
+        stores.write_document(SparkSession.getActiveSession(), {"names": list(self.names), "config": config or {}}, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Fitted:
+        """A saved model, in any session; scores tables whose features have the same names."""
+        return cls(PipelineModel.load(f"{path}/pipeline"), tuple(stores.read_document(spark, f"{path}/model")["names"]))
+
 
 @dataclass
 class PairModel:
@@ -97,6 +129,7 @@ class PairModel:
     needs_training_corpus: bool = False
     tuning: dict[str, Any] = field(default_factory=lambda: {"enabled": False})
     feature_names: tuple[str, ...] = ()
+    early_stopping: EarlyStopping | None = None
 
     def build_features(self, pairs: DataFrame, train: DataFrame | None = None) -> DataFrame:
         """(qid1, qid2, label, features) of all pairs. Corpus statistics come from
@@ -110,6 +143,14 @@ class PairModel:
         known, _ = translate(self.params, self.param_names)
         size = rows.count() if "C" in self.param_names else 0
         estimator = self.make_estimator(known, size)
+        if self.early_stopping is not None:
+            if not estimator.hasParam("validationIndicatorCol"):
+                raise ValueError(f"{self.name} has no rounds to stop")
+            rows = self.early_stopping.mark(rows)
+            # one held-out pair needs another one to learn from
+            if not rows.filter("NOT is_validation").isEmpty():
+                estimator = estimator.copy().setValidationIndicatorCol("is_validation")
+                estimator.set(estimator.validationTol, self.early_stopping.tolerance)
         pipeline = estimator if isinstance(estimator, Pipeline) else Pipeline(stages=[estimator])
         return Fitted(pipeline.fit(rows), self.feature_names)
 
@@ -125,12 +166,15 @@ class PairModel:
         return replace(self.with_params(best), tuning=record)
 
     def get_tuning_spec(self) -> dict[str, Any]:
-        return {"param_space": self.param_space, "scoring": "f1"}
+        """What a search may draw; parameters without a counterpart in Spark would make trials that differ in nothing."""
+        _, ignored = translate(dict.fromkeys(self.param_space, 1), self.param_names)
+        drawn = {n: spec for n, spec in self.param_space.items() if n not in ignored}
+        return {"param_space": drawn, "ignored": ignored, "scoring": "f1"}
 
     def get_config(self) -> dict[str, Any]:
         return {"model_class": self.name, "hyperparams": dict(self.params), "threshold": self.threshold,
-                "tuning": self.tuning, "n_features": len(self.feature_names),
-                "feature_names": list(self.feature_names)}
+                "tuning": self.tuning, "early_stopping": None if self.early_stopping is None else vars(self.early_stopping),
+                "n_features": len(self.feature_names), "feature_names": list(self.feature_names)}
 
 
 # ---- estimators --------------------------------------------------------------
@@ -171,10 +215,12 @@ BOOSTED_B_SPACE = {
     "l2_leaf_reg": {"type": "float", "low": 1.0, "high": 20.0, "log": True},
 }
 FOREST_SPACE = {
-    "n_estimators": {"type": "int", "low": 100, "high": 500},
-    "max_depth": {"type": "int", "low": 4, "high": 20},
-    "min_samples_leaf": {"type": "int", "low": 1, "high": 10},
+    "n_estimators": {"type": "int", "low": 20, "high": 1000},
+    "max_depth": {"type": "int", "low": 4, "high": 10},
+    "min_samples_split": {"type": "int", "low": 2, "high": 20},
+    "min_samples_leaf": {"type": "int", "low": 1, "high": 20},
 }
+# Own choices: search spaces of the network and of logistic regression.
 SIAMESE_SPACE = {
     "hidden": {"type": "int", "low": 16, "high": 512, "log": True},
     "max_iter": {"type": "int", "low": 50, "high": 200},
@@ -188,20 +234,20 @@ def logistic_regression(dim: int, **params) -> PairModel:
                      {"max_iter": 1000, **params}, weights="balanced", param_space=LINEAR_SPACE)
 
 
-def boosted_trees_a(dim: int, dims=None, **params) -> PairModel:
+def boosted_trees_a(dim: int, dims=None, early_stopping: EarlyStopping | None = None, **params) -> PairModel:
     return PairModel("BoostedTreesA", lambda _: fx.prefix_all_features(dim, dims), _boosted, BOOSTED_NAMES,
-                     {**BOOSTED_A, **params}, param_space=BOOSTED_SPACE)
+                     {**BOOSTED_A, **params}, param_space=BOOSTED_SPACE, early_stopping=early_stopping)
 
 
-def boosted_trees_b(dim: int, dims=None, **params) -> PairModel:
+def boosted_trees_b(dim: int, dims=None, early_stopping: EarlyStopping | None = None, **params) -> PairModel:
     return PairModel("BoostedTreesB", lambda _: fx.prefix_all_features(dim, dims), _boosted, BOOSTED_NAMES,
-                     {**BOOSTED_B, **params}, param_space=BOOSTED_B_SPACE)
+                     {**BOOSTED_B, **params}, param_space=BOOSTED_B_SPACE, early_stopping=early_stopping)
 
 
 def full_classical_features(train: DataFrame, dim: int, dims=None, n_topics: int = 100,
-                            max_features: int = weighting.WORD_CAP) -> fx.FeatureSet:
+                            max_features: int | None = None) -> fx.FeatureSet:
     """Every feature: vector prefixes, text, word and character weights, topics. The
-    corpus-fitted parts see the texts of `train` only."""
+    corpus-fitted parts see the texts of `train` only; `max_features` caps the topics' vocabulary."""
     corpus = dictionary.corpus(train)
     words, chars = weighting.fit_tfidf(corpus), weighting.fit_char(corpus)
     lsi = topics.fit_lsi(corpus, n_topics, max_features)
@@ -211,11 +257,12 @@ def full_classical_features(train: DataFrame, dim: int, dims=None, n_topics: int
 
 
 def boosted_trees_classical(dim: int, dims=None, n_topics: int = 100,
-                            max_features: int = weighting.WORD_CAP, **params) -> PairModel:
+                            max_features: int | None = None, early_stopping: EarlyStopping | None = None,
+                            **params) -> PairModel:
     return PairModel("BoostedTreesClassical",
                      lambda train: full_classical_features(train, dim, dims, n_topics, max_features),
                      _boosted, BOOSTED_NAMES, {**BOOSTED_A, **params}, param_space=BOOSTED_SPACE,
-                     needs_training_corpus=True)
+                     needs_training_corpus=True, early_stopping=early_stopping)
 
 
 def random_forest(dim: int, dims=None, **params) -> PairModel:

@@ -1,7 +1,8 @@
 """Hyper-parameter search over stratified folds, with resumable trial tables.
 
 The driver holds parameter dictionaries and fold scores only; every fit and every score
-is a Spark job on the feature table.
+is a Spark job on the feature table. Candidates of a fold may be fitted side by side: the
+driver's threads only submit jobs, each trial under a job group of its own.
 """
 
 from __future__ import annotations
@@ -11,17 +12,20 @@ import json
 import math
 import random
 import time
+import uuid
 from collections.abc import Callable, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from statistics import median
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.util import inheritable_thread_target
 
 from pairkit.operators import evaluate, ranking
 
 Params = dict[str, Any]
 TRIAL_SCHEMA = ("trial_number int, value double, state string, duration_s double, n_folds int, "
-                "params string, params_id string")
+                "params string, params_id string, fold_scores array<double>, fold_seconds array<double>")
 
 
 # ---- parameters --------------------------------------------------------------
@@ -59,36 +63,74 @@ def params_id(params: Params) -> str:
 
 # ---- search ------------------------------------------------------------------
 
+def side_by_side(spark: SparkSession, tasks: Sequence[Callable[[], Any]], parallelism: int, name: str) -> list[Any]:
+    """Results of the tasks in their order, at most `parallelism` running at a time.
+
+    Each runs in a thread that inherits the caller's Spark properties and sets a job group of its own.
+    If one fails, jobs of the others are cancelled, those not begun never begin, and its error is raised.
+    """
+    if parallelism <= 1:
+        return [task() for task in tasks]
+    context, study = spark.sparkContext, f"{name}-{uuid.uuid4().hex}"
+    groups = [f"{study}-{i}" for i in range(len(tasks))]
+
+    def grouped(group: str, task: Callable[[], Any]) -> Callable[[], Any]:
+        def run():
+            context.setJobGroup(group, name, interruptOnCancel=True)
+            return task()
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        running = [pool.submit(grouped(g, t)) for g, t in zip(groups, tasks)]
+        done, left = wait(running, return_when=FIRST_EXCEPTION)
+        failed = next((f for f in running if f in done and f.exception() is not None), None)
+        if failed is not None:
+            for future in left:
+                future.cancel()
+            for group in groups:
+                context.cancelJobGroup(group)
+            raise failed.exception()
+        return [f.result() for f in running]
+
+
 def cv_search(rows: DataFrame, candidates: Sequence[Params],
               fit_score: Callable[[DataFrame, Params], DataFrame], *, k: int = 5,
               threshold: float = 0.5, prune: bool = True, fold: str = "fold",
-              first_number: int = 0) -> list[dict[str, Any]]:
+              first_number: int = 0, parallelism: int = 1) -> list[dict[str, Any]]:
     """Trials of every candidate over the folds of `rows`, maximising mean F1.
 
     `rows` must hold training rows only, with `label` and a fold column.
     `fit_score(rows, params)` receives rows with `is_train` and returns the scored rows
-    of the other kind, with label and proba. Candidates advance fold by fold; with
-    `prune`, those whose running mean is below the median of all are dropped.
+    of the other kind, with label and proba. Candidates advance fold by fold, up to
+    `parallelism` of them at a time; with `prune`, those whose running mean is below the
+    median of all are dropped. What a trial scores does not depend on `parallelism`. Each
+    trial keeps its score and its seconds of every fold it ran.
     """
-    running: dict[int, list[float]] = {i: [] for i in range(len(candidates))}
-    spent = [0.0] * len(candidates)
+    scores: dict[int, list[float]] = {i: [] for i in range(len(candidates))}
+    seconds: dict[int, list[float]] = {i: [] for i in range(len(candidates))}
     dropped: set[int] = set()
     for f in range(k):
         marked = rows.withColumn("is_train", F.col(fold) != f)
-        for i, params in enumerate(candidates):
-            if i in dropped:
-                continue
+
+        def one(params: Params, marked: DataFrame = marked) -> tuple[float, float]:
             start = time.time()
             scored = fit_score(marked, params)
-            running[i].append(float(evaluate.metrics(evaluate.decide(scored, threshold)).first()["f1"]))
-            spent[i] += time.time() - start
+            return float(evaluate.metrics(evaluate.decide(scored, threshold)).first()["f1"]), time.time() - start
+
+        at = [i for i in range(len(candidates)) if i not in dropped]
+        results = side_by_side(rows.sparkSession, [lambda p=candidates[i]: one(p) for i in at], parallelism, "cv-search")
+        for i, (score, spent) in zip(at, results):
+            scores[i].append(score)
+            seconds[i].append(spent)
         if prune and f < k - 1:
-            means = {i: sum(s) / len(s) for i, s in running.items() if i not in dropped}
+            means = {i: sum(scores[i]) / len(scores[i]) for i in at}
             middle = median(means.values())
             dropped |= {i for i, mean in means.items() if mean < middle}
-    return [{"trial_number": first_number + i, "value": sum(running[i]) / len(running[i]),
-             "state": "PRUNED" if i in dropped else "COMPLETE", "duration_s": spent[i],
-             "n_folds": len(running[i]), "params": params_json(params), "params_id": params_id(params)}
+    return [{"trial_number": first_number + i, "value": sum(scores[i]) / len(scores[i]),
+             "state": "PRUNED" if i in dropped else "COMPLETE", "duration_s": sum(seconds[i]),
+             "n_folds": len(scores[i]), "params": params_json(params), "params_id": params_id(params),
+             "fold_scores": scores[i], "fold_seconds": seconds[i]}
             for i, params in enumerate(candidates)]
 
 
@@ -124,14 +166,25 @@ def run_study(spark: SparkSession, path: str, rows: DataFrame, candidates: Seque
 
 # ---- reporting ---------------------------------------------------------------
 
+def fold_profile(trials: DataFrame) -> DataFrame:
+    """Each trial's mean, spread and seconds over the folds it ran, and its rank among the complete ones."""
+    mean = F.aggregate("fold_scores", F.lit(0.0), lambda a, x: a + x) / F.size("fold_scores")
+    square = F.aggregate("fold_scores", F.lit(0.0), lambda a, x: a + (x - F.col("mean_score")) * (x - F.col("mean_score")))
+    spent = F.aggregate("fold_seconds", F.lit(0.0), lambda a, x: a + x) / F.size("fold_seconds")
+    found = trials.withColumn("mean_score", mean).withColumns({"std_score": F.sqrt(square / F.size("fold_scores")), "mean_seconds": spent})
+    complete = ranking.rank_trials(found.filter("state = 'COMPLETE'")).select("trial_number", "rank")
+    return found.join(complete, "trial_number", "left").select(
+        "trial_number", "state", "rank", "n_folds", "mean_score", "std_score", "mean_seconds", "params")
+
+
 def summarize(trials: DataFrame) -> DataFrame:
-    """One row: counts by state, best score of a complete trial, mean and spread of all scores."""
+    """One row: counts by state; best, mean and spread of the scores of complete trials."""
+    complete = F.when(F.col("state") == "COMPLETE", F.col("value"))
     return trials.agg(
         F.count(F.lit(1)).alias("n_trials"),
         F.count_if(F.col("state") == "COMPLETE").alias("n_complete"),
         F.count_if(F.col("state") == "PRUNED").alias("n_pruned"),
-        F.max(F.when(F.col("state") == "COMPLETE", F.col("value"))).alias("best_value"), F.avg("value").alias("mean_value"),
-        F.stddev_pop("value").alias("std_value"))
+        F.max(complete).alias("best_value"), F.avg(complete).alias("mean_value"), F.stddev_pop(complete).alias("std_value"))
 
 
 def best_document(trials: DataFrame, model: str, study: str, scoring: str = "f1") -> dict[str, Any]:

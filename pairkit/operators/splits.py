@@ -95,10 +95,18 @@ def add_weights(df: DataFrame, kind: str = "balanced", max_positive: float | Non
     return df.join(F.broadcast(table), "label")
 
 
+def one_per_pair(pairs: DataFrame) -> DataFrame:
+    """(qid1, qid2, label), each pair once; a pair with labels that differ counts as positive.
+
+    A split of these has all rows of a pair on one side.
+    """
+    return pairs.groupBy(*KEY).agg(F.max("label").alias("label"))
+
+
 def population(pairs: DataFrame) -> DataFrame:
-    """One row that identifies a set of pairs whatever their order."""
-    return pairs.agg(F.count(F.lit(1)).alias("n"),
-                     F.bit_xor(F.xxhash64(*KEY)).alias("fingerprint"))
+    """One row that identifies a multiset of labelled pairs whatever their order."""
+    hashed = F.xxhash64(*KEY, "label").cast("decimal(20,0)")
+    return pairs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("fingerprint"))
 
 
 def save_split(split: DataFrame, path: str) -> None:

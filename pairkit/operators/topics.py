@@ -1,63 +1,121 @@
-"""Topic-model pair features: latent semantic indexing and latent Dirichlet allocation."""
+"""Topic-model pair features: latent semantic indexing and topics of a mixture of term distributions.
+
+Both models keep a table (term, load), one number per topic, that joins postings by term. No
+vocabulary, no term and no text passes the driver: it sees matrices of topics x topics and one
+likelihood a round. Every term of the corpus counts unless a cap is asked for.
+
+LSI is a randomised subspace iteration over the term weights A (texts x terms): a table Q of term
+loadings is taken through A and back, Z = A'(A Q), in two joins with partial sums, and made
+orthogonal by the eigenvectors of Z'Z, summed from the tasks' partial products. The loadings end as the leading
+right singular vectors of A.
+
+The topic mixture is fitted by expectation maximisation with a Dirichlet prior on each text's shares,
+as in latent Dirichlet allocation at its posterior mode: given the topics, each text's best shares
+are found from its own terms (the problem is concave), and each term's expected counts per topic are
+summed over the texts. So the likelihood rises from round to round.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairkit.functions import text as tx, vectors as vx
 from pairkit.operators import dictionary, weighting
 from pairkit.operators.features import FeatureSet
 from pairkit.session import materialize
+from pairkit.sources import stores
 
+# Names of the topic features.
 NAMES = ("lsi_cosine_sim", "lsi_l1_diff", "lsi_l2_diff",
          "lda_cosine_sim", "lda_hellinger_sim", "lda_l1_diff")
-# The loadings of every term (terms x topics doubles) go to each task.
-MAX_LOADINGS_BYTES = 512 * 2**20
+# Directions beyond the topics asked for, which make the leading ones converge sooner.
+EXTRA = 10
+# Singular values are lost in rounding below this share of the largest.
+LEAST_SHARE = 1e-3
+
+
+def _sums(values: Column, size: int, factor: Column | float = 1.0) -> Column:
+    """Element-wise sums of an array column, combined map-side."""
+    factor = F.lit(factor) if isinstance(factor, float) else factor
+    return F.array(*[F.sum(factor * values[j]) for j in range(size)])
 
 
-def _indexed_terms(model: weighting.TermModel) -> list:
-    """Vocabulary rows in term order; at most the vocabulary cap."""
-    return sorted(model.vocabulary.select("term", "idf").collect(), key=lambda r: r["term"])
+def _hash_numbers(size: int, seed: int, make) -> Column:
+    """An array of `size` numbers that depend on the term alone."""
+    return F.transform(F.sequence(F.lit(1), F.lit(size)), lambda j: make(F.xxhash64(F.lit(seed), F.col("term"), j)))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 # ---- latent semantic indexing ------------------------------------------------
 
+def _through(postings: DataFrame, table: DataFrame, by: str, to: str, size: int) -> DataFrame:
+    """(to, load): the sum of w * load over the postings of each `to`; table: (by, load)."""
+    return postings.join(table, by).groupBy(to).agg(_sums(F.col("load"), size, F.col("w")).alias("load"))
+
+
+def _gram(table: DataFrame, size: int) -> np.ndarray:
+    """X'X of the rows X of `load`: a partial product per task, summed per matrix row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        product = np.zeros((size, size))
+        for batch in batches:
+            x = _matrix(batch.column(0), size)
+            product += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array(product.tolist(), pa.list_(pa.float64()))], ["i", "load"])
+
+    parts = table.select("load").mapInArrow(run, "i int, load array<double>")
+    rows = parts.groupBy("i").agg(_sums(F.col("load"), size).alias("load")).collect()  # size x size numbers
+    out = np.zeros((size, size))
+    for r in rows:
+        out[r["i"]] = r["load"]
+    return (out + out.T) / 2
+
+
+def _rotated(table: DataFrame, turn: np.ndarray, key: str = "term") -> DataFrame:
+    """(key, load @ turn)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _matrix(batch.column(1), turn.shape[0]) @ turn
+            flat = pa.array(x.ravel())
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * turn.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], [key, "load"])
+
+    return table.select(key, "load").mapInArrow(run, f"{key} string, load array<double>")
+
+
+def _basis(product: np.ndarray, power: float) -> tuple[np.ndarray, np.ndarray]:
+    """Turn that makes the rows' columns orthonormal, and the singular values; product ~ values ** (2 * power)."""
+    values, vectors = np.linalg.eigh(product)
+    order = np.argsort(values)[::-1]
+    values, vectors = values[order], vectors[:, order]
+    kept = values > max(values[0], 1e-300) * max(LEAST_SHARE ** (2 * power), 1e-13)
+    return vectors[:, kept] / np.sqrt(values[kept]), values[kept] ** (0.5 / power)
+
+
 @dataclass
 class LsiModel:
-    """Term weights and the loadings of each known term on k topics."""
+    """Term weights and (term, load): the loadings of each known term on k topics."""
 
     terms: weighting.TermModel
-    index: dict[str, int]
-    loadings: np.ndarray
+    loadings: DataFrame
     singular_values: np.ndarray
+    rounds: int = 0
+
+    @property
+    def k(self) -> int:
+        return len(self.singular_values)
 
     def transform(self, texts: DataFrame) -> DataFrame:
         """(text_id, lsi): unit-length topic vectors of texts with one row per text_id."""
-        shared = texts.sparkSession.sparkContext.broadcast((self.index, self.loadings))
-        k = self.loadings.shape[1]
-
-        @F.arrow_udf("array<double>")
-        def project(terms: pa.Array, weights: pa.Array) -> pa.Array:
-            index, loadings = shared.value
-            rows = []
-            for names, w in zip(terms.to_pylist(), weights.to_pylist()):
-                at = [index[t] for t in names]
-                raw = np.asarray(w) @ loadings[at] if at else np.zeros(k)
-                length = np.linalg.norm(raw)
-                rows.append((raw / length if length > 0 else raw).tolist())
-            return pa.array(rows, pa.list_(pa.float64()))
-
-        vectors = self.terms.vectorize(texts)
-        return vectors.select("text_id", project(F.col("terms.term"), F.col("terms.w")).alias("lsi"))
+        raw = self._raw(texts).withColumn("length", vx.norm("raw"))
+        return raw.select("text_id", F.transform("raw", lambda x: F.when(F.col("length") > 0, x / F.col("length")).otherwise(x)).alias("lsi"))
 
     def explained_variance(self, texts: DataFrame) -> DataFrame:
         """One row: the share of the variance of the weights that the topics keep.
@@ -71,96 +129,185 @@ class LsiModel:
             (F.sum(F.col("n") * F.col("w") * F.col("w")) / n).alias("sq"),
             (F.sum(F.col("n") * F.col("w")) / n).alias("mean"))
         whole = per_term.agg(F.sum(F.col("sq") - F.col("mean") * F.col("mean"))).scalar()
-        raw = self._raw(texts).join(counts, "text_id").select("n", F.posexplode("raw").alias("topic", "x"))
-        per_topic = raw.groupBy("topic").agg(
-            (F.sum(F.col("n") * F.col("x") * F.col("x")) / n).alias("sq"),
-            (F.sum(F.col("n") * F.col("x")) / n).alias("mean"))
-        kept = F.sum(F.col("sq") - F.col("mean") * F.col("mean"))
-        return per_topic.agg((kept / whole).alias("explained_variance"))
+        raw = self._raw(texts).join(counts, "text_id")
+        squares = F.transform("raw", lambda x: x * x)
+        per_topic = raw.withColumn("squares", squares).agg(_sums(F.col("squares"), self.k, F.col("n") / n).alias("sq"),
+                                                            _sums(F.col("raw"), self.k, F.col("n") / n).alias("mean"))
+        kept = vx.total(F.zip_with("sq", "mean", lambda s, m: s - m * m))
+        return per_topic.select((kept / whole).alias("explained_variance"))
 
     def _raw(self, texts: DataFrame) -> DataFrame:
         """(text_id, raw): topic vectors before scaling."""
-        spark = texts.sparkSession
-        loadings = spark.createDataFrame(
-            [(t, self.loadings[i].tolist()) for t, i in self.index.items()], "term string, load array<double>")
-        weighted = (weighting.postings(self.terms.vectorize(texts)).join(F.broadcast(loadings), "term")
-                    .select("text_id", "w", F.posexplode("load").alias("topic", "x")))
-        parts = weighted.groupBy("text_id", "topic").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
-        order = F.sort_array(F.collect_list(F.struct("topic", "x")))
-        return parts.groupBy("text_id").agg(F.transform(order, lambda s: s.x).alias("raw"))
-
-
-def fit_lsi(corpus: DataFrame, k: int = 100, max_features: int = weighting.WORD_CAP) -> LsiModel:
-    """Truncated SVD of the sublinear term weights of every text of `corpus`."""
-    from pyspark.mllib.linalg import Vectors as OldVectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    if max_features * k * 8 > MAX_LOADINGS_BYTES:
-        raise ValueError("terms x topics exceeds what may be sent to every task")
+        postings = weighting.postings(self.terms.vectorize(texts)).select("text_id", "term", "w")
+        return _through(postings, self.loadings, "term", "text_id", self.k).withColumnRenamed("load", "raw")
+
+    def save(self, path: str) -> None:
+        self.terms.save(f"{path}/terms")
+        self.loadings.write.parquet(f"{path}/loadings")
+        stores.write_document(self.loadings.sparkSession, {"singular_values": self.singular_values.tolist(), "rounds": self.rounds}, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LsiModel:
+        doc = stores.read_document(spark, f"{path}/model")
+        return cls(weighting.TermModel.load(spark, f"{path}/terms"), spark.read.parquet(f"{path}/loadings"),
+                   np.array(doc["singular_values"]), doc["rounds"])
+
+
+def fit_lsi(corpus: DataFrame, k: int = 100, max_features: int | None = None, max_rounds: int = 12,
+            tolerance: float = 1e-7, seed: int = 42) -> LsiModel:
+    """Truncated SVD of the sublinear term weights of every text of `corpus`.
+
+    Rounds end when the squared singular values of the topics change by less than `tolerance` in
+    all. A corpus of fewer dimensions than k gives as many topics as it has.
+    """
     terms = weighting.fit_terms(corpus, tx.topic_tokens, max_features)
-    index = {row["term"]: i for i, row in enumerate(_indexed_terms(terms))}
     texts = dictionary.distinct_texts(corpus)
     counts = texts.select("text_id", F.sqrt("n").alias("scale"))
     # Copies of a text are one row, scaled so that it counts as often.
-    rows = materialize(terms.vectorize(texts).join(counts, "text_id").select(
-        "text_id", F.col("terms.term").alias("names"),
-        F.transform("terms.w", lambda w: w * F.col("scale")).alias("w")), "lsi-rows")
-    shared = corpus.sparkSession.sparkContext.broadcast(index)
-    size = len(index)
-
-    def sparse(row):
-        at = shared.value
-        return OldVectors.sparse(size, [(at[t], w) for t, w in zip(row["names"], row["w"])])
-
-    svd = RowMatrix(rows.rdd.map(sparse), numCols=size).computeSVD(min(k, size), computeU=False)
-    return LsiModel(terms, index, svd.V.toArray(), svd.s.toArray())
-
+    weights = weighting.postings(terms.vectorize(texts)).join(counts, "text_id")
+    postings = materialize(weights.select("text_id", "term", (F.col("w") * F.col("scale")).alias("w")), "lsi-postings")
+    size = max(1, min(k + EXTRA, terms.size))
+    signs = _hash_numbers(size, seed, lambda h: F.when(h % 2 == 0, 1.0).otherwise(-1.0))
+    basis = materialize(terms.vocabulary.select("term", signs.alias("load")), "lsi-basis")
+    before, rounds = None, 0
+    if not terms.size:
+        return LsiModel(terms, basis, np.zeros(0))
+    while rounds < max_rounds:
+        there = _through(postings, basis, "term", "text_id", size)
+        back = materialize(_through(postings, there, "text_id", "term", size), "lsi-back")
+        turn, values = _basis(_gram(back, size), power=2.0)
+        basis, size, rounds = materialize(_rotated(back, turn), "lsi-basis"), turn.shape[1], rounds + 1
+        now = (values[:k] ** 2).sum()
+        if before is not None and abs(now - before) <= tolerance * now:
+            break
+        before = now
+    there = _through(postings, basis, "term", "text_id", size)
+    values, vectors = np.linalg.eigh(_gram(there, size))
+    order = np.argsort(values)[::-1][:k]
+    order = order[values[order] > values.max() * LEAST_SHARE ** 2]
+    loadings = materialize(_rotated(basis, vectors[:, order]), "lsi-loadings")
+    return LsiModel(terms, loadings, np.sqrt(values[order]), rounds)
+
+
+# ---- topic mixtures ----------------------------------------------------------
+
+def best_shares(loads: np.ndarray, weights: np.ndarray, prior: float, steps: int = 100, close: float = 1e-6) -> np.ndarray:
+    """The topic shares of a text that make its terms likeliest. loads: terms x topics, chances of a term given a topic."""
+    k = loads.shape[1]
+    shares = np.full(k, 1.0 / k)
+    for _ in range(steps):
+        mix = np.maximum(loads @ shares, 1e-300)
+        new = shares * (loads.T @ (weights / mix)) + (prior - 1)
+        new /= new.sum()
+        if np.abs(new - shares).max() < close:
+            return new
+        shares = new
+    return shares
+
+
+def _shares(texts: DataFrame, topics: DataFrame, k: int, prior: float) -> DataFrame:
+    """(text_id, n, lda, fit, expected): shares, log likelihood and expected counts (term, load) of each text.
+
+    texts: (text_id, n, term, w). A text's terms with their k numbers are in one row.
+    """
+    rows = texts.join(topics, "term").groupBy("text_id", "n").agg(F.collect_list(F.struct("term", "w", "load")).alias("terms"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.int64(), pa.list_(pa.float64()), pa.float64(),
+                 pa.list_(pa.struct([("term", pa.string()), ("load", pa.list_(pa.float64()))]))]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                out = []
+                for r in batch.slice(at, 64).to_pylist():
+                    loads = np.array([t["load"] for t in r["terms"]])
+                    weights = np.array([t["w"] for t in r["terms"]])
+                    shares = best_shares(loads, weights, prior)
+                    mix = np.maximum(loads @ shares, 1e-300)
+                    fit = float(weights @ np.log(mix) + (prior - 1) * np.log(np.maximum(shares, 1e-300)).sum())
+                    expected = (r["n"] * weights / mix)[:, None] * loads * shares
+                    out.append((r["text_id"], r["n"], shares.tolist(), fit,
+                                [{"term": t["term"], "load": e} for t, e in zip(r["terms"], expected.tolist())]))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["text_id", "n", "lda", "fit", "expected"])
+
+    return rows.mapInArrow(run, "text_id string, n bigint, lda array<double>, fit double, expected array<struct<term:string,load:array<double>>>")
 
-# ---- latent Dirichlet allocation ---------------------------------------------
 
 @dataclass
 class LdaModel:
-    """Term weighting and topics as one ML pipeline."""
+    """Term weighting and (term, load): each topic's chances of the terms."""
 
-    pipeline: PipelineModel
+    terms: weighting.TermModel
+    topics: DataFrame
+    k: int
+    weights: str = "tfidf"
+    prior: float = 1.1
+    log_likelihoods: list[float] = field(default_factory=list)
 
     def transform(self, texts: DataFrame) -> DataFrame:
-        """(text_id, lda): topic shares that sum to 1."""
-        tokens = texts.select("text_id", tx.topic_tokens("text").alias("tokens"))
-        shares = vector_to_array("topicDistribution")
-        found = self.pipeline.transform(tokens).select("text_id", shares.alias("raw"))
-        whole = F.greatest(vx.total("raw"), F.lit(vx.EPS))
-        return found.withColumn("__whole", whole).select(
-            "text_id", F.transform("raw", lambda x: x / F.col("__whole")).alias("lda"))
-
-    def log_perplexity(self, texts: DataFrame) -> float:
-        """Upper bound on the log perplexity of a corpus."""
-        weighted = PipelineModel(self.pipeline.stages[:-1]).transform(
-            texts.select(tx.topic_tokens("text").alias("tokens")))
-        return self.pipeline.stages[-1].logPerplexity(weighted)
-
-
-def fit_lda(corpus: DataFrame, k: int = 100, max_iter: int = 10, seed: int = 42,
-            max_features: int = weighting.WORD_CAP, optimizer: str = "online",
-            weights: str = "tfidf") -> LdaModel:
-    """LDA on unit-length tf-idf (or plain counts with `weights="counts"`)."""
-    terms = weighting.fit_terms(corpus, tx.topic_tokens, max_features, sublinear=False)
-    rows = _indexed_terms(terms)
-    count = CountVectorizerModel.from_vocabulary([r["term"] for r in rows], "tokens", "counts")
+        """(text_id, lda): topic shares that sum to 1; equal ones for a text without known terms."""
+        found = _shares(_weighted(self.terms, texts, self.weights), self.topics, self.k, self.prior).select("text_id", "lda")
+        even = F.array_repeat(F.lit(1.0 / max(1, self.k)), self.k)
+        return texts.select("text_id").join(found, "text_id", "left").select("text_id", F.coalesce("lda", even).alias("lda"))
+
+    def log_perplexity(self, corpus: DataFrame) -> float:
+        """Negative log likelihood of a corpus per unit of term weight, without the prior."""
+        rows = materialize(_weighted(self.terms, dictionary.distinct_texts(corpus), self.weights), "lda-rows")
+        fits = _shares(rows, self.topics, self.k, 1.0).agg(F.sum(F.col("n") * F.col("fit"))).first()[0]
+        whole = rows.agg(F.sum(F.col("n") * F.col("w"))).first()[0]
+        return 0.0 if not whole else -fits / whole
+
+    def save(self, path: str) -> None:
+        self.terms.save(f"{path}/terms")
+        self.topics.write.parquet(f"{path}/topics")
+        doc = {"k": self.k, "weights": self.weights, "prior": self.prior, "log_likelihoods": self.log_likelihoods}
+        stores.write_document(self.topics.sparkSession, doc, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LdaModel:
+        doc = stores.read_document(spark, f"{path}/model")
+        return cls(weighting.TermModel.load(spark, f"{path}/terms"), spark.read.parquet(f"{path}/topics"), doc["k"], doc["weights"],
+                   doc["prior"], doc["log_likelihoods"])
+
+
+def _weighted(terms: weighting.TermModel, texts: DataFrame, weights: str) -> DataFrame:
+    """(text_id, n, term, w) of the known terms: unit-length tf-idf, or plain counts."""
+    counted = texts if "n" in texts.columns else texts.withColumn("n", F.lit(1).cast("bigint"))
     if weights == "tfidf":
-        scale = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in rows]),
-                                   inputCol="counts", outputCol="scaled")
-        stages = [count, scale, Normalizer(p=2.0, inputCol="scaled", outputCol="features")]
+        found = weighting.postings(terms.vectorize(counted)).select("text_id", "term", "w")
     else:
-        count.setOutputCol("features")
-        stages = [count]
-    prepared = PipelineModel(stages).transform(corpus.select(tx.topic_tokens("text").alias("tokens")))
-    # Every iteration reads the vectors again; they are written once.
-    vectors = materialize(prepared.select("features"), "lda-rows")
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features")
-    if optimizer == "online":
-        lda.setSubsamplingRate(1.0)
-    return LdaModel(PipelineModel([*stages, lda.fit(vectors)]))
+        found = weighting.term_counts(counted, terms.tokenizer).join(terms.vocabulary.select("term"), "term").select(
+            "text_id", "term", F.col("tf").cast("double").alias("w"))
+    return found.join(counted.select("text_id", "n"), "text_id")
+
+
+def _scaled_topics(table: DataFrame, k: int, name: str) -> DataFrame:
+    """(term, load) with each topic's numbers scaled to sum 1."""
+    raw = materialize(table, name)
+    totals = raw.agg(_sums(F.col("load"), k).alias("t")).first()["t"]  # k numbers
+    scale = F.array(*[F.lit(1.0 / t if t else 0.0) for t in totals])
+    return raw.select("term", F.zip_with("load", scale, lambda x, y: x * y).alias("load"))
+
+
+def fit_lda(corpus: DataFrame, k: int = 100, max_iter: int = 10, seed: int = 42, max_features: int | None = None,
+            weights: str = "tfidf", prior: float = 1.1, tolerance: float = 1e-6) -> LdaModel:
+    """Topics of every text of `corpus`, on unit-length tf-idf (or plain counts with `weights="counts"`).
+
+    `prior` above 1 is the Dirichlet parameter of a text's shares. Rounds end after `max_iter`, or when the
+    likelihood changes by less than `tolerance` of itself; it is kept for each round.
+    """
+    terms = weighting.fit_terms(corpus, tx.topic_tokens, max_features, sublinear=False)
+    texts = materialize(_weighted(terms, dictionary.distinct_texts(corpus), weights), "lda-rows")
+    start = _hash_numbers(k, seed, lambda h: F.pmod(h, F.lit(1 << 20)) / float(1 << 20) + 0.5)
+    topics = _scaled_topics(terms.vocabulary.select("term", start.alias("load")), k, "lda-topics")
+    fits: list[float] = []
+    for _ in range(max_iter if terms.size else 0):
+        shares = materialize(_shares(texts, topics, k, prior).select("n", "fit", "expected"), "lda-shares")
+        fits.append(float(shares.agg(F.sum(F.col("n") * F.col("fit"))).first()[0]))
+        expected = shares.select(F.inline("expected")).groupBy("term").agg(_sums(F.col("load"), k).alias("load"))
+        topics = _scaled_topics(expected, k, "lda-topics")
+        if len(fits) > 1 and abs(fits[-1] - fits[-2]) <= tolerance * abs(fits[-1]):
+            break
+    return LdaModel(terms, topics, k, weights, prior, fits)
 
 
 # ---- pair features -----------------------------------------------------------
@@ -181,9 +328,8 @@ def attach_topics(pairs: DataFrame, lsi: LsiModel, lda: LdaModel) -> DataFrame:
     """Pairs with the topic vectors of both texts; each distinct text is embedded once
     and the vectors are written, as for term vectors."""
     texts = dictionary.distinct_texts(dictionary.corpus(pairs))
-    k_lsi = lsi.loadings.shape[1]
     both = lda.transform(texts).join(lsi.transform(texts), "text_id", "left").withColumn(
-        "lsi", F.coalesce("lsi", F.array_repeat(F.lit(0.0), k_lsi)))
+        "lsi", F.coalesce("lsi", F.array_repeat(F.lit(0.0), lsi.k)))
     both = materialize(both, "topic-vectors")
     out = pairs
     for i in (1, 2):

@@ -11,11 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairkit.functions import text as tx
 from pairkit.operators import dictionary
 from pairkit.session import materialize
+from pairkit.sources import stores
 
 Tokenizer = Callable[[str], Column]
 
@@ -26,6 +27,20 @@ RARE_PERCENTILE = 0.75
 BROADCAST_TERMS = 1_000_000
 
 
+# What a saved model names its tokenizer by.
+TOKENIZERS = {"words": tx.word_tokens, "topics": tx.topic_tokens, "whitespace": tx.whitespace_tokens,
+              "char_wb": tx.char_word_grams, "char": tx.char_grams}
+
+
+def tokenizer_document(tokenizer: Tokenizer) -> dict:
+    """Name and options of one of the library's tokenizers."""
+    plain, options = (tokenizer.func, dict(tokenizer.keywords)) if isinstance(tokenizer, partial) else (tokenizer, {})
+    name = next((n for n, f in TOKENIZERS.items() if f is plain), None)
+    if name is None:
+        raise ValueError("only models with a tokenizer of the library can be saved")
+    return {"name": name, "options": options}
+
+
 def char_tokenizer(low: int = 1, high: int = 8, analyzer: str = "char_wb") -> Tokenizer:
     """Character n-grams within padded words ("char_wb") or across the text ("char")."""
     return partial({"char_wb": tx.char_word_grams, "char": tx.char_grams}[analyzer], low=low, high=high)
@@ -132,6 +147,22 @@ class TermModel:
         return out
 
 
+    def save(self, path: str) -> None:
+        """The vocabulary as a table and the rest as a document."""
+        self.vocabulary.write.parquet(f"{path}/vocabulary")
+        doc = {"tokenizer": tokenizer_document(self.tokenizer), "n_docs": self.n_docs, "size": self.size,
+               "rare_idf": self.rare_idf, "sublinear": self.sublinear}
+        stores.write_document(self.vocabulary.sparkSession, doc, f"{path}/model")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TermModel:
+        """A saved model, in any session."""
+        doc = stores.read_document(spark, f"{path}/model")
+        plain, options = TOKENIZERS[doc["tokenizer"]["name"]], doc["tokenizer"]["options"]
+        return cls(spark.read.parquet(f"{path}/vocabulary"), partial(plain, **options) if options else plain,
+                   doc["n_docs"], doc["size"], doc["rare_idf"], doc["sublinear"])
+
+
 def fit_terms(corpus: DataFrame, tokenizer: Tokenizer, max_features: int | None,
               sublinear: bool = True, percentile: float = RARE_PERCENTILE) -> TermModel:
     """Fit on every text of `corpus`, repeats included; pass training rows only."""

@@ -26,6 +26,14 @@ def _written(matrix, name: str):
     return matrix if isinstance(matrix, list) else materialize(matrix, name)
 
 
+def _texts(pairs: DataFrame) -> DataFrame:
+    """The texts of each pair, once; of a pair given with several the first in order."""
+    if "question1" not in pairs.columns:
+        return pairs.select(*KEY, F.lit("").alias("question1"), F.lit("").alias("question2")).distinct()
+    first = F.min(F.struct("question1", "question2")).alias("t")
+    return pairs.groupBy(*KEY).agg(first).select(*KEY, "t.question1", "t.question2")
+
+
 def load_pairs(spark: SparkSession, folder: str, vectors: DataFrame, limit: int | None = None,
                hot_share: float | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
     """Labelled pairs of a folder joined to both vectors, and one row that says what became of the rows read.
@@ -63,10 +71,11 @@ def run_experiment(spark: SparkSession, pairs: DataFrame, model, name: str, spli
                    arguments: dict[str, Any] | None = None) -> DataFrame:
     """Evaluate a model on the saved split of `pairs` and write all artefacts.
 
-    Corpus statistics and fits see training rows only. Returns the metrics row.
+    Corpus statistics and fits see training rows only; all rows of a pair are on one side of the
+    split. Every row of a test pair is scored and counted. Returns the metrics row.
     """
     threshold = model.threshold if threshold is None else threshold
-    split = splits.get_split(spark, split_path, pairs.select(*KEY, "label"), test_size)
+    split = splits.get_split(spark, split_path, splits.one_per_pair(pairs), test_size)
     train, test = (split.filter(F.col("split") == part) for part in ("train", "test"))
     corpus = pairs.join(train.select(*KEY), list(KEY), "left_semi") if model.needs_training_corpus else None
     matrix = _written(model.build_features(pairs, corpus), "features")
@@ -76,9 +85,9 @@ def run_experiment(spark: SparkSession, pairs: DataFrame, model, name: str, spli
     result = evaluate.metrics(decided)
     run_at = dt.datetime.now().strftime("%Y-%m-%d %H:%M:%S")
     config = evaluate.run_config(name, run_at, model, threshold, scored.count(), arguments)
-    texts = pairs.select(*KEY, "question1", "question2") if "question1" in pairs.columns else (
-        pairs.select(*KEY, F.lit("").alias("question1"), F.lit("").alias("question2")))
-    errors = evaluate.error_table(decided.filter("label <> pred").join(texts, list(KEY)))
+    errors = evaluate.error_table(decided.filter("label <> pred").join(_texts(pairs), list(KEY)))
+    if getattr(fitted, "n_trees", None) is not None:
+        config["n_trees"] = fitted.n_trees
     importances = None
     if getattr(fitted, "names", ()) and hasattr(fitted.pipeline.stages[-1], "featureImportances"):
         importances = ranking.rank_importances(fitted.feature_importances())
@@ -116,14 +125,15 @@ def score_all(labelled: DataFrame, unlabelled: DataFrame, model, ids: DataFrame
 
 def tune(spark: SparkSession, pairs: DataFrame, model, name: str, split_path: str, folder: str,
          n_trials: int = 10, k: int = 5, seed: int = 42, candidates: Sequence[dict] | None = None,
-         fresh: bool = False, prune: bool = True) -> dict[str, Any]:
+         fresh: bool = False, prune: bool = True, parallelism: int = 1) -> dict[str, Any]:
     """Search parameters on the training rows of the saved split; returns and writes the
-    best-parameters document. Running it again goes on with the same study."""
-    split = splits.get_split(spark, split_path, pairs.select(*KEY, "label"))
+    best-parameters document. Running it again goes on with the same study. At most
+    `parallelism` candidates are fitted at a time."""
+    split = splits.get_split(spark, split_path, splits.one_per_pair(pairs))
     train = pairs.join(split.filter("split = 'train'").select(*KEY), list(KEY), "left_semi")
-    folds = splits.stratified_kfold(train.select(*KEY, "label"), k).drop("label")
+    folds = splits.stratified_kfold(splits.one_per_pair(train), k).drop("label")
     matrix = model.build_features(train, train if model.needs_training_corpus else None)
-    rows = materialize(matrix.join(joins.one_per_key(folds, "fold"), list(KEY)), "tuning")
+    rows = materialize(matrix.join(folds, list(KEY)), "tuning")
     if candidates is None:
         candidates = search.sample_params(model.get_tuning_spec()["param_space"], n_trials, seed)
 
@@ -132,7 +142,7 @@ def tune(spark: SparkSession, pairs: DataFrame, model, name: str, split_path: st
         return fitted.predict_proba(marked.filter("not is_train"))
 
     trials = search.run_study(spark, f"{folder}/{name}/study", rows, candidates, fit_score,
-                              fresh=fresh, k=k, threshold=model.threshold, prune=prune)
+                              fresh=fresh, k=k, threshold=model.threshold, prune=prune, parallelism=parallelism)
     best = search.best_document(trials, model.name, name)
     stores.write_trials(spark, f"{folder}/{name}", trials, best)
     return best

@@ -88,6 +88,11 @@ def write_document(spark: SparkSession, doc: dict[str, Any], path: str, mode: st
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
+def read_document(spark: SparkSession, path: str) -> dict[str, Any]:
+    """A document that `write_document` wrote."""
+    return json.loads(spark.read.text(path).first()["value"])
+
+
 def write_run(spark: SparkSession, folder: str, metrics: DataFrame, errors: DataFrame,
               config: dict[str, Any], importances: DataFrame | None = None,
               mode: str = "overwrite") -> None:

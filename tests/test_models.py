@@ -1,4 +1,7 @@
+import dataclasses
 import random
+import threading
+import time
 
 import numpy as np
 import pytest
@@ -6,7 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from checks import model_checks
-from pairkit.operators import dictionary, enrich, ensemble, models, splits, topics
+from pairkit.operators import dictionary, enrich, ensemble, models, search, splits, topics, weighting
 from pairkit.plans import jobs
 from pairkit.session import scratch_path
 from pairkit.sources import stores
@@ -96,7 +99,7 @@ def test_presets_are_complete():
 
 def test_topics(spark, pairs):
     corpus = dictionary.corpus(pairs)
-    lsi, lda = topics.fit_lsi(corpus, 3, 50), topics.fit_lda(corpus, 3, 3, max_features=50)
+    lsi, lda = topics.fit_lsi(corpus, 3), topics.fit_lda(corpus, 3, 3)
     texts = dictionary.distinct_texts(corpus)
     assert 0.0 < lsi.explained_variance(texts).first()[0] <= 1.0
     rows = topics.topic_features(lsi, lda).apply(pairs).collect()
@@ -106,19 +109,188 @@ def test_topics(spark, pairs):
     assert all(r.lsi_l1_diff == pytest.approx(0, abs=1e-9) for r in same)
 
 
-def test_lsi_spans_the_leading_singular_space(spark):
-    texts = ["red blue", "red blue green", "cat dog", "cat dog dog fish", "red blue"]
-    corpus = spark.createDataFrame([(t,) for t in texts], "text string")
-    model = topics.fit_lsi(corpus, 2, 20)
-    terms = sorted(model.index, key=model.index.get)
-    idf = {r.term: r.idf for r in model.terms.vocabulary.collect()}
-    matrix = np.zeros((len(texts), len(terms)))
-    for i, t in enumerate(texts):
-        for j, w in enumerate(terms):
-            c = t.split().count(w)
-            matrix[i, j] = (1 + np.log(c)) * idf[w] if c else 0.0
-    matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
-    assert model.singular_values == pytest.approx(np.linalg.svd(matrix)[1][:2], abs=1e-6)
+def weight_matrix(texts):
+    """Unit-length sublinear term weights, by hand."""
+    words = sorted({w for t in texts for w in t.split()})
+    df = {w: sum(w in t.split() for t in texts) for w in words}
+    out = np.array([[(1 + np.log(c)) * (np.log((1 + len(texts)) / (1 + df[w])) + 1) if (c := t.split().count(w)) else 0.0
+                     for w in words] for t in texts])
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Texts of three groups of words that no other group has, and one text of a word alone."""
+    rng = random.Random(1)
+    texts = [" ".join(f"t{i % 3}w{rng.randrange(12)}" for _ in range(25)) for i in range(60)] + ["alone"]
+    return texts, spark.createDataFrame([(t,) for t in texts], "text string")
+
+
+@pytest.mark.parametrize("k", [4, 100])
+def test_lsi_finds_the_leading_singular_space(planted, k):
+    texts, corpus = planted
+    model = topics.fit_lsi(corpus, k)
+    weights = weight_matrix(texts)
+    values = np.linalg.svd(weights)[1]
+    rank = int((values > 1e-9).sum())
+    assert model.k == min(k, rank) and model.singular_values == pytest.approx(values[:model.k], abs=1e-5)
+    loads = {r.term: r.load for r in model.loadings.collect()}
+    assert len(loads) == 37  # every term, however rare
+    basis = np.array([loads[w] for w in sorted(loads)])
+    assert basis.T @ basis == pytest.approx(np.eye(model.k), abs=1e-8)
+    if k == 100:  # at full rank nothing is lost
+        distinct = dictionary.distinct_texts(corpus)
+        found = {r.text: r.lsi for r in model.transform(distinct).join(distinct, "text_id").collect()}
+        vectors = np.array([found[t] for t in texts])
+        assert vectors @ vectors.T == pytest.approx(weights @ weights.T, abs=1e-8)
+        assert model.explained_variance(distinct).first()[0] == pytest.approx(1.0)
+
+
+def test_topic_mixture_recovers_planted_topics_with_rising_likelihood(spark, planted):
+    texts, corpus = planted
+    model = topics.fit_lda(corpus, 3, 15, weights="counts")
+    fits = model.log_likelihoods
+    assert len(fits) > 2 and all(b >= a - 1e-9 * abs(a) for a, b in zip(fits, fits[1:]))
+    distinct = dictionary.distinct_texts(corpus).unionByName(spark.createDataFrame([("none", "unknown words", 1)], "text_id string, text string, n bigint"))
+    found = {r.text: r.lda for r in model.transform(distinct).join(distinct, "text_id").collect()}
+    assert all(sum(v) == pytest.approx(1.0) for v in found.values()) and found["unknown words"] == pytest.approx([1 / 3] * 3)
+    groups = [int(np.argmax(found[t])) for t in texts[:60]]
+    assert len(set(groups)) == 3 and groups == [groups[i % 3] for i in range(60)]
+    assert model.topics.count() == 37
+    assert model.log_perplexity(corpus) < np.log(37)
+
+
+def test_topic_models_of_an_empty_corpus(spark):
+    empty = spark.createDataFrame([], "text string")
+    lsi, lda = topics.fit_lsi(empty, 3), topics.fit_lda(empty, 3, 3)
+    texts = dictionary.distinct_texts(empty)
+    assert lsi.k == 0 and lda.log_likelihoods == [] and lda.transform(texts).count() == 0
+
+
+def test_models_are_saved_and_read_again(spark, planted, pairs, tmp_path):
+    _, corpus = planted
+    texts = dictionary.distinct_texts(corpus)
+    rows = lambda df, c: sorted((r.text_id, str(r[c])) for r in df.collect())
+    lsi, lda, chars = topics.fit_lsi(corpus, 3), topics.fit_lda(corpus, 3, 2), weighting.fit_char(corpus, ngram_range=(2, 3))
+    for i, (model, column) in enumerate([(lsi, "lsi"), (lda, "lda")]):
+        model.save(f"{tmp_path}/{i}")
+        again = type(model).load(spark.newSession(), f"{tmp_path}/{i}")
+        assert rows(again.transform(texts), column) == rows(model.transform(texts), column)
+    chars.save(f"{tmp_path}/chars")
+    again = weighting.TermModel.load(spark.newSession(), f"{tmp_path}/chars")
+    assert rows(again.vectorize(texts), "terms") == rows(chars.vectorize(texts), "terms") and again.rare_idf == chars.rare_idf
+    model = models.boosted_trees_a(DIM, (4,), **models.SMALL)
+    matrix = model.build_features(pairs)
+    fitted = model.fit(matrix)
+    fitted.save(f"{tmp_path}/trees", model.get_config())
+    again = models.Fitted.load(spark, f"{tmp_path}/trees")
+    order = lambda f: sorted(map(tuple, f.predict_proba(matrix).collect()))
+    assert again.names == model.feature_names and order(again) == order(fitted)
+
+
+def test_early_stopping_keeps_the_best_trees(pairs):
+    """A third of the labels are noise, so the loss on held-out pairs soon rises."""
+    noisy = pairs.withColumn("label", F.when(F.xxhash64("qid1") % 3 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    stop = models.EarlyStopping(share=0.25)
+    model = models.boosted_trees_a(DIM, (4,), early_stopping=stop, n_estimators=60, max_depth=4, learning_rate=0.3)
+    matrix = model.build_features(noisy.unionByName(noisy.limit(20)))
+    marked = stop.mark(matrix)
+    assert marked.groupBy("qid1", "qid2").agg(F.count_distinct("is_validation").alias("n")).filter("n > 1").isEmpty()
+    assert marked.filter("is_validation").select("qid1").distinct().count() == 40
+    fitted = model.fit(matrix)
+    assert 0 < fitted.n_trees < 60 and model.get_config()["early_stopping"]["share"] == 0.25
+    assert models.boosted_trees_b(DIM, (4,), iterations=12, depth=3).fit(matrix).n_trees == 12
+    with pytest.raises(ValueError):
+        dataclasses.replace(models.logistic_regression(DIM), early_stopping=stop).fit(matrix)
+
+
+def test_search_spaces_hold_only_what_spark_can_set():
+    spec = models.boosted_trees_a(DIM).get_tuning_spec()
+    assert spec["ignored"] == ["reg_alpha"] and "reg_alpha" not in spec["param_space"]
+    assert models.random_forest(DIM).get_tuning_spec()["ignored"] == ["min_samples_split"]
+
+
+class Watched:
+    """Fits that take a while, with the most that ran at a time."""
+
+    def __init__(self, fail=None):
+        self.lock, self.now, self.most, self.fail, self.groups = threading.Lock(), 0, 0, fail, set()
+
+    def __call__(self, rows, params):
+        with self.lock:
+            self.now += 1
+            self.most = max(self.most, self.now)
+            self.groups.add(rows.sparkSession.sparkContext.getLocalProperty("spark.jobGroup.id"))
+        time.sleep(0.3)
+        if self.fail == params["x"]:
+            raise RuntimeError("bad candidate")
+        with self.lock:
+            self.now -= 1
+        return rows.filter("NOT is_train").select("label", (F.pmod(F.xxhash64("qid1", F.lit(params["x"])), F.lit(100)) / 100.0).alias("proba"))
+
+
+def test_parallel_search_gives_the_trials_of_the_serial_one(spark):
+    rows = spark.range(200).select(F.col("id").alias("qid1"), (F.col("id") % 2).cast("int").alias("label"), (F.col("id") % 3).cast("int").alias("fold"))
+    candidates = [{"x": i} for i in range(5)]
+    plain = lambda trials: [{k: v for k, v in t.items() if k not in ("duration_s", "fold_seconds")} for t in trials]
+    serial, watched = search.cv_search(rows, candidates, Watched(), k=3), Watched()
+    side = search.cv_search(rows, candidates, watched, k=3, parallelism=3)
+    assert plain(side) == plain(serial) and watched.most == 3 and None not in watched.groups and len(watched.groups) > 5
+    assert all(len(t["fold_scores"]) == len(t["fold_seconds"]) == t["n_folds"] and min(t["fold_seconds"]) >= 0.3 for t in side)
+    assert {t["state"] for t in side} == {"COMPLETE", "PRUNED"}
+    with pytest.raises(RuntimeError, match="bad candidate"):
+        search.cv_search(rows, candidates, Watched(fail=1), k=3, parallelism=2)
+    table = spark.createDataFrame([tuple(t.values()) for t in side], search.TRIAL_SCHEMA)
+    profile = {r.trial_number: r for r in search.fold_profile(table).collect()}
+    for t in side:
+        assert profile[t["trial_number"]].mean_score == pytest.approx(t["value"])
+        assert profile[t["trial_number"]].std_score == pytest.approx(np.std(t["fold_scores"]))
+    assert min(r.rank for r in profile.values() if r.rank) == 1 and all((r.rank is None) == (r.state == "PRUNED") for r in profile.values())
+
+
+def test_repeated_pairs_do_not_leak(spark, pairs, tmp_path):
+    """Each pair on three rows, one of them with the other label and another text."""
+    rows = pairs.unionByName(pairs).unionByName(pairs.withColumns({"label": 1 - F.col("label"), "question1": F.lit("other")}))
+    seen = []
+
+    class Spy(models.CosineThreshold):
+        def fit(self, matrix):
+            seen.append({(r.qid1, r.qid2) for r in matrix.select("qid1", "qid2").collect()})
+            return self
+
+        def predict_proba(self, matrix):
+            seen.append({(r.qid1, r.qid2) for r in matrix.select("qid1", "qid2").collect()})
+            return super().predict_proba(matrix)
+
+    result = jobs.run_experiment(spark, rows, Spy(threshold=0.5), "run", f"{tmp_path}/split", f"{tmp_path}/results").first()
+    train, test = seen
+    assert not train & test and len(train | test) == 160 and len(test) == 32
+    ledger = spark.read.parquet(f"{tmp_path}/results/all_experiments").first()
+    assert ledger.test_size == 96 and 0 < result.accuracy < 1
+    wrong = spark.read.csv(f"{tmp_path}/results/run/errors", header=True, multiLine=True, quote='"', escape='"').count()
+    assert wrong == ledger.FP + ledger.FN
+    folds = []
+
+    class Folds(models.CosineThreshold):
+        def fit(self, matrix):
+            folds.append(({(r.qid1, r.qid2) for r in matrix.select("qid1", "qid2").collect()}))
+            return self
+
+        def predict_proba(self, matrix):
+            folds.append(({(r.qid1, r.qid2) for r in matrix.select("qid1", "qid2").collect()}))
+            return super().predict_proba(matrix)
+
+    jobs.tune(spark, rows, Folds(), "tuned", f"{tmp_path}/split", f"{tmp_path}", candidates=[{"threshold": 0.4}], k=2)
+    assert len(folds) == 4 and not folds[0] & folds[1] and not folds[2] & folds[3]
+    assert all(part <= train for part in folds)
+
+
+def test_a_split_of_other_pairs_or_labels_is_refused(spark, tmp_path):
+    make = lambda rows: spark.createDataFrame(rows, "qid1 long, qid2 long, label int")
+    splits.get_split(spark, f"{tmp_path}/s", make([(1, 2, 0), (1, 2, 0), (5, 6, 1)]))
+    for other in ([(3, 4, 0), (3, 4, 0), (5, 6, 1)], [(1, 2, 1), (1, 2, 0), (5, 6, 1)]):
+        with pytest.raises(ValueError):
+            splits.get_split(spark, f"{tmp_path}/s", make(other))
 
 
 def test_registered_topic_queries_take_more_than_the_commonest_terms(spark, tmp_path):
@@ -130,8 +302,8 @@ def test_registered_topic_queries_take_more_than_the_commonest_terms(spark, tmp_
             rows.append((c, turn, role, " ".join(words * (1 if c >= 230 else 3))))
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     lsi, lda = model_checks.lsi(spark, str(tmp_path)), model_checks.lda(spark, str(tmp_path))
-    assert lsi.terms.size == len(lsi.index) == 2600
-    assert len(lda.pipeline.stages[0].vocabulary) == 2600
+    assert lsi.terms.size == lsi.loadings.count() == 2600
+    assert lda.topics.count() == 2600
     texts = dictionary.distinct_texts(model_checks.corpus(spark, str(tmp_path)))
     assert lsi.terms.vectorize(texts).count() == texts.count() == 260
 
