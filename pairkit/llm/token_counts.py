@@ -17,7 +17,10 @@ empty table gives no rows. Columns of the input other than the id and the text a
 
 from __future__ import annotations
 
+import hashlib
 import os
+import sys
+import types
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +31,7 @@ from pairkit.session import materialize
 MARGIN = 64
 BATCH_CHARS = 1 << 18
 WIDEN = 8
+PIECES = 8
 
 
 def load(tokenizer_json: str):
@@ -37,6 +41,14 @@ def load(tokenizer_json: str):
     return Tokenizer.from_str(tokenizer_json)
 
 
+def loaded(sent, name: str):
+    """The tokenizer as the worker process has it already, by the name of its content, which is broadcast."""
+    kept = sys.modules.setdefault("_tokenizers", types.ModuleType("_tokenizers")).__dict__
+    if name not in kept:
+        kept[name] = load(sent.value)
+    return kept[name]
+
+
 def batches_of(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
     """The texts in runs of about `chars` characters, as an encoding takes far more memory than its text."""
     part, size = [], 0
@@ -79,13 +91,13 @@ SEAMS = ("id bigint, text_hash bigint, n_bytes bigint, n_chunks int, i int, toke
          "tail_at array<bigint>, tail_before array<bigint>, head_at array<bigint>, head_before array<bigint>")
 
 
-def encode_or_cut(rows: DataFrame, tokenizer_json: str, chunk: int, overlap: int) -> DataFrame:
+def encode_or_cut(rows: DataFrame, sent, name: str, chunk: int, overlap: int) -> DataFrame:
     """Short texts with their counts, long ones as chunks."""
     names = [f.split()[0] for f in FIRST.split(", ")]
     schema = pa.schema([(n, pa.string() if n == "piece" else pa.int32() if n in ("i", "n_chunks") else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(tokenizer_json)
+        tokenizer = loaded(sent, name)
         for batch in batches:
             ids, hashes, sizes, texts = (batch.column(i).to_pylist() for i in range(4))
             short = [k for k, t in enumerate(texts) if len(t) <= chunk]
@@ -104,27 +116,33 @@ def encode_or_cut(rows: DataFrame, tokenizer_json: str, chunk: int, overlap: int
     return rows.mapInArrow(run, FIRST)
 
 
-def encode_chunks(chunks: DataFrame, tokenizer_json: str, overlap: int, margin: int) -> DataFrame:
+def encode_chunks(chunks: DataFrame, sent, name: str, overlap: int, margin: int) -> DataFrame:
     """Tokens of each chunk and its boundaries in the zones it shares with its neighbours."""
     schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("n_bytes", pa.int64()), ("n_chunks", pa.int32()),
                         ("i", pa.int32()), ("tokens", pa.int64()), *[(n, pa.list_(pa.int64())) for n in (
                             "tail_at", "tail_before", "head_at", "head_before")]])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(tokenizer_json)
+    def encoded(tokenizer, batches):
+        """Rows and the encodings of their pieces, some pieces at a time."""
         for batch in batches:
-            for row in (r for k in range(batch.num_rows) for r in batch.slice(k, 1).to_pylist()):
-                piece, start = row["piece"], row["start"]
-                encoding = tokenizer.encode(piece, add_special_tokens=False)
-                end = start + len(piece)
-                head, tail = ([], []), ([], [])
-                if row["i"] > 0:
-                    head = boundaries(encoding, start, start, start + overlap - margin)
-                if row["i"] < row["n_chunks"] - 1:
-                    tail = boundaries(encoding, start, end - overlap, end - margin)
-                yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("id", "text_hash", "n_bytes", "n_chunks", "i")} | {
-                    "tokens": len(encoding), "tail_at": tail[0], "tail_before": tail[1],
-                    "head_at": head[0], "head_before": head[1]}], schema)
+            for lo in range(0, batch.num_rows, PIECES):
+                rows = batch.slice(lo, PIECES).to_pylist()
+                found = (e for part in batches_of([r["piece"] for r in rows]) for e in tokenizer.encode_batch(part, add_special_tokens=False))
+                yield from zip(rows, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = loaded(sent, name)
+        for row, encoding in encoded(tokenizer, batches):
+            piece, start = row["piece"], row["start"]
+            end = start + len(piece)
+            head, tail = ([], []), ([], [])
+            if row["i"] > 0:
+                head = boundaries(encoding, start, start, start + overlap - margin)
+            if row["i"] < row["n_chunks"] - 1:
+                tail = boundaries(encoding, start, end - overlap, end - margin)
+            yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("id", "text_hash", "n_bytes", "n_chunks", "i")} | {
+                "tokens": len(encoding), "tail_at": tail[0], "tail_before": tail[1],
+                "head_at": head[0], "head_before": head[1]}], schema)
 
     return chunks.mapInArrow(run, SEAMS)
 
@@ -168,12 +186,13 @@ def count_tokens(docs: DataFrame, tokenizer_json: str, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"),
                        F.octet_length(text).cast("bigint").alias("n_bytes"), text.alias("text"))
+    sent, name = docs.sparkSession.sparkContext.broadcast(tokenizer_json), hashlib.sha256(tokenizer_json.encode()).hexdigest()
     results, todo = [], rows
     while True:
-        first = materialize(encode_or_cut(todo, tokenizer_json, chunk, overlap), "token-chunks")
+        first = materialize(encode_or_cut(todo, sent, name, chunk, overlap), "token-chunks")
         results.append(first.filter("i IS NULL").select("id", "n_bytes", "n_tokens"))
         long = first.filter("i IS NOT NULL").repartition("id", "text_hash", "i")
-        spliced = materialize(splice(encode_chunks(long, tokenizer_json, overlap, margin)), "token-splices")
+        spliced = materialize(splice(encode_chunks(long, sent, name, overlap, margin)), "token-splices")
         results.append(spliced.filter("aligned").select(
             "id", "n_bytes", "n_tokens", F.explode(F.expr("sequence(1L, copies)")).alias("copy")).drop("copy"))
         failed = spliced.filter("NOT aligned").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash"))
