@@ -3,7 +3,7 @@ are what the checks can pin down."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from checks.core import DP, SCORED, TP, VP, VV, add, r6, rounded, split_ctes, with_, word_tokens
 from checks.term_checks import term_ctes
@@ -164,17 +164,24 @@ add("k7_fit_diagnostics", diagnostics, "SELECT true AS share_fits, true AS perpl
 
 
 # ---- classifiers -------------------------------------------------------------
-def evaluated(model, source=full, keys=samples.vector_pairs):
-    """Held-out probabilities of a model trained on the training split."""
+SCORES = "proba BETWEEN 0.0 AND 1.0 AS scored"
+# Vector pairs whose documents there are, with their split.
+FULL_SPLIT = ",\n".join([VP, """fp AS (SELECT * FROM vp WHERE qid1 IN (SELECT doc_id FROM documents) AND qid2 IN (SELECT doc_id FROM documents))""",
+                         split_ctes("fp")])
+SCORED_TEST = "WITH " + FULL_SPLIT + " SELECT qid1, qid2, label, true AS scored FROM sp WHERE split = 'test'"
+
+
+def evaluated(model, source=full):
+    """Held-out pairs and whether each has a probability, from a model trained on the training split."""
     def query(spark, sf_dir):
-        pairs = source(spark, sf_dir)
-        split = splits.stratified_split(keys(spark, sf_dir)).drop("label")
+        pairs = materialize(source(spark, sf_dir), "pairs")
+        split = materialize(splits.stratified_split(pairs.select("qid1", "qid2", "label")).drop("label"), "split")
         made = model()
         train = pairs.join(split.filter("split = 'train'"), ["qid1", "qid2"], "left_semi")
         matrix = materialize(made.build_features(pairs, train if made.needs_training_corpus else None)
                              .join(split, ["qid1", "qid2"]), "matrix")
         fitted = made.fit(matrix.filter("split = 'train'"))
-        return rounded(fitted.predict_proba(matrix.filter("split = 'test'")))
+        return fitted.predict_proba(matrix.filter("split = 'test'")).selectExpr("qid1", "qid2", "label", SCORES)
 
     return query
 
@@ -188,15 +195,36 @@ def embedded_turns(spark, sf_dir):
 
 SMALL_A = dict(models.SMALL)
 SMALL_B = {"iterations": 10, "depth": 4}
-add("n2_logistic_regression", evaluated(lambda: models.logistic_regression(DIM, max_iter=50)))
-add("n3_boosted_trees_a", evaluated(lambda: models.boosted_trees_a(DIM, DIMS, **SMALL_A)))
-add("n4_boosted_trees_b", evaluated(lambda: models.boosted_trees_b(DIM, DIMS, **SMALL_B)))
+add("n2_logistic_regression", evaluated(lambda: models.logistic_regression(DIM, max_iter=50)), SCORED_TEST)
+add("n3_boosted_trees_a", evaluated(lambda: models.boosted_trees_a(DIM, DIMS, **SMALL_A)), SCORED_TEST)
+add("n4_boosted_trees_b", evaluated(lambda: models.boosted_trees_b(DIM, DIMS, **SMALL_B)), SCORED_TEST)
 add("n5_boosted_trees_classical", evaluated(
-    lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, **SMALL_A),
-    embedded_turns, samples.turn_pairs))
-add("n6_random_forest", evaluated(lambda: models.random_forest(DIM, DIMS, **SMALL_A)))
-add("n7_random_forest_topk", evaluated(lambda: models.TopKForest(models.random_forest(DIM, DIMS, **SMALL_A), k=10)))
-add("n8_siamese", evaluated(lambda: models.Siamese(hidden=8, max_iter=20)))
+    lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, **SMALL_A), embedded_turns),
+    with_(TP, split_ctes("tp"), select="SELECT qid1, qid2, label, true AS scored FROM sp WHERE split = 'test'"))
+add("n6_random_forest", evaluated(lambda: models.random_forest(DIM, DIMS, **SMALL_A)), SCORED_TEST)
+add("n7_random_forest_topk", evaluated(lambda: models.TopKForest(models.random_forest(DIM, DIMS, **SMALL_A), k=10)), SCORED_TEST)
+add("n8_siamese", evaluated(lambda: models.Siamese(hidden=8, max_iter=20)), SCORED_TEST)
+
+
+def stopped_early(spark, sf_dir):
+    """The full preset on the training split with a hold-out to stop on: each pair's part in it, and its score."""
+    pairs = materialize(full(spark, sf_dir), "pairs")
+    split = materialize(splits.stratified_split(pairs.select("qid1", "qid2", "label")).drop("label"), "split")
+    model = models.boosted_trees_a(DIM, DIMS, early_stopping=models.EarlyStopping())
+    matrix = materialize(model.build_features(pairs).join(split, ["qid1", "qid2"]), "matrix")
+    train = matrix.filter("split = 'train'")
+    fitted = model.fit(train)
+    held = model.early_stopping.mark(train).select("qid1", "qid2", "is_validation")
+    part = F.when(F.col("split") == "test", "test").when(F.col("is_validation"), "validation").otherwise("train")
+    parts = matrix.select("qid1", "qid2", "split").join(held, ["qid1", "qid2"], "left").select("qid1", "qid2", part.alias("part"))
+    stopped = F.lit(0 < fitted.n_trees < models.BOOSTED_A["n_estimators"])
+    return fitted.predict_proba(matrix).join(parts, ["qid1", "qid2"]).selectExpr("qid1", "qid2", "label", "part", SCORES).withColumn("stopped", stopped)
+
+
+add("n3_early_stopping", stopped_early, "WITH " + FULL_SPLIT + """,
+tr AS (SELECT qid1, qid2, row_number() OVER (ORDER BY k, qid1, qid2) AS rn3, count(*) OVER () AS n3 FROM o WHERE rn > round(n * 0.2))
+SELECT sp.qid1, sp.qid2, label, CASE WHEN split = 'test' THEN 'test' WHEN rn3 <= greatest(floor(n3 * 0.05), 1) THEN 'validation' ELSE 'train' END AS part,
+true AS scored, true AS stopped FROM sp LEFT JOIN tr ON tr.qid1 = sp.qid1 AND tr.qid2 = sp.qid2""")
 
 
 def forest(spark, sf_dir):
@@ -209,7 +237,10 @@ def importances(spark, sf_dir):
     return forest(spark, sf_dir)[2].feature_importances()
 
 
-add("n9_feature_importances", importances)
+NAMED = ", ".join(f"'{n}'" for n in models.fx.prefix_all_features(DIM, DIMS).names)
+add("n9_feature_importances", lambda spark, sf_dir: importances(spark, sf_dir).select(
+    "feature", F.col("importance").between(0.0, 1.0).alias("fits"), F.round(F.sum("importance").over(Window.partitionBy()), 6).alias("whole")),
+    f"SELECT unnest([{NAMED}]) AS feature, true AS fits, CAST(1.0 AS DOUBLE) AS whole")
 add("e4_rank_importances", lambda spark, sf_dir: rounded(ranking.rank_importances(importances(spark, sf_dir))))
 
 
@@ -254,7 +285,7 @@ def stack_parts(spark, sf_dir):
 
 def stacked(spark, sf_dir):
     made, matrices = stack_parts(spark, sf_dir)
-    return rounded(made.fit(matrices).predict_proba(matrices))
+    return made.fit(matrices).predict_proba(matrices).selectExpr("qid1", "qid2", "label", SCORES)
 
 
 def oof_coverage(spark, sf_dir):
@@ -268,22 +299,23 @@ def oof_coverage(spark, sf_dir):
 
 def stack_report(spark, sf_dir):
     made, matrices = stack_parts(spark, sf_dir)
-    return rounded(made.fit(matrices).report(made.members))
+    return made.fit(matrices).report(made.members).select("position", "member", F.col("coefficient").isNotNull().alias("fitted"))
 
 
-add("o3_stacking", stacked)
+add("o3_stacking", stacked, with_(VP, select="SELECT qid1, qid2, label, true AS scored FROM vp"))
 add("o4_out_of_fold", oof_coverage,
     with_(VP, split_ctes("vp"), select="SELECT qid1, qid2, label, fold, CAST(1 AS INTEGER) AS complete FROM sp"))
-add("o5_ensemble_report", stack_report)
+add("o5_ensemble_report", stack_report, """SELECT CAST(p AS INTEGER) AS position, m AS member, true AS fitted
+FROM (VALUES (0, 'CosineThreshold'), (1, 'Siamese')) v(p, m)""")
 
 
 def preset_scores(spark, sf_dir):
     made = ensemble.preset("trees_mean", DIM, DIMS, small=True)
     matrices = made.build_features(full(spark, sf_dir))
-    return rounded(made.fit(matrices).predict_proba(matrices))
+    return made.fit(matrices).predict_proba(matrices).selectExpr("qid1", "qid2", "label", SCORES)
 
 
-add("o6_preset_trees_mean", preset_scores)
+add("o6_preset_trees_mean", preset_scores, "WITH " + FULL_SPLIT + " SELECT qid1, qid2, label, true AS scored FROM fp")
 
 # ---- search ------------------------------------------------------------------
 CANDIDATES = [{"C": 0.01}, {"C": 1.0}, {"C": 100.0}]
@@ -298,21 +330,35 @@ def vector_logistic():
                             param_space=models.LINEAR_SPACE)
 
 
-def searched(spark, sf_dir, prune, candidates=None, n=3):
+def searched(spark, sf_dir, prune, candidates=None, n=3, parallelism=3):
     folder = scratch_path(spark, "study")
     jobs.tune(spark, joined(spark, sf_dir), vector_logistic(), "run", f"{folder}/split", folder, n_trials=n, k=3,
-              candidates=candidates, prune=prune)
+              candidates=candidates, prune=prune, parallelism=parallelism)
     return folder
 
 
-def study_rows(spark, folder):
+def study_rows(spark, folder, *extra):
+    """Trials, with what each must have: a score and a time for every fold, all folds unless it was dropped."""
     found = spark.read.schema(search.TRIAL_SCHEMA).parquet(f"{folder}/run/study")
-    return rounded(found.select("trial_number", "value", "state", "n_folds", "params"))
+    folds = F.when(F.col("state") == "COMPLETE", F.col("n_folds") == 3).otherwise(F.col("n_folds") < 3)
+    mean = F.abs(F.aggregate("fold_scores", F.lit(0.0), lambda a, x: a + x) / F.size("fold_scores") - F.col("value")) < 1e-9
+    sound = (folds & mean & (F.size("fold_seconds") == F.col("n_folds")) & F.col("value").between(0.0, 1.0)
+             & F.forall("fold_seconds", lambda x: x > 0))
+    return found.select("trial_number", sound.alias("sound"), *extra)
+
+
+def drawn(spark, sf_dir):
+    """Sampled candidates lie in the space they are drawn from and differ."""
+    rows = study_rows(spark, searched(spark, sf_dir, False, n=2), "params")
+    value = F.get_json_object("params", "$.C").cast("double")
+    return rows.select("trial_number", "sound", value.between(0.001, 100.0).alias("in_space"))
 
 
-add("p1_sample_params", lambda spark, sf_dir: study_rows(spark, searched(spark, sf_dir, False, n=2)))
-add("p2_cv_search", lambda spark, sf_dir: study_rows(spark, searched(spark, sf_dir, False, CANDIDATES)))
-add("p3_early_elimination", lambda spark, sf_dir: study_rows(spark, searched(spark, sf_dir, True, CANDIDATES)))
+STUDY = """SELECT CAST(t AS INTEGER) AS trial_number, true AS sound, p AS params FROM (VALUES (0, '{"C":0.01}'), (1, '{"C":1.0}'), (2, '{"C":100.0}')) v(t, p)"""
+add("p1_sample_params", drawn, "SELECT CAST(i AS INTEGER) AS trial_number, true AS sound, true AS in_space FROM range(2) r(i)")
+add("p2_cv_search", lambda spark, sf_dir: study_rows(spark, searched(spark, sf_dir, False, CANDIDATES), "state", "params"),
+    STUDY.replace("p AS params", "'COMPLETE' AS state, p AS params"))
+add("p3_early_elimination", lambda spark, sf_dir: study_rows(spark, searched(spark, sf_dir, True, CANDIDATES), "params"), STUDY)
 
 
 def resumed(spark, sf_dir):
@@ -320,10 +366,10 @@ def resumed(spark, sf_dir):
     folder = searched(spark, sf_dir, False, CANDIDATES[:1])
     jobs.tune(spark, joined(spark, sf_dir), vector_logistic(), "run", f"{folder}/split", folder, k=3,
               candidates=CANDIDATES[:2], prune=False)
-    return study_rows(spark, folder)
+    return study_rows(spark, folder, "state", "params")
 
 
-add("p4_resumed_study", resumed)
+add("p4_resumed_study", resumed, STUDY.replace("p AS params", "'COMPLETE' AS state, p AS params") + " WHERE t < 2")
 
 
 def train_only(spark, sf_dir):

@@ -9,34 +9,75 @@ a frequent key are spread either by AQE, which splits skewed join partitions, or
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from pairkit.operators import dictionary
+from pairkit.session import materialize
+
+
+def frequent_candidates(keys: DataFrame, key: str, share: float) -> DataFrame:
+    """(key): a few keys among which are all that hold at least `share` of the rows, from one pass.
+
+    Each task keeps a summary of 4 / share counters: when there are more, all lose what the first one
+    too many has, so a key's count falls short by at most share / 4 of the task's rows. Sums over
+    the tasks fall short by at most share / 4 of all rows, which leaves at most 4 / (3 * share) keys.
+    """
+    room, kind = int(4 / share) + 1, dict(keys.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict = {}
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for found in batch.column(0).value_counts().to_pylist():
+                counters[found["values"]] = counters.get(found["values"], 0) + found["counts"]
+            if len(counters) > room:
+                least = sorted(counters.values())[-room - 1]
+                counters = {k: n - least for k, n in counters.items() if n > least}
+        names, counts = [None, *counters], [rows, *counters.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, batch_type), pa.array(counts, pa.int64())], [key, "n"])
+
+    batch_type = to_arrow_type(keys.schema[key].dataType)
+    summary = keys.select(key).filter(F.col(key).isNotNull()).mapInArrow(run, f"`{key}` {kind}, n bigint")
+    merged = materialize(summary.groupBy(key).agg(F.sum("n").alias("n")), "frequent")
+    rows = merged.filter(F.col(key).isNull()).agg(F.sum("n")).first()[0] or 0
+    return merged.filter(F.col(key).isNotNull() & (F.col("n") >= 0.75 * share * rows)).select(key)
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> DataFrame:
-    """Keys that hold at least `share` of all rows: never more than 1/share of them."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    cut = df.agg(F.count(F.lit(1)) * F.lit(share)).scalar()
-    return counts.filter(F.col("__n") >= cut).select(key)
+    """Keys that hold at least `share` of all rows that have one: never more than 1/share of them.
+
+    A summary gives a few candidates, whose rows are then counted exactly. `df` is read twice, so
+    give a written table.
+    """
+    few = materialize(frequent_candidates(df, key, share), "candidates")
+    # at most 4 / (3 * share) candidates
+    counts = df.select(key).join(F.broadcast(few), key).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    cut = df.filter(F.col(key).isNotNull()).count() * share
+    return materialize(counts.filter(F.col("__n") >= cut).select(key), "hot-keys")
 
 
 def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
-           hot_share: float | None = None, salts: int = 32) -> DataFrame:
+           hot_share: float | None = None, salts: int = 32, hot: DataFrame | None = None) -> DataFrame:
     """Join `left` to a table with one row per key.
 
     With `hot_share`, rows of keys above that share are spread over `salts`
     partitions and only the matching lookup rows are repeated; all other rows join
-    as usual. NULL keys match nothing.
+    as usual. NULL keys match nothing. `hot` gives such keys where they are known, a table of
+    few rows with a column of the key's name.
     """
-    if hot_share is None:
+    if hot_share is None and hot is None:
         return left.join(right, key, how)
+    if hot is None:
+        hot = hot_keys(materialize(left.select(key), "keys"), key, hot_share)
     # At most 1/hot_share rows, hence safe to broadcast.
-    hot = F.broadcast(hot_keys(left.filter(F.col(key).isNotNull()), key, hot_share)
-                      .withColumn("__hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    hot = F.broadcast(hot.select(key, F.lit(True).alias("__hot")))
+    narrow = [c for c, kind in left.dtypes if not kind.startswith(("array", "map", "struct"))]
+    spread = F.pmod(F.xxhash64(*narrow), F.lit(salts)).cast("int")
     salted = (left.join(hot, key, "left")
               .withColumn("__salt", F.when(F.col("__hot"), spread).otherwise(F.lit(0))).drop("__hot"))
     copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
@@ -44,6 +85,15 @@ def lookup(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return salted.join(repeated, [key, "__salt"], how).drop("__salt")
 
 
+def _lookup_both(pairs: DataFrame, table: DataFrame, key: str, hot_share: float | None) -> DataFrame:
+    """Pairs joined to both sides' rows; hot keys of both sides come from one narrow, written table of keys."""
+    keys = materialize(pairs.select(f"{key}1", f"{key}2"), "pair-keys") if hot_share is not None else None
+    for i in (1, 2):
+        hot = None if keys is None else hot_keys(keys.select(f"{key}{i}"), f"{key}{i}", hot_share)
+        pairs = lookup(pairs, _side(table, key, i), f"{key}{i}", hot=hot)
+    return pairs
+
+
 def _side(vectors: DataFrame, key: str, side: int) -> DataFrame:
     cols = [F.col(key).alias(f"{key}{side}"), F.col("embedding").alias(f"emb{side}")]
     if "norm" in vectors.columns:
@@ -53,8 +103,7 @@ def _side(vectors: DataFrame, key: str, side: int) -> DataFrame:
 
 def attach_vectors(pairs: DataFrame, vectors: DataFrame, hot_share: float | None = None) -> DataFrame:
     """Both vectors (and norms) of every pair by qid; pairs lacking one are dropped."""
-    left = lookup(pairs, _side(vectors, "qid", 1), "qid1", hot_share=hot_share)
-    return lookup(left, _side(vectors, "qid", 2), "qid2", hot_share=hot_share)
+    return _lookup_both(pairs, vectors, "qid", hot_share)
 
 
 def missing_vectors(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -75,9 +124,7 @@ def attach_vectors_by_text(pairs: DataFrame, vectors: DataFrame,
     """
     keyed = vectors.withColumn("text_id", dictionary.text_key("text"))
     left = pairs.withColumns({f"text_id{i}": dictionary.text_key(f"question{i}") for i in (1, 2)})
-    left = lookup(left, _side(keyed, "text_id", 1), "text_id1", hot_share=hot_share)
-    left = lookup(left, _side(keyed, "text_id", 2), "text_id2", hot_share=hot_share)
-    return left.drop("text_id1", "text_id2")
+    return _lookup_both(left, keyed, "text_id", hot_share).drop("text_id1", "text_id2")
 
 
 def last_pair_scores(scores: DataFrame) -> DataFrame:

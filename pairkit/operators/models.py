@@ -13,14 +13,13 @@ from dataclasses import dataclass, field, replace
 from typing import Any, Protocol
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.classification import (GBTClassifier, LogisticRegression,
-                                       MultilayerPerceptronClassifier, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pairkit.functions import vectors as vx
-from pairkit.operators import dictionary, features as fx, ranking, sparse_pairs, splits, topics, weighting
+from pairkit.operators import dictionary, features as fx, networks, ranking, sparse_pairs, splits, topics, weighting
 from pairkit.session import materialize
 from pairkit.sources import stores
 
@@ -223,7 +222,9 @@ FOREST_SPACE = {
 # Own choices: search spaces of the network and of logistic regression.
 SIAMESE_SPACE = {
     "hidden": {"type": "int", "low": 16, "high": 512, "log": True},
-    "max_iter": {"type": "int", "low": 50, "high": 200},
+    "layers": {"type": "int", "low": 1, "high": 3},
+    "rate": {"type": "float", "low": 0.0001, "high": 0.05, "log": True},
+    "decay": {"type": "float", "low": 0.00001, "high": 0.01, "log": True},
 }
 LINEAR_SPACE = {"C": {"type": "float", "low": 0.001, "high": 100.0, "log": True}}
 
@@ -339,11 +340,16 @@ class CosineThreshold:
 class Siamese:
     """Shallow network over [u, v, |u-v|, u*v, scalars] of the two vectors.
 
-    The network takes no row weights, so the rarer class is repeated by its weight.
+    Rows weigh by their class, and a hold-out of the training pairs stops the rounds.
     """
 
     hidden: int = 64
+    layers: int = 1
     max_iter: int = 100
+    rate: float = 0.02
+    decay: float = 0.0
+    early_stopping: EarlyStopping | None = EarlyStopping()
+    patience: int = 10
     seed: int = 42
     name: str = "Siamese"
     threshold: float = SIAMESE_THRESHOLD
@@ -358,18 +364,12 @@ class Siamese:
         vector = vx.interaction_vector(scalars=scalars)
         return pairs.select(*KEY, "label", array_to_vector(vector).alias("features"))
 
-    def fit(self, matrix: DataFrame) -> Fitted:
-        weighted = splits.add_weights(matrix, "positive_weight", MAX_POSITIVE_WEIGHT)
-        whole = F.floor("weight")
-        chance = F.pmod(F.xxhash64(*KEY, F.lit(self.seed)), F.lit(1000)) / 1000.0
-        copies = (whole + (chance < F.col("weight") - whole).cast("int")).cast("int")
-        rows = weighted.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies))).drop("__copy")
-        width = matrix.select("features").first()["features"].size
-        network = MultilayerPerceptronClassifier(
-            labelCol="label", featuresCol="scaled", layers=[width, self.hidden, 2],
-            maxIter=self.max_iter, seed=self.seed)
-        scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True)
-        return Fitted(Pipeline(stages=[scaler, network]).fit(rows), self.feature_names)
+    def fit(self, matrix: DataFrame) -> networks.FittedNetwork:
+        rows = splits.add_weights(matrix, "positive_weight", MAX_POSITIVE_WEIGHT)
+        if self.early_stopping is not None:
+            marked = self.early_stopping.mark(rows)
+            rows = rows if marked.filter("NOT is_validation").isEmpty() else marked
+        return networks.fit_network(rows, [self.hidden] * self.layers, self.max_iter, self.rate, self.decay, self.patience, seed=self.seed)
 
     def with_params(self, params: Params) -> Siamese:
         return replace(self, **params)
@@ -378,8 +378,9 @@ class Siamese:
         return {"param_space": SIAMESE_SPACE, "scoring": "f1"}
 
     def get_config(self) -> dict[str, Any]:
-        return {"model_class": self.name, "hidden": self.hidden, "max_iter": self.max_iter,
-                "threshold": self.threshold}
+        return {"model_class": self.name, "hidden": self.hidden, "layers": self.layers, "max_iter": self.max_iter, "rate": self.rate,
+                "decay": self.decay, "patience": self.patience, "threshold": self.threshold,
+                "early_stopping": None if self.early_stopping is None else vars(self.early_stopping)}
 
 
 # Every model by the name it reports.

@@ -89,7 +89,7 @@ def run_experiment(spark: SparkSession, pairs: DataFrame, model, name: str, spli
     if getattr(fitted, "n_trees", None) is not None:
         config["n_trees"] = fitted.n_trees
     importances = None
-    if getattr(fitted, "names", ()) and hasattr(fitted.pipeline.stages[-1], "featureImportances"):
+    if hasattr(fitted, "pipeline") and hasattr(fitted.pipeline.stages[-1], "featureImportances"):
         importances = ranking.rank_importances(fitted.feature_importances())
     stores.write_run(spark, f"{results}/{name}", result, errors, config, importances)
     stores.append_ledger(evaluate.ledger_row(

@@ -8,6 +8,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pairkit.functions import text as tx
+from pairkit.sources import quoted_csv
 
 LABELLED = ("qid1", "qid2", "question1", "question2", "is_duplicate")
 LABELLED_NUMBERS = ("qid1", "qid2", "label")
@@ -17,10 +18,11 @@ PREFERRED_UNLABELLED = "test.csv"
 
 
 def scan_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """CSV as strings. Only files scanned with `multi_line=False` are split across
-    tasks; the default reads quoted line breaks, so give it many files."""
-    return spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line,
-                          inferSchema=False, ignoreLeadingWhiteSpace=False,
+    """CSV as strings, split across tasks. The default reads line breaks in quotes, at the cost of a first
+    pass that counts quotes; `multi_line=False` is for files without them."""
+    if multi_line:
+        return quoted_csv.scan(spark, path)
+    return spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False,
                           ignoreTrailingWhiteSpace=False, enforceSchema=False)
 
 
@@ -42,9 +44,9 @@ def find_csv(spark: SparkSession, folder: str, required: Iterable[str],
     names.sort(key=lambda n: (n != preferred, n))
     required = set(required)
     for name in names:
-        df = scan_csv(spark, f"{folder.rstrip('/')}/{name}", multi_line)
-        if required <= set(df.columns):
-            return df
+        path = f"{folder.rstrip('/')}/{name}"
+        if required <= set(quoted_csv.header(spark, path)):
+            return scan_csv(spark, path, multi_line)
     raise FileNotFoundError(f"no CSV with columns {sorted(required)} in {folder}")
 
 
@@ -57,10 +59,9 @@ def read_unlabelled_pairs(spark: SparkSession, folder: str, path: str | None = N
                           multi_line: bool = True) -> DataFrame:
     """Untyped unlabelled pairs; an explicit `path` wins over the folder search."""
     if path is not None:
-        df = scan_csv(spark, path, multi_line)
-        if not set(UNLABELLED) <= set(df.columns):
+        if not set(UNLABELLED) <= set(quoted_csv.header(spark, path)):
             raise FileNotFoundError(f"{path} lacks columns {sorted(UNLABELLED)}")
-        return df
+        return scan_csv(spark, path, multi_line)
     return find_csv(spark, folder, UNLABELLED, PREFERRED_UNLABELLED, multi_line)
 
 

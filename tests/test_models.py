@@ -9,7 +9,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from checks import model_checks
-from pairkit.operators import dictionary, enrich, ensemble, models, search, splits, topics, weighting
+from pairkit.operators import dictionary, enrich, ensemble, models, networks, search, splits, topics, weighting
 from pairkit.plans import jobs
 from pairkit.session import scratch_path
 from pairkit.sources import stores
@@ -204,6 +204,40 @@ def test_early_stopping_keeps_the_best_trees(pairs):
         dataclasses.replace(models.logistic_regression(DIM), early_stopping=stop).fit(matrix)
 
 
+def test_network_gradient_is_the_slope_of_its_loss():
+    rng = np.random.default_rng(2)
+    sizes = (5, 4, 3, 1)
+    flat, x, y, w = networks.initial(sizes, 1), rng.normal(size=(20, 5)), rng.integers(0, 2, 20).astype(float), rng.uniform(0, 3, 20)
+    loss, slope = networks.loss_and_gradient(flat, sizes, x, y, w)
+    for i in range(0, len(flat), 5):
+        near = flat.copy()
+        near[i] += 1e-6
+        assert (networks.loss_and_gradient(near, sizes, x, y, w)[0] - loss) / 1e-6 == pytest.approx(slope[i], abs=1e-3)
+    again = networks.loss_and_gradient(flat, sizes, np.repeat(x, 2, axis=0), np.repeat(y, 2), np.repeat(w, 2) / 2)
+    assert again[0] == pytest.approx(loss) and again[1] == pytest.approx(slope)
+
+
+def test_network_weights_count_as_repeated_rows(pairs, spark, tmp_path):
+    matrix = models.Siamese().build_features(pairs).withColumn("weight", F.when(F.col("label") == 1, 3.0).otherwise(1.0))
+    repeated = matrix.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("weight").cast("int")))).drop("copy", "weight")
+    one, two = (networks.fit_network(m, [4], rounds=5) for m in (matrix, repeated))
+    assert one.losses == pytest.approx(two.losses) and one.flat == pytest.approx(two.flat)
+    assert all(b < a for a, b in zip(one.losses, one.losses[1:]))
+    one.save(spark, f"{tmp_path}/network")
+    again = networks.FittedNetwork.load(spark, f"{tmp_path}/network")
+    assert sorted(again.predict_proba(matrix).collect()) == sorted(one.predict_proba(matrix).collect())
+    assert networks.fit_network(matrix.limit(0), [4]).losses == []
+
+
+def test_network_stops_on_its_hold_out(pairs):
+    noise = pairs.withColumn("label", (F.xxhash64("qid1") % 2 == 0).cast("int"))
+    model = models.Siamese(hidden=8, max_iter=60, patience=3, rate=0.1, early_stopping=models.EarlyStopping(share=0.3))
+    fitted = model.fit(model.build_features(noise))
+    assert len(fitted.held_losses) == len(fitted.losses) < 60
+    least = int(np.argmin(fitted.held_losses))
+    assert len(fitted.losses) - 1 - least <= 5
+
+
 def test_search_spaces_hold_only_what_spark_can_set():
     spec = models.boosted_trees_a(DIM).get_tuning_spec()
     assert spec["ignored"] == ["reg_alpha"] and "reg_alpha" not in spec["param_space"]

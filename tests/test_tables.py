@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pairkit.operators import dictionary, enrich, evaluate, joins, ranking, search, splits
 from pairkit.session import scratch_path
-from pairkit.sources import pairs as src, stores
+from pairkit.sources import pairs as src, quoted_csv, stores
 
 
 def test_csv_search_and_bad_rows(spark):
@@ -23,6 +23,65 @@ def test_csv_search_and_bad_rows(spark):
         src.read_unlabelled_pairs(spark, folder)
 
 
+@pytest.mark.parametrize("size", [300, 1000, 1 << 20])
+def test_quoted_csv_is_split_without_loss(spark, size):
+    """Line breaks, quotes and separators in quotes; ranges far shorter than some of the texts."""
+    rng = random.Random(size)
+    bits = ["plain", "a,b", 'said "so"', "two\nlines", "\n\n", '"', "é", "", None, "cr\r\nlf", "x" * 700 + "\n" + "y" * 700]
+    rows = [(str(i), *["".join(rng.choice(bits[:-2] + bits[-1:] * (rng.random() < .1)) or "" for _ in range(rng.randint(1, 3))) for _ in range(2)])
+            for i in range(400)]
+    raw = spark.createDataFrame(rows, "id string, one string, two string").repartition(3)
+    path = scratch_path(spark, "quoted")
+    stores.write_csv(raw, path)
+    plain = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, enforceSchema=False,
+                           ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        lines = quoted_csv._lines(spark, path)
+        blocks = lines.select("file", "block").distinct().count()
+        assert (len(quoted_csv._open_blocks(lines)) > 20) == (size == 300) and (blocks > 15) == (size < 2000)
+        split = quoted_csv.scan(spark, path)
+        assert split.columns == plain.columns
+        got = sorted(map(str, split.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(map(str, plain.collect())) and len(got) == 400
+
+
+def test_quoted_csv_of_no_rows_and_of_open_quotes(spark, tmp_path):
+    (tmp_path / "empty.csv").write_text("a,b\n")
+    assert quoted_csv.scan(spark, str(tmp_path / "empty.csv")).collect() == []
+    (tmp_path / "open.csv").write_bytes(b'a,b\r\n1,"x\r\ny"\r\n\r\n2,"never\nclosed')
+    assert sorted(tuple(r) for r in quoted_csv.scan(spark, str(tmp_path / "open.csv")).collect())[0] == ("1", "x\r\ny")
+
+
+def test_frequent_keys_are_found_in_one_pass(spark):
+    """Keys of 30, 10 and 5 % of the rows among many rare ones, spread over the tasks in order and at random."""
+    rng = random.Random(5)
+    keys = ["a"] * 3000 + ["b"] * 1000 + ["c"] * 500 + [f"k{i}" for i in range(5500)] + [None] * 4000
+    for shuffled in (False, True):
+        if shuffled:
+            rng.shuffle(keys)
+        df = spark.createDataFrame([(k,) for k in keys], "k string").repartition(5) if shuffled else spark.createDataFrame([(k,) for k in keys], "k string")
+        few = {r.k for r in joins.frequent_candidates(df, "k", 0.08).collect()}
+        assert {"a", "b"} <= few and len(few) <= 16
+        assert sorted(r.k for r in joins.hot_keys(df, "k", 0.08).collect()) == ["a", "b"]
+    assert joins.hot_keys(df.limit(0), "k", 0.1).count() == 0
+
+
+def test_salted_joins_read_their_input_a_few_times(spark, sf_dir):
+    from checks import vector_checks
+    from pairkit.plans import samples
+
+    links, vectors = samples.document_links(spark, sf_dir), samples.vectors(spark, sf_dir)
+    plan = joins.attach_vectors(links, vectors, hot_share=0.01)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 12
+    by_text = joins.attach_vectors_by_text(samples.document_pairs(spark, sf_dir), vector_checks.vectors_by_text(spark, sf_dir), hot_share=0.01)
+    assert by_text._jdf.queryExecution().optimizedPlan().toString().count("Relation [") <= 24
+
+
 def test_first_text_of_an_id_wins(spark):
     rows = [(2, 1, 2, "later", "x"), (1, 2, 1, "first of 2", "first of 1")]
     pairs = spark.createDataFrame(rows, "row_no bigint, qid1 bigint, qid2 bigint, question1 string, question2 string")
