@@ -141,6 +141,15 @@ def widened(m: np.ndarray, width: int) -> np.ndarray:
     return m if m.shape[1] >= width else np.pad(m, ((0, 0), (0, width - m.shape[1])))
 
 
+def distinct_rows(ids: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that repeat an id and a vector once; ids stay whole numbers of 64 bits."""
+    order = np.lexsort((*vectors.T[::-1], ids))
+    ids, vectors = ids[order], vectors[order]
+    first = np.ones(len(ids), bool)
+    first[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
+    return ids[first], vectors[first]
+
+
 def search_shards(vectors: DataFrame, queries: DataFrame, k: int, shards: int) -> DataFrame:
     """query_id, vec_id, score: the k best of each query in its shard that reach its floor.
 
@@ -149,7 +158,7 @@ def search_shards(vectors: DataFrame, queries: DataFrame, k: int, shards: int) -
     none = F.lit(None).cast("bigint")
     rows = vectors.select("shard", F.lit(0).alias("kind"), "id", "v", none.alias("floor_score"), none.alias("floor_id")).unionByName(
         queries.select("shard", F.lit(1).alias("kind"), "id", "v", "floor_score", "floor_id"))
-    rows = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    rows = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", "kind")  # one shard a task
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, parts, tree = None, [], None
@@ -168,12 +177,8 @@ def search_shards(vectors: DataFrame, queries: DataFrame, k: int, shards: int) -
                     if not parts:
                         continue
                     width = max(p[1].shape[1] for p in parts)
-                    both = np.concatenate([np.concatenate([p[0] for p in parts])[:, None].astype(float),
-                                           np.concatenate([widened(p[1], width) for p in parts])], axis=1)
-                    all_ids = np.concatenate([p[0] for p in parts])
-                    # rows that repeat an id and a vector count once
-                    _, first = np.unique(both, axis=0, return_index=True)
-                    tree, parts = BallTree(all_ids[first], both[first, 1:]), []
+                    tree, parts = BallTree(*distinct_rows(np.concatenate([p[0] for p in parts]),
+                                                          np.concatenate([widened(p[1], width) for p in parts]))), []
                 floors = [None if s is None else (s, i) for s, i in zip(part.column(4).to_pylist(), part.column(5).to_pylist())]
                 wide = tree.vectors.shape[1]
                 for at in range(0, len(ids), 1024):
