@@ -25,8 +25,10 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. The steps:
 
 Words are what stands between white space ([\\x20\\x09-\\x0D]), A-Z lower-cased. A text with fewer
 than `words` words is one shingle, a NULL text or one without words has the empty set and links
-with nothing. Rows without an id have no component. Rows that repeat an id each have the component
-of their own text. An empty table gives no rows. Shingles are compared by 64-bit hashes.
+with nothing. Rows without an id have no component. Classes are named by the first key of their
+set, so rows that repeat an id each have the component of their own text, and links between them
+count. An empty table gives no rows. The join reads id and text alone; the stage keeps columns of any
+name. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -138,28 +140,28 @@ def set_key(h: np.ndarray) -> tuple[int, int]:
 
 
 def sets_and_signatures(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """id, n, key1, key2, point, signatures; of rows of one task with equal sets, one has the last two. docs: id, text."""
+    """id, text_hash, n, key1, key2, point, signatures; of rows of one task with equal sets, one has the last two. docs: id, text_hash, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 rows = []
-                for id_, text in zip(part.column(0).to_pylist(), part.column(1)):
+                for id_, text_hash, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2)):
                     h = shingle_set(text.as_py(), words)
                     key, marks, point = (set_key(h) if len(h) else (None, None)), None, None
                     if len(h) and id_ is not None and key not in seen:
                         seen.add(key)
                         marks, point = signatures(h, percent).view(np.int64), packed(counts(h, bits_for(len(h))))
-                    rows.append((id_, len(h), *key, point, marks))
-                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.binary(), pa.list_(pa.int64())))]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "key1", "key2", "point", "signatures"])
+                    rows.append((id_, text_hash, len(h), *key, point, marks))
+                arrays = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(),) * 5 + (pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "text_hash", "n", "key1", "key2", "point", "signatures"])
 
-    return docs.mapInArrow(run, "id bigint, n bigint, key1 bigint, key2 bigint, point binary, signatures array<bigint>")
+    return docs.mapInArrow(run, "id bigint, text_hash bigint, n bigint, key1 bigint, key2 bigint, point binary, signatures array<bigint>")
 
 
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """neighbourhood, id, shingles (packed hashes) of docs (id, text, neighbourhood, key1, key2) whose text has the key."""
+    """neighbourhood, id (the class: its first key), shingles (packed hashes) of docs (text, neighbourhood, key1, key2) whose text has the keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -167,7 +169,7 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
                 for r in batch.slice(lo, 256).to_pylist():
                     h = shingle_set(r["text"], words)
                     if len(h) and set_key(h) == (r["key1"], r["key2"]):
-                        rows.append((r["neighbourhood"], r["id"], h.tobytes()))
+                        rows.append((r["neighbourhood"], r["key1"], h.tobytes()))
                 columns = list(zip(*rows)) or [[], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))],
                                                  ["neighbourhood", "id", "shingles"])
@@ -398,16 +400,17 @@ def links_of(sets: DataFrame, percent: int, block: int) -> DataFrame:
 class JaccardJoin:
     """The join of `docs`.
 
-    `rows`: id, n, key1, key2 of every row. `classes`: key1, key2, representative (smallest id).
-    `links`: a, b, pairs of representatives that link, a spanning forest. `members()`: id, n,
-    component for every row, in no order.
+    `rows`: id, text_hash, n, key1, key2 of every row. `classes`: key1, key2, representative (smallest id).
+    `links`: a, b, first keys of classes that link, a spanning forest. `members()`: id, text_hash, n, component
+    and stays (whether it stands for its component) for every row, in no order.
     """
 
     def __init__(self, docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
                  block: int = 128):
         texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+        texts = texts.select("id", F.xxhash64("text").alias("text_hash"), "text")
         marked = materialize(sets_and_signatures(texts, words, percent), "join-signatures")
-        self.rows = materialize(marked.select("id", "n", "key1", "key2"), "join-sets")
+        self.rows = materialize(marked.select("id", "text_hash", "n", "key1", "key2"), "join-sets")
         self.classes = materialize(self.rows.filter("id IS NOT NULL AND n > 0").groupBy("key1", "key2").agg(
             F.min("id").alias("representative")), "join-classes")
         near = connected_components(self._passing(marked, percent))
@@ -417,7 +420,7 @@ class JaccardJoin:
         chosen = materialize(self.classes.join(near, "key1"), "join-chosen")
         # merged at every size: the candidates grow with the data, and a broadcast of few would only do for little data
         found = texts.join(chosen.withColumnRenamed("representative", "id").hint("merge"), "id")
-        sets = materialize(with_sets(found.select("id", "text", "neighbourhood", "key1", "key2"), words), "join-shingles")
+        sets = materialize(with_sets(found.select("text", "neighbourhood", "key1", "key2"), words), "join-shingles")
         self.links = links_of(sets, percent, block)
 
     def _passing(self, marked: DataFrame, percent: int) -> DataFrame:
@@ -436,11 +439,15 @@ class JaccardJoin:
         return materialize(neighbours(pairs.join(materialize(points, "join-points"), "key1"), percent), "join-neighbours")
 
     def members(self) -> DataFrame:
-        names = connected_components(self.links).withColumnRenamed("node", "representative")
-        named = materialize(self.classes.join(names, "representative", "left").select(
-            "key1", "key2", F.coalesce("component", "representative").alias("component")), "join-named-classes")
-        some = self.rows.filter("id IS NOT NULL AND n > 0").join(named, ["key1", "key2"]).select("id", "n", "component")
-        none = self.rows.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component"))
+        names = connected_components(self.links).withColumnRenamed("node", "key1")
+        named = materialize(self.classes.join(names, "key1", "left").select(
+            "key1", "key2", "representative", F.coalesce("component", "key1").alias("name")), "join-named-classes")
+        first = named.groupBy("name").agg(F.min(F.struct("representative", "key1", "key2")).alias("first"))
+        named = named.join(first, "name").select("key1", "key2", F.col("first.representative").alias("component"),
+                                                 (F.struct("key1", "key2") == F.struct("first.key1", "first.key2")).alias("leads"))
+        some = self.rows.filter("id IS NOT NULL AND n > 0").join(named, ["key1", "key2"]).select(
+            "id", "text_hash", "n", "component", (F.col("leads") & (F.col("id") == F.col("component"))).alias("stays"))
+        none = self.rows.filter("id IS NULL OR n = 0").select("id", "text_hash", "n", F.col("id").alias("component"), F.lit(True).alias("stays"))
         return some.unionByName(none)
 
 
@@ -468,7 +475,9 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(reached) AS comp
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component at 5 words and 80 percent the smallest id stays; columns of docs.
 
-    Rows without an id stay, as they have no component.
+    Rows without an id stay, as they have no component. A row goes by its id and text: another text of the
+    same id has its own component.
     """
-    dropped = JaccardJoin(docs).members().filter("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(materialize(dropped, "join-dropped"), "doc_id", "left_anti").select(*docs.columns)
+    gone = JaccardJoin(docs).members().filter("NOT stays").select(F.col("id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    same = (F.col("doc_id") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    return docs.join(materialize(gone, "join-dropped"), same, "left_anti").select(*docs.columns)

@@ -67,6 +67,15 @@ def test_topk_is_exact_with_ties(spark, shards):
     assert topk_search.top_k(df.limit(0), F.col("id") % 50 == 0).count() == 0
 
 
+def test_topk_tells_ids_beyond_2_to_the_53_apart(spark):
+    rows = [(2 ** 60 + i, [.5, .25] if i < 3 else [.25, .25]) for i in range(5)] + [(50, [.5, .5]), (2 ** 60 + 1, [.5, .25])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for least in (1, 100):
+        got = topk_search.top_k(df, F.col("id") == 50, least_rows=least)
+        assert [tuple(r) for r in got.select("rank", "vec_id", "score").orderBy("rank").collect()] == [
+            (r, i, s) for r, i, s, *_ in [(k + 1, 2 ** 60 + k, 128 * 128 + 64 * 128 if k < 3 else 64 * 128 * 2) for k in range(5)]]
+
+
 def test_ball_tree_opens_few_nodes_of_clustered_vectors():
     rng = np.random.default_rng(3)
     centers = rng.normal(0, 100, (20, 8))
@@ -330,6 +339,20 @@ def test_join_of_odd_rows(spark, odd):
     assert ngram_join.JaccardJoin(odd.limit(0)).members().count() == 0
 
 
+def test_one_id_on_two_texts(spark):
+    """Each text has its own component, and the stage drops a row by its id and text."""
+    rng = random.Random(6)
+    a, b = ([f"w{rng.randrange(500)}" for _ in range(60)] for _ in range(2))
+    near = [*a[:30], "other", *a[31:]]
+    rows = [(4, " ".join(a)), (5, " ".join(near)), (5, " ".join(b)), (6, " ".join([*b, "more"])), (7, " ".join(b[:20])), (7, " ".join(near)),
+            (8, " ".join(a)), (8, " ".join(near))]
+    docs = docs_of(spark, rows)
+    got = sorted((r.id, r.n, r.component) for r in ngram_join.JaccardJoin(docs, 5, 70).members().collect())
+    assert got == [(4, 56, 4), (5, 56, 4), (5, 56, 5), (6, 57, 5), (7, 16, 7), (7, 56, 4), (8, 56, 4), (8, 56, 4)]
+    kept = sorted((r.doc_id, r.text) for r in ngram_join.stage(spark, docs, "").collect())
+    assert kept == sorted([rows[0], rows[2], rows[4]])
+
+
 def test_words_over_part_borders(monkeypatch):
     text = b" ".join(b"word%d" % k for k in range(3000))
     whole = ngram_join.word_hashes(text)
@@ -429,12 +452,27 @@ def test_batches_against_one_index(spark, odd):
 
 
 def test_index_side_is_not_shuffled(spark, odd):
+    """The anti-join against a filled index is a sort-merge join, though the index is small enough to broadcast."""
     index = exact_dedup.fresh_index(spark)
     exact_dedup.deduplicate(odd, index).count()
     groups = spark.createDataFrame([(bytearray(hashlib.sha256(b"a").digest()),)], "digest binary")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    try:
-        plan = groups.join(index.table(), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    plan = index.fresh(groups)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_batches_of_one_table_decide_alike(spark, odd, batches):
+    rng = random.Random(3)
+    more = docs_of(spark, [(rng.choice([None, *range(100)]), rng.choice("abcdefgh")) for _ in range(300)])
+    rows = odd.unionByName(more)
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault("".join(c.lower() if c.isascii() else c for c in r.text or ""), []).append(r.doc_id)
+    want = sorted(str((i, max((x for x in ids if x is not None), default=None), len(ids), i == max((x for x in ids if x is not None), default=None)))
+                  for ids in groups.values() for i in ids)
+    index = exact_dedup.fresh_index(spark)
+    got = exact_dedup.deduplicate(rows, index, batches=batches).select("id", "keep_id", "group_size", "kept").collect()
+    assert sorted(str(tuple(r)) for r in got) == want
+    assert index.table().count() == len(groups)
+    parts = exact_dedup.falling_batches(rows.select(F.col("doc_id").alias("id")), batches)
+    assert sum(p.count() for p in parts) == rows.count()
