@@ -194,16 +194,17 @@ def embedded_turns(spark, sf_dir):
 
 
 SMALL_A = dict(models.SMALL)
-SMALL_B = {"iterations": 10, "depth": 4}
-add("n2_logistic_regression", evaluated(lambda: models.logistic_regression(DIM, max_iter=50)), SCORED_TEST)
+# Boosted presets that run as they are end when the loss on held-out training pairs rises.
+STOP = models.EarlyStopping()
+add("n2_logistic_regression", evaluated(lambda: models.logistic_regression(DIM)), SCORED_TEST)
 add("n3_boosted_trees_a", evaluated(lambda: models.boosted_trees_a(DIM, DIMS, **SMALL_A)), SCORED_TEST)
-add("n4_boosted_trees_b", evaluated(lambda: models.boosted_trees_b(DIM, DIMS, **SMALL_B)), SCORED_TEST)
+add("n4_boosted_trees_b", evaluated(lambda: models.boosted_trees_b(DIM, DIMS, STOP)), SCORED_TEST)
 add("n5_boosted_trees_classical", evaluated(
     lambda: models.boosted_trees_classical(DIM, DIMS, TOPICS, **SMALL_A), embedded_turns),
     with_(TP, split_ctes("tp"), select="SELECT qid1, qid2, label, true AS scored FROM sp WHERE split = 'test'"))
-add("n6_random_forest", evaluated(lambda: models.random_forest(DIM, DIMS, **SMALL_A)), SCORED_TEST)
-add("n7_random_forest_topk", evaluated(lambda: models.TopKForest(models.random_forest(DIM, DIMS, **SMALL_A), k=10)), SCORED_TEST)
-add("n8_siamese", evaluated(lambda: models.Siamese(hidden=8, max_iter=20)), SCORED_TEST)
+add("n6_random_forest", evaluated(lambda: models.random_forest(DIM, DIMS)), SCORED_TEST)
+add("n7_random_forest_topk", evaluated(lambda: models.TopKForest(models.random_forest(DIM, DIMS), k=10)), SCORED_TEST)
+add("n8_siamese", evaluated(lambda: models.Siamese()), SCORED_TEST)
 
 
 def stopped_early(spark, sf_dir):
