@@ -51,10 +51,12 @@ def test_extremes_of_cosine_and_hellinger(spark, rows):
 def test_feature_set_sizes(spark, rows):
     df = enrich.add_norm(spark.createDataFrame([(1, [1.0, 2.0])], "qid bigint, embedding array<float>"))
     assert df.first().norm == pytest.approx(5 ** 0.5)
-    assert len(features.EMBEDDING) == 12 and len(features.LEXICAL) == 10 and len(features.CLASSICAL) == 85
+    assert len(features.EMBEDDING) == 12 and len(features.LEXICAL) == 10 and len(features.CLASSICAL) == 79
     assert len(features.all_features(64).names) == 22
     assert len(features.prefix_all_features(2560).names) == 73
-    assert len(features.prefix_classical_features(2560).names) == 152
+    assert len(features.prefix_classical_features(2560).names) == 146
+    # matching blocks are added by those who want them
+    assert len((features.prefix_classical_features(2560) + features.matching_block_features()).names) == 152
 
 
 def test_pair_concat_names_follow_values(spark, rows):
