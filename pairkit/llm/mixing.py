@@ -11,7 +11,8 @@ A source's last slot is cut so that the words taken meet its target.
 Only one row per source, and one per source and shard, pass through the driver.
 
 Defined results: a NULL source is a source of its own and comes last; NULL or blank texts have
-size 0 and nothing is taken of them; rows may repeat; an empty table gives no rows.
+size 0 and nothing is taken of them; rows may repeat; an empty table gives no rows. Columns of any name
+stay, but names that begin with two underscores are the stage's own.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Scores are exact integers. Equal scores go to the smaller id; in a node whose ve
 equal only the k + 1 smallest ids can matter. Shorter vectors count as if filled up with zeros.
 Defined results: vectors that are NULL or hold NULL or non-finite components, and rows without
 an id, take no part; rows that repeat an id and a vector count once; a query with no other
-vector, and an empty table, give no rows.
+vector, and an empty table, give no rows. Ids are compared as 64-bit integers. Columns other than id
+and vector are ignored, whatever their names.
 """
 
 from __future__ import annotations

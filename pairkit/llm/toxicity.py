@@ -11,7 +11,7 @@ each word, which a bounded table of the worker remembers; whole texts are scored
 Bound of the sample: about `rows_per_class` rows of each label, chosen by a hash of the id.
 Defined results: a NULL, empty or wordless text gets the score of the bias alone; rows may
 repeat; labels that are NULL or name no document are left out, an id with several labels counts
-with each; with labels of one class only every score is that class (0 without any); an empty
+with each; a column `toxicity` of the input is replaced, others stay; with labels of one class only every score is that class (0 without any); an empty
 table gives no rows.
 """
 

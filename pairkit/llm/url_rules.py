@@ -6,7 +6,8 @@ fetch its candidate rules, and only these run their regular expression. Rules wi
 token are candidates of every URL. The rule table must fit in a worker's memory.
 
 Defined results: a NULL URL, or one without `://`, has an empty host and path, fits no site rule
-and is allowed unless a pattern matches the URL itself. Repeated URLs get equal results; an
+and is allowed unless a pattern matches the URL itself. Columns of the input named host, path, rule,
+verdict, pattern or n_candidates are replaced, others stay. Repeated URLs get equal results; an
 empty table gives no rows.
 """
 

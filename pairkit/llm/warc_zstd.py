@@ -8,13 +8,14 @@ Records with equal payloads (by SHA-1) of at least `least` bytes: the one with t
 a response, the others are revisit records that refer to it and carry no payload. Which it is
 comes from one row per digest, joined to the pages before they are written.
 
-Tasks write to a name of their own attempt and rename it when complete, so a task that is run
-again, or twice at once, leaves one whole file. Archives hold up to `archive_bytes` of payload
+Archives are named by the attempt of their task and renamed when complete; the table of files names
+those of the attempts that were committed. So a task that is run again, or twice at once, may cut its records
+elsewhere without harm: files of other attempts stay unnamed. Archives hold up to `archive_bytes` of payload
 and one more record; a task keeps only the archive it is writing in memory.
 
 Defined results: NULL payloads are empty; a page without an id or URL is archived with an empty
 one; rows that repeat an id and its payload are records of one type; an empty table gives no
-archives and no rows. A response whose payload does not have its digest raises an error.
+archives and no rows. Columns other than id, URL and payload are ignored, whatever their names. A response whose payload does not have its digest raises an error.
 """
 
 from __future__ import annotations
@@ -146,16 +147,15 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         system, root = filesystem(folder)
         system.create_dir(root, recursive=True)
         task = TaskContext.get()
-        stem = f"part-{task.partitionId():06d}"
-        done, records, size, seen = 0, [], 0, set()
+        stem = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}"
+        done, records, size = 0, [], 0
 
         def close():
             data, used = write_archive(records, level, dictionary_size, sample_bytes)
             name = f"{stem}-{done:05d}.warc.zst"
-            attempt = f"{root}/.{name}.{uuid.uuid4().hex}"
-            with system.open_output_stream(attempt, compression=None) as out:
+            with system.open_output_stream(f"{root}/.{name}", compression=None) as out:
                 out.write(data)
-            system.move(attempt, f"{root}/{name}")
+            system.move(f"{root}/.{name}", f"{root}/{name}")
             return pa.RecordBatch.from_pylist([{"file": f"{folder.rstrip('/')}/{name}", "records": len(records), "bytes": len(data), "dictionary_bytes": used}])
 
         for batch in batches:

@@ -383,6 +383,16 @@ def test_warc_of_odd_pages(spark, tmp_path):
     assert {r.record_type for r in least if r.page_id in (1, 2, 3, 4)} == {"response"}
 
 
+def test_archives_of_another_attempt_are_not_read(spark, tmp_path):
+    """A second run into the same folder, with other cuts, overwrites nothing and mixes with nothing."""
+    df = spark.createDataFrame([(i, f"http://h/{i}", f"page {i} " * 50) for i in range(60)], "page_id long, url string, html string").repartition(2)
+    first = warc_zstd.write_warc(df, str(tmp_path / "w"), archive_bytes=3000)
+    second = warc_zstd.write_warc(df, str(tmp_path / "w"), archive_bytes=1000)
+    assert {r.file for r in first.collect()}.isdisjoint({r.file for r in second.collect()})
+    for files in (first, second):
+        assert sorted(r.page_id for r in warc_zstd.read_warc(files).collect()) == list(range(60))
+
+
 def test_archives_hold_their_dictionary():
     records = [warc_zstd.record_bytes(k, f"http://h/{k}", b"<html>common words of a page %d</html>" % k * 5, None) for k in range(500)]
     data, used = warc_zstd.write_archive(records, 3, 4096, 1 << 20)
