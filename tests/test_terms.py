@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from pairkit.operators import dictionary, sparse_pairs, weighting
+from pairkit.plans import samples
 
 PAIRS = [(1, 2, "the cat sat on the mat", "the cat sat"), (3, 4, "dogs and cats", "cats and dogs!"),
          (5, 6, "", "zebra"), (7, 8, "unique words only here", "nothing shared anywhere"),
@@ -86,3 +87,61 @@ def test_hot_text_is_counted_once_per_repeat(spark):
     model = weighting.fit_tfidf(spark.createDataFrame(rows, "text string"))
     found = {r.term: (r.tf, r.df) for r in model.vocabulary.collect()}
     assert found["same"] == (500, 500) and found["other"] == (50, 50) and model.n_docs == 550
+
+
+@pytest.mark.parametrize("head", [3, 6])
+def test_rare_terms_that_tasks_do_not_hold_are_joined(spark, pairs, monkeypatch, head):
+    """The vocabulary is larger than what tasks hold: the same vectors, features and top terms."""
+    unseen = spark.createDataFrame([(20, 21, "quite unseen cat", "unseen too"), (22, 23, None, "the cat")], pairs.schema)
+    asked = pairs.unionByName(unseen)
+    corpus = dictionary.corpus(pairs)
+    texts = dictionary.distinct_texts(dictionary.corpus(asked))
+
+    def found():
+        words, chars = weighting.fit_tfidf(corpus), weighting.fit_char(corpus, ngram_range=(1, 3))
+        out = [{r.text_id: [(t.term, round(t.idf, 9), round(t.w, 9)) for t in r.terms] for r in m.vectorize(texts, known).collect()}
+               for m in (words, chars) for known in (True, False)]
+        for made in (sparse_pairs.word_features(words), sparse_pairs.word_features(words, texts=texts), sparse_pairs.char_features(chars)):
+            out.append({r.qid1: [round(r[n], 9) for n in made.names] for r in made.apply(asked).collect()})
+        out.append({r.qid1: r.top_terms for r in sparse_pairs.top_terms(words, asked).collect()})
+        return out, words
+
+    whole, _ = found()
+    monkeypatch.setattr(weighting, "HEAD_TERMS", head)
+    parts, words = found()
+    assert words.size > head >= len(words.head()[0].value)
+    assert parts == whole
+
+
+def test_terms_of_pairs_shuffle_no_row_per_text_and_term(spark, pairs):
+    """Vectors and their features are made in the row: only the sums per term are dealt by term."""
+    texts = dictionary.distinct_texts(dictionary.corpus(pairs))
+    model = weighting.fit_char(texts, ngram_range=(1, 3))
+    for df in (model.vectorize(texts), sparse_pairs.char_features(model, texts).apply(pairs)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan.replace("Generate stack", "").replace("Generate inline", "") or "explode" not in plan
+
+
+def test_grams_made_in_tasks_are_those_of_the_expression(spark):
+    texts = ["Plain words here", "a bb  ccc", "", "  ", "x", "ÄÖ \U0001F600y z", "dotted.i İstanbul", None]
+    df = spark.createDataFrame([(str(i), t, 1) for i, t in enumerate(texts)], "text_id string, text string, n bigint")
+    for low, high in ((1, 8), (2, 3), (4, 6), (5, 5)):
+        tokenizer = weighting.char_tokenizer(low, high)
+        want = {r.text_id: dict(Counter(r.g or [])) for r in df.select("text_id", tokenizer("text").alias("g")).collect()}
+        got = {i: {} for i in want}
+        for r in weighting.term_counts(df, tokenizer).collect():
+            got[r.text_id][r.term] = r.tf
+        assert got == want, (low, high)
+
+
+def test_distinct_texts_of_links_counts_every_side(spark, tmp_path):
+    """Ids that come twice, null texts and copies count as in the pairs themselves."""
+    rows = [(1, "a b", "en", "s"), (2, "a b", "en", "s"), (2, "c", "en", "s"), (3, None, "en", "s"), (4, "c", "en", "s"), (5, "a b", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    d = str(tmp_path)
+    got = samples.distinct_texts_of(samples.document_links(spark, d), samples.documents(spark, d))
+    want = dictionary.distinct_texts(dictionary.corpus(samples.document_pairs(spark, d)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    keys = samples.document_pairs(spark, d).select("qid1", "qid2", dictionary.text_key("question1").alias("text_id1"),
+                                                   dictionary.text_key("question2").alias("text_id2"), "label")
+    assert sorted(map(str, samples.document_keys(spark, d).collect())) == sorted(map(str, keys.collect()))
