@@ -388,3 +388,12 @@ def test_models_by_name_take_only_their_own_parameters(spark):
     assert {models.by_name(n, DIM).name for n in models.MODELS} == set(models.MODELS)
     with pytest.raises(KeyError):
         models.by_name("none", DIM)
+
+
+def test_shares_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 60, 200)
+    loads, weights = rng.random((lengths.sum(), 5)) ** 3, rng.random(lengths.sum())
+    ends = np.cumsum(lengths)
+    want = [topics.best_shares(loads[e - n:e], weights[e - n:e], 1.1) for e, n in zip(ends, lengths)]
+    assert topics.shares_of_texts(loads, weights, lengths, 1.1) == pytest.approx(np.array(want), abs=1e-9)
