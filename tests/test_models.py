@@ -160,6 +160,38 @@ def test_topic_mixture_recovers_planted_topics_with_rising_likelihood(spark, pla
     assert model.log_perplexity(corpus) < np.log(37)
 
 
+def test_topics_are_the_same_where_tasks_hold_few_terms(planted, monkeypatch):
+    """Terms beyond those that tasks hold are joined to the texts round by round."""
+    texts, corpus = planted
+    texts = [t if i % 7 else f"{t} rare{i}" for i, t in enumerate(texts)]
+    corpus = corpus.sparkSession.createDataFrame([(t,) for t in texts + texts[:9] + [None, ""]], "text string")
+    distinct = dictionary.distinct_texts(corpus)
+
+    def found():
+        lsi, lda = topics.fit_lsi(corpus, 4, max_rounds=4), topics.fit_lda(corpus, 3, 2)
+        raw = {r.text_id: r.raw for r in lsi._raw(distinct).collect()}
+        shares = {r.text_id: r.lda for r in lda.transform(distinct).collect()}
+        mixed = {r.term: r.load for r in lda.topics.collect()}
+        vectors = np.array([raw[i] for i in sorted(raw)])
+        return (lsi.loadings.count(), lsi.singular_values, np.abs(vectors), [shares[i] for i in sorted(shares, key=str)],
+                [mixed[t] for t in sorted(mixed)], lda.log_likelihoods, lda.log_perplexity(corpus))
+
+    whole = found()
+    monkeypatch.setattr(weighting, "HEAD_TERMS", 20)
+    for a, b in zip(found(), whole):
+        assert np.array(a) == pytest.approx(np.array(b), abs=1e-7)
+
+
+def test_rounds_of_topics_move_no_text_with_its_terms(planted):
+    """The rows of the texts are read where they were written; only sums per term are shuffled."""
+    _, corpus = planted
+    model = topics.fit_lda(corpus, 3, 1)
+    head = topics.Head(model.terms, 3)
+    rows = topics._packed(head, dictionary.distinct_texts(corpus))
+    for plan in (topics._there(rows, topics._loads(head, model.topics, 3), True), topics._shares(rows, topics._loads(head, model.topics, 3), 1.1)):
+        assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_topic_models_of_an_empty_corpus(spark):
     empty = spark.createDataFrame([], "text string")
     lsi, lda = topics.fit_lsi(empty, 3), topics.fit_lda(empty, 3, 3)
