@@ -7,17 +7,33 @@ their target weights. Encoding turns the mix into SentencePiece ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from pairkit.llm import exact_dedup, language_id, mixing, ngram_join, piece_bpe
 from pairkit.session import materialize, tune
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+# Rows that Spark hands to a Python worker at a time. Whole texts are large, and what a worker has
+# once taken from the system stays with it over all stages.
+BATCH_ROWS = 512
+
+
+def bounded(stage: Stage) -> Stage:
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language_id.stage),
-    ("exact_dedup", exact_dedup.stage),
-    ("ngram_join", ngram_join.stage),
-    ("mixing", mixing.stage),
-    ("sentencepiece", piece_bpe.stage),
+    ("language_id", bounded(language_id.stage)),
+    ("exact_dedup", bounded(exact_dedup.stage)),
+    ("ngram_join", bounded(ngram_join.stage)),
+    ("mixing", bounded(mixing.stage)),
+    ("sentencepiece", bounded(piece_bpe.stage)),
 ]
 
 # The language models and the multinomial draws have no SQL; the tests compare stages with brute force.

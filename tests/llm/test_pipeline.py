@@ -1,6 +1,7 @@
 """The pipeline's stages on ordinary and odd rows."""
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from pairkit.llm import language_id, piece_bpe
@@ -55,3 +56,15 @@ def test_rejected_documents_go(spark, sf_dir):
                                      "source", "n_chars")
     got = language_id.stage(spark, docs.unionByName(noise), sf_dir)
     assert got.filter("doc_id >= 1000000").count() == 0 and got.count() == docs.count()
+
+
+def test_stages_hand_python_workers_few_rows_at_a_time(spark, sf_dir):
+    """Whole texts are large, and workers keep what they once took."""
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches)
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for _, stage in corpus_pipeline.STAGES[-1:]:
+        stage(spark, docs_of(spark, [(1, "some words")]), sf_dir)
+        assert max(r.n for r in spark.range(0, 3000, 1, 1).mapInArrow(sizes, "n bigint").collect()) <= 512
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
