@@ -429,3 +429,12 @@ def test_shares_of_many_texts_are_those_of_each():
     ends = np.cumsum(lengths)
     want = [topics.best_shares(loads[e - n:e], weights[e - n:e], 1.1) for e, n in zip(ends, lengths)]
     assert topics.shares_of_texts(loads, weights, lengths, 1.1) == pytest.approx(np.array(want), abs=1e-9)
+
+
+def test_forests_keep_the_node_of_each_row(pairs):
+    """Rows are not walked down every tree again in each pass, and the trees are the same."""
+    model = models.random_forest(DIM, (4,), **models.SMALL)
+    matrix = model.build_features(pairs)
+    kept = models._forest({"numTrees": 10, "maxDepth": 4}, 0)
+    assert kept.getCacheNodeIds() and kept.copy().setFeaturesCol("chosen").getCacheNodeIds()
+    assert kept.fit(matrix).toDebugString.split("\n", 1)[1] == kept.copy().setCacheNodeIds(False).fit(matrix).toDebugString.split("\n", 1)[1]
