@@ -131,3 +131,20 @@ def test_user_features(spark):
     own = features.from_columns({"longer": F.length("question1") > F.length("question2")})
     df = spark.createDataFrame([("abc", "a")], "question1 string, question2 string")
     assert (own + features.lexical_features).apply(df).first().longer == 1.0
+
+
+def test_ngram_ratios_make_no_sets_of_strings(spark):
+    """Runs are compared by numbers in a task; empty, null, short and repeated texts keep their values."""
+    texts = ["", "a", "a b a b a b a b", "b a b", "x y z é 日 w v", "A B  a\tb", None]
+    pairs = [(i, j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)] * 7
+    df = spark.createDataFrame(pairs, "qid1 int, qid2 int, question1 string, question2 string")
+    made = features.with_ngrams(features.with_tokens(df)).select("qid1", "qid2", "question1", "question2", *[
+        c.alias(n) for n, c in features.ngram_columns().items()])
+    assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+    rows = made.collect()
+    assert len(rows) == len(pairs)
+    for r in rows:
+        t1, t2 = (None if t is None else t.lower().split() for t in (r.question1, r.question2))
+        for n in range(1, 7):
+            a, b = ({tuple(t[i:i + n]) for i in range(len(t) - n + 1)} if t1 is not None and t2 is not None else set() for t in (t1 or [], t2 or []))
+            assert r[f"ngram_{n}_jaccard"] == (len(a & b) / len(a | b) if a | b else 0.0)
