@@ -11,6 +11,11 @@ again with overlaps (and, where needed, chunks) eight times as long, until one c
 Only pre-token boundaries serve: a boundary between two tokens of one word may move with its
 context. `margin` must exceed the longest added token and the pattern's look-ahead.
 
+Where the tokenizer puts a boundary before each single space between two visible characters, as the
+byte-level pattern does, texts are cut there. The library counts a worker's rarer pieces of a text in
+one go and those that come again one by one; the latter counts are remembered. A chunk whose zones have
+such a place each is then counted from one to the other, so that no zone is encoded twice.
+
 Defined results: a NULL text is empty and has no tokens; rows may repeat, each is counted; an
 empty table gives no rows. Columns of the input other than the id and the text are ignored.
 """
@@ -18,7 +23,9 @@ empty table gives no rows. Columns of the input other than the id and the text a
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import sys
 import types
 from collections.abc import Iterator
@@ -29,9 +36,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pairkit.session import materialize
 
 MARGIN = 64
-BATCH_CHARS = 1 << 18
+BATCH_CHARS = 1 << 16
 WIDEN = 8
 PIECES = 8
+# A single space between two visible characters; none of the classes has white space in any alphabet.
+WORD_START = re.compile("(?<=[!-~\u00a1-\u167f])(?= [!-~\u00a1-\u167f])")
+# Pieces that a worker remembers, and how long one may be.
+HELD_PIECES, PIECE_CHARS = 400_000, 32
 
 
 def load(tokenizer_json: str):
@@ -41,11 +52,57 @@ def load(tokenizer_json: str):
     return Tokenizer.from_str(tokenizer_json)
 
 
-def loaded(sent, name: str):
+def starts_words_at_spaces(tokenizer_json: str) -> bool:
+    """Whether the tokenizer has a pre-token boundary at every `WORD_START`, with nothing before it deciding what follows."""
+    parts = json.loads(tokenizer_json)
+    pre, model = parts.get("pre_tokenizer") or {}, parts["model"]
+    added = parts.get("added_tokens") or []
+    return (not any(parts.get(k) for k in ("normalizer", "truncation", "padding")) and pre.get("type") == "ByteLevel"
+            and pre.get("use_regex", True) and not pre.get("add_prefix_space") and model.get("type") == "BPE" and not model.get("dropout")
+            and not any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))
+            and not any(re.search(r"\s", t["content"]) for t in added))
+
+
+class Counter:
+    """Token counts of texts, with the counts of pieces that come again remembered."""
+
+    def __init__(self, tokenizer_json: str) -> None:
+        self.tokenizer, self.cuts = load(tokenizer_json), starts_words_at_spaces(tokenizer_json)
+        self.known: dict[str, int] = {}  # 0: met once
+
+    def encoded(self, texts: list[str]) -> Iterator[int]:
+        return (len(e) for part in batches_of(texts) for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False))
+
+    def __call__(self, texts: list[str]) -> list[int]:
+        return [n for part in batches_of(texts) for n in self._some(part)] if self.cuts else list(self.encoded(texts))
+
+    def _some(self, texts: list[str]) -> list[int]:
+        if len(self.known) >= HELD_PIECES:
+            # those that came again stay, unless they alone fill half of the place
+            kept = {p: n for p, n in self.known.items() if n}
+            self.known = kept if 2 * len(kept) < HELD_PIECES else {}
+        known, counts, rest, again = self.known, [], [], set()
+        for text in texts:
+            pieces = WORD_START.split(text)
+            found = list(map(known.get, pieces))
+            counts.append(sum(filter(None, found)))
+            left = [p for p, n in zip(pieces, found) if not n]
+            # boundaries stay where pieces meet, as each but a text's first begins with its space
+            rest.append("".join(left))
+            for p in left:
+                if p in known:
+                    again.add(p)
+                elif 0 < len(p) <= PIECE_CHARS:
+                    known[p] = 0
+        known.update(zip(again, self.encoded(list(again))))
+        return [n + m for n, m in zip(counts, self.encoded(rest))]
+
+
+def loaded(sent, name: str) -> Counter:
     """The tokenizer as the worker process has it already, by the name of its content, which is broadcast."""
     kept = sys.modules.setdefault("_tokenizers", types.ModuleType("_tokenizers")).__dict__
     if name not in kept:
-        kept[name] = load(sent.value)
+        kept[name] = Counter(sent.value)
     return kept[name]
 
 
@@ -86,6 +143,12 @@ def boundaries(encoding, start: int, low: int, high: int) -> tuple[list[int], li
     return at, before
 
 
+def word_start(piece: str, low: int, high: int) -> int | None:
+    """The first `WORD_START` at low < position < high; a chunk's neighbour, which has the same zone, finds the same."""
+    found = WORD_START.search(piece, low + 1, high + 1)
+    return found.start() if found else None
+
+
 FIRST = "id bigint, text_hash bigint, n_bytes bigint, n_tokens bigint, i int, n_chunks int, start bigint, piece string"
 SEAMS = ("id bigint, text_hash bigint, n_bytes bigint, n_chunks int, i int, tokens bigint, "
          "tail_at array<bigint>, tail_before array<bigint>, head_at array<bigint>, head_before array<bigint>")
@@ -97,12 +160,11 @@ def encode_or_cut(rows: DataFrame, sent, name: str, chunk: int, overlap: int) ->
     schema = pa.schema([(n, pa.string() if n == "piece" else pa.int32() if n in ("i", "n_chunks") else pa.int64()) for n in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = loaded(sent, name)
+        count = loaded(sent, name)
         for batch in batches:
             ids, hashes, sizes, texts = (batch.column(i).to_pylist() for i in range(4))
             short = [k for k, t in enumerate(texts) if len(t) <= chunk]
-            counts = [len(e) for part in batches_of([texts[k] for k in short])
-                      for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            counts = count([texts[k] for k in short])
             none = pa.nulls(len(short))
             pick = lambda x: [x[k] for k in short]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) if isinstance(x, list) else none.cast(f.type) for x, f in zip(
@@ -122,27 +184,37 @@ def encode_chunks(chunks: DataFrame, sent, name: str, overlap: int, margin: int)
                         ("i", pa.int32()), ("tokens", pa.int64()), *[(n, pa.list_(pa.int64())) for n in (
                             "tail_at", "tail_before", "head_at", "head_before")]])
 
-    def encoded(tokenizer, batches):
-        """Rows and the encodings of their pieces, some pieces at a time."""
-        for batch in batches:
-            for lo in range(0, batch.num_rows, PIECES):
-                rows = batch.slice(lo, PIECES).to_pylist()
-                found = (e for part in batches_of([r["piece"] for r in rows]) for e in tokenizer.encode_batch(part, add_special_tokens=False))
-                yield from zip(rows, found)
+    def encoded(count, rows):
+        """For each row its tokens and (at, before) of its head and of its tail."""
+        spans = []
+        for r in rows:
+            last, size = r["i"] == r["n_chunks"] - 1, len(r["piece"])
+            begin = word_start(r["piece"], 0, overlap - margin) if r["i"] > 0 else 0
+            end = size if last else word_start(r["piece"], size - overlap, size - margin)
+            spans.append((begin, end) if count.cuts and None not in (begin, end) and begin <= end else None)
+        counted = iter(count([r["piece"][slice(*s)] for r, s in zip(rows, spans) if s]))
+        whole = (e for part in batches_of([r["piece"] for r, s in zip(rows, spans) if not s])
+                 for e in count.tokenizer.encode_batch(part, add_special_tokens=False))
+        for row, span in zip(rows, spans):
+            piece, start = row["piece"], row["start"]
+            stop = start + len(piece)
+            first, last = row["i"] == 0, row["i"] == row["n_chunks"] - 1
+            if span:
+                n = next(counted)
+                yield row, n, ([], []) if first else ([start + span[0]], [0]), ([], []) if last else ([start + span[1]], [n])
+            else:
+                e = next(whole)
+                yield (row, len(e), ([], []) if first else boundaries(e, start, start, start + overlap - margin),
+                       ([], []) if last else boundaries(e, start, stop - overlap, stop - margin))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = loaded(sent, name)
-        for row, encoding in encoded(tokenizer, batches):
-            piece, start = row["piece"], row["start"]
-            end = start + len(piece)
-            head, tail = ([], []), ([], [])
-            if row["i"] > 0:
-                head = boundaries(encoding, start, start, start + overlap - margin)
-            if row["i"] < row["n_chunks"] - 1:
-                tail = boundaries(encoding, start, end - overlap, end - margin)
-            yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("id", "text_hash", "n_bytes", "n_chunks", "i")} | {
-                "tokens": len(encoding), "tail_at": tail[0], "tail_before": tail[1],
-                "head_at": head[0], "head_before": head[1]}], schema)
+        count = loaded(sent, name)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PIECES):
+                for row, tokens, head, tail in encoded(count, batch.slice(lo, PIECES).to_pylist()):
+                    yield pa.RecordBatch.from_pylist([{c: row[c] for c in ("id", "text_hash", "n_bytes", "n_chunks", "i")} | {
+                        "tokens": tokens, "tail_at": tail[0], "tail_before": tail[1],
+                        "head_at": head[0], "head_before": head[1]}], schema)
 
     return chunks.mapInArrow(run, SEAMS)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -115,6 +116,34 @@ def test_token_counts_of_no_rows(spark, byte_bpe):
     assert token_counts.count_tokens(docs_of(spark, [(1, "a")]).limit(0), byte_bpe).count() == 0
 
 
+def test_pieces_that_come_again_are_remembered(spark, byte_bpe, monkeypatch):
+    """Counts of pieces between single spaces add up to the library's, also when the memory overflows, and chunks meet at such a space."""
+    rng = random.Random(5)
+    bits = ["the", "dog's", "l'été", " ", "  ", "\n", "\t", " ", "　", "\x1c", "\x85", "日本", "😀", ",", "...", "'s", "12", "<|endoftext|>", "<|endo", "­", "x" * 40]
+    texts = ["", " ", " a", "a "] + ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.choice([1, 9, 400]))) for _ in range(120)]
+    count, tokenizer = token_counts.Counter(byte_bpe), token_counts.load(byte_bpe)
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert count.cuts and count(texts) == want and count(texts) == want and any(count.known.values())
+    monkeypatch.setattr(token_counts, "HELD_PIECES", 5)
+    assert token_counts.Counter(byte_bpe)(texts * 2) == want * 2
+    for other in ('"add_prefix_space":true', '"use_regex":false'):
+        assert not token_counts.starts_words_at_spaces(re.sub(r'"%s":\s*\w+' % other.split('"')[1], other, byte_bpe))
+    left, right = "ab cd " * 200, "cd " + "ab cd " * 200
+    assert token_counts.word_start(left, len(left) - 60, len(left) - 20) == len(left) - 60 + 2
+    assert token_counts.word_start("日" * 90 + " " + "日" * 90, 5, 80) is None and token_counts.word_start(right, 0, 40) == 2
+
+
+def test_chunks_meet_at_a_space(spark, byte_bpe):
+    """Documents cut into many chunks, with and without places between words in their zones."""
+    rng = random.Random(6)
+    words = ["the", " of", "日" * 50, " ", "\n", "don't", " a", " b", "é", "  x", "-----", "<|endoftext|>"]
+    rows = [(i, "".join(rng.choice(words[:k]) for _ in range(900))) for i, k in enumerate((2, 3, 6, 8, 12, 12, 12))] + [(50, " a" * 4000), (51, "日本 " * 3000), (52, "a  b" * 2000)]
+    tokenizer = token_counts.load(byte_bpe)
+    for chunk, overlap, margin in ((600, 200, 64), (300, 280, 64), (512, 128, 100)):
+        got = token_counts.count_tokens(docs_of(spark, rows), byte_bpe, chunk=chunk, overlap=overlap, margin=margin).collect()
+        assert sorted((r.id, r.n_tokens) for r in got) == [(i, len(tokenizer.encode(t, add_special_tokens=False).ids)) for i, t in rows]
+
+
 # ---- 3 toxicity ---------------------------------------------------------------
 def auc(scores, labels):
     order = np.argsort(np.argsort(scores))
