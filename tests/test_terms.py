@@ -146,3 +146,22 @@ def test_distinct_texts_of_links_counts_every_side(spark, tmp_path):
     keys = samples.document_pairs(spark, d).select("qid1", "qid2", dictionary.text_key("question1").alias("text_id1"),
                                                    dictionary.text_key("question2").alias("text_id2"), "label")
     assert sorted(map(str, samples.document_keys(spark, d).collect())) == sorted(map(str, keys.collect()))
+
+
+def test_distinct_texts_of_links_move_a_text_once(spark, tmp_path, monkeypatch):
+    """One shuffle carries texts; null texts are one text, records of no pair and of null id have none."""
+    rows = [(1, "x\na"), (2, "x\na"), (2, "x\nb"), (3, None), (4, None), (9, "alone"), (None, "x\nlost")]
+    texts = spark.createDataFrame(rows, "qid long, text string")
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "qid1 long, qid2 long")
+    plans = []
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return df
+
+    monkeypatch.setattr(samples, "materialize", written)
+    got = {r.text_id: (r.text, r.n) for r in samples.distinct_texts_of(links, texts).collect()}
+    both = [t for a, b in links.collect() for i, t in rows for j, u in rows if (i, j) == (a, b) for t in (t, u)]
+    assert sorted((t or "", n) for t, n in got.values()) == sorted((t or "", both.count(t)) for t in set(both))
+    # texts meet their counts in the grouping by key, not in a join before it
+    assert "Union" in plans[0]
