@@ -1,5 +1,7 @@
 import difflib
+import random
 import re
+import time
 
 import pytest
 from hypothesis import given, settings, strategies as st
@@ -127,6 +129,41 @@ def test_sequence_values_are_bounded(a, b):
     assert dict(zip(sequence.NAMES, sequence.pair_sequence_values(a, a)))["seq_char_ratio"] == 1.0
 
 
+def blocks_of_difflib(a, b, autojunk):
+    return sum(x.size for x in difflib.SequenceMatcher(None, a, b, autojunk).get_matching_blocks())
+
+
+@pytest.mark.parametrize("short", [1, 2, 8])
+def test_blocks_of_edited_moved_and_repeated_runs_are_those_of_difflib(monkeypatch, short):
+    """Few and many letters, below and above the length from which frequent ones start no run."""
+    monkeypatch.setattr(sequence, "SHORT", short)
+    rnd = random.Random(short)
+    for _ in range(200):
+        letters, size = rnd.choice([1, 2, 5, 30, 400]), rnd.choice([1, 30, 150, 250, 600])
+        draw = lambda n: [chr(0x1F600 + rnd.randrange(letters)) for _ in range(n)]
+        a = draw(rnd.randrange(size + 1))
+        b = list(a) if rnd.random() < 0.8 else draw(rnd.randrange(size + 1))
+        for _ in range(rnd.randrange(10)):
+            low = rnd.randrange(len(b) + 1)
+            run, to = b[low:low + rnd.randrange(40)], rnd.randrange(len(b) + 1)
+            if kind := rnd.randrange(3):
+                del b[low:low + len(run)]
+            b[to:to] = draw(rnd.randrange(5)) if kind == 2 else run
+        for x, y in ((a, b), ("".join(a), "".join(b))):
+            for autojunk in (True, False):
+                assert sequence._matched(x, y, autojunk) == blocks_of_difflib(x, y, autojunk), (x, y, autojunk)
+
+
+def test_long_texts_are_matched_without_all_pairs_of_equal_letters():
+    """60,000 letters of which none is frequent: 30 million pairs of equal letters, which no step may walk through."""
+    rnd = random.Random(5)
+    a, b = ("".join(chr(0x4E00 + rnd.randrange(115)) for _ in range(60_000)) for _ in range(2))
+    assert sequence._matched(a[:3000], b[:3000], True) == blocks_of_difflib(a[:3000], b[:3000], True)
+    began = time.process_time()
+    assert sequence._matched(a, b, True) == 554  # as difflib found
+    assert time.process_time() - began < 8
+
+
 def test_user_features(spark):
     own = features.from_columns({"longer": F.length("question1") > F.length("question2")})
     df = spark.createDataFrame([("abc", "a")], "question1 string, question2 string")
