@@ -2,8 +2,13 @@
 
 import random
 
+import pytest
+
 from pairkit.functions import vectors as vx
-from pairkit.operators import ensemble, models, splits
+from pairkit.operators import ensemble, joins, models, splits
+from pairkit.plans import jobs
+from pairkit.session import materialize, scratch_path
+from pairkit.sources import quoted_csv, stores
 
 DIM = 4
 
@@ -49,3 +54,50 @@ def test_fold_rows_meet_their_folds_once(spark):
     assert len(plans) == 3 and not any("Join" in p for p in plans)
     want = {(r.qid1, r.qid2): r.fold for r in folds.collect()}
     assert {(r.qid1, r.qid2): r.fold for r in oof.collect()} == want and len(want) == 60
+
+
+def written_by(monkeypatch, *modules):
+    """The tables that `materialize` writes, by name."""
+    found = {}
+
+    def keep(df, name):
+        found[name] = materialize(df, name)
+        return found[name]
+
+    for module in modules:
+        monkeypatch.setattr(module, "materialize", keep)
+    return found
+
+
+def test_csv_writes_only_records_that_pass_borders(spark, monkeypatch):
+    rows = [(str(i), "a\nb" * 8 if i % 40 else 'x "y"\n' * 300) for i in range(400)]
+    path = scratch_path(spark, "quoted")
+    stores.write_csv(spark.createDataFrame(rows, "id string, one string").coalesce(1), path)
+    tables = written_by(monkeypatch, quoted_csv)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 2000)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        got = sorted(tuple(r) for r in quoted_csv.scan(spark, path).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(rows) and list(tables) == ["csv-borders"]
+    assert tables["csv-borders"].filter(f"kind = {quoted_csv.WHOLE}").isEmpty()
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_load_keeps_texts_of_rows_with_vectors_only(spark, monkeypatch, few):
+    """Counts are of all rows, with few ids of vectors and with more than tasks are given."""
+    rows = [(str(i), str(i) if i % 5 else "n/a", str(i + 1), f"left {i}", f"right\n{i}", str(i % 2)) for i in range(40)]
+    folder = scratch_path(spark, "csv")
+    stores.write_csv(spark.createDataFrame(rows, "id string, qid1 string, qid2 string, question1 string, question2 string, is_duplicate string"),
+                     f"{folder}/questions.csv")
+    vectors = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(10)] + [(None, [0.0, 0.0])], "qid bigint, embedding array<float>")
+    tables = written_by(monkeypatch, jobs)
+    monkeypatch.setattr(joins, "FEW_IDS", few)
+    kept, counts = jobs.load_pairs(spark, folder, vectors)
+    want = [(i, f"left {i}", f"right\n{i}") for i in range(9) if i % 5]
+    assert sorted((r.qid1, r.question1, r.question2) for r in kept.collect()) == want
+    assert tuple(counts.first()) == (40, 8, 40 - 8 - len(want), len(want))
+    texts = [r.qid1 for r in tables["typed"].filter("question1 IS NOT NULL OR question2 IS NOT NULL").collect()]
+    assert sorted(texts) == [i for i in range(9 if few else 40) if i % 5]
