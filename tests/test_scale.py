@@ -5,7 +5,7 @@ import random
 import pytest
 
 from pairkit.functions import vectors as vx
-from pairkit.operators import ensemble, joins, models, splits
+from pairkit.operators import dictionary, ensemble, joins, models, splits, topics, weighting
 from pairkit.plans import jobs
 from pairkit.session import materialize, scratch_path
 from pairkit.sources import quoted_csv, stores
@@ -101,3 +101,32 @@ def test_load_keeps_texts_of_rows_with_vectors_only(spark, monkeypatch, few):
     assert tuple(counts.first()) == (40, 8, 40 - 8 - len(want), len(want))
     texts = [r.qid1 for r in tables["typed"].filter("question1 IS NOT NULL OR question2 IS NOT NULL").collect()]
     assert sorted(texts) == [i for i in range(9 if few else 40) if i % 5]
+
+
+def test_classical_features_count_each_corpus_once(spark, monkeypatch):
+    """One table of distinct texts for all four fits, and one count of the topics' vocabulary."""
+    df = labelled(spark)
+    made = {"texts": 0, "counts": 0}
+
+    def counted(name, plain):
+        def run(*args, **options):
+            made[name] += 1
+            return plain(*args, **options)
+        return run
+
+    corpus = dictionary.corpus(df)
+    words, chars = weighting.fit_tfidf(corpus), weighting.fit_char(corpus)
+    lsi, lda = topics.fit_lsi(corpus, 2), topics.fit_lda(corpus, 2)
+    apart = models.corpus_features(words, chars, lsi, lda)
+    monkeypatch.setattr(dictionary, "distinct_texts", counted("texts", dictionary.distinct_texts))
+    monkeypatch.setattr(weighting, "term_statistics", counted("counts", weighting.term_statistics))
+    chosen = models.full_classical_features(df, DIM, (2,), 2)
+    assert made == {"texts": 1, "counts": 3}
+    rows = chosen.apply(df)
+    assert made["texts"] == 2  # those of the pairs
+    monkeypatch.undo()
+    shared = {(r.qid1, r.qid2): r for r in rows.collect()}
+    for r in apart.apply(df).collect():
+        for n in apart.names:
+            assert abs(r[n] - shared[r.qid1, r.qid2][n]) < 1e-6, n
+    assert len(shared) == 60 and set(apart.names) <= set(chosen.names)
