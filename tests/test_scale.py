@@ -130,3 +130,24 @@ def test_classical_features_count_each_corpus_once(spark, monkeypatch):
         for n in apart.names:
             assert abs(r[n] - shared[r.qid1, r.qid2][n]) < 1e-6, n
     assert len(shared) == 60 and set(apart.names) <= set(chosen.names)
+
+
+def test_known_terms_outlast_what_a_task_forgets(monkeypatch):
+    """A word of known terms is taken apart once; weights stay those of a task that forgets nothing."""
+    monkeypatch.setattr(weighting, "HELD_TERMS", 20)
+    asked = []
+
+    def split(word):
+        asked.append(word)
+        return [word[:2], word]
+
+    known = {"ca": 1.0, "cat": 2.0, "do": 1.5, "dog": 2.5}
+    weigh = weighting.Weigher(weighting.Numbers(split, known), True, False)
+    whole = weighting.Weigher(weighting.Numbers(lambda w: [w[:2], w], known), True, False)
+    for i in range(50):
+        weigh.refresh()
+        text = ["cat", f"x{i}y", "dog", "cat", f"q{i}"]
+        found, want = weigh(text), whole(text)
+        by_name = lambda v, w: {w.numbers.names[t]: (x, y) for t, x, y in zip(v.at, v.idf, v.w)}
+        assert by_name(found, weigh) == by_name(want, whole) and len(weigh.numbers.names) < 40
+    assert asked.count("cat") == asked.count("dog") == 1 and len(asked) == 102
